@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +24,23 @@ HOME_LABEL = "Debt or credit management"
 OTHER_LABEL = "Debt collection"
 
 
+# Columns the queries use, so that no file is opened to find out the schema.
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_orderdate timestamp_ntz",
+    "part": "p_partkey bigint, p_brand string, p_type string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "documents": "doc_id bigint, text string, lang string, source string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _outcome() -> Column:
@@ -44,21 +59,20 @@ def _timely() -> Column:
     return F.when(prompt, "Yes").otherwise("No")
 
 
-def _columns() -> dict[str, tuple[Column, str | None]]:
-    return {
-        "complaint_id": (F.concat_ws("-", "l_orderkey", "l_linenumber"), None),
-        "product": (F.col("p_type"), "part"),
-        "sub_product": (F.col("p_brand"), "part"),
-        "company": (F.col("s_name"), "supplier"),
-        "state": (F.col("n_name"), "nation"),
-        "date_received": (F.col("o_orderdate"), "orders"),
-        "date_sent_to_company": (F.col("l_shipdate"), None),
-        "company_response": (_outcome(), None),
-        "timely": (_timely(), "orders"),
-        "has_narrative": (F.col("l_quantity") >= NARRATIVE_QUANTITY, None),
-        "consumer_disputed": (F.lit(None).cast("string"), None),
-    }
-
+# Canonical column -> (its expression, the dimension table it needs).
+_COLUMNS: dict[str, tuple[Callable[[], Column], str | None]] = {
+    "complaint_id": (lambda: F.concat_ws("-", "l_orderkey", "l_linenumber"), None),
+    "product": (lambda: F.col("p_type"), "part"),
+    "sub_product": (lambda: F.col("p_brand"), "part"),
+    "company": (lambda: F.col("s_name"), "supplier"),
+    "state": (lambda: F.col("n_name"), "nation"),
+    "date_received": (lambda: F.col("o_orderdate"), "orders"),
+    "date_sent_to_company": (lambda: F.col("l_shipdate"), None),
+    "company_response": (_outcome, None),
+    "timely": (_timely, "orders"),
+    "has_narrative": (lambda: F.col("l_quantity") >= NARRATIVE_QUANTITY, None),
+    "consumer_disputed": (lambda: F.lit(None).cast("string"), None),
+}
 
 # Dimension -> join keys (from what is joined so far, from the dimension).
 _JOINS = {
@@ -76,15 +90,14 @@ def order_cases(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> Dat
     are asked for. How each join runs is left to the planner, since parts,
     suppliers and orders all grow with the data.
     """
-    known = _columns()
-    needed = {known[c][1] for c in columns} - {None}
+    needed = {_COLUMNS[c][1] for c in columns} - {None}
     if "nation" in needed:
         needed.add("supplier")
     rows = table(spark, sf_dir, "lineitem")
     for name, (left, right) in _JOINS.items():
         if name in needed:
             rows = rows.join(table(spark, sf_dir, name), F.col(left) == F.col(right), "left")
-    return rows.select(*[known[c][0].alias(c) for c in columns])
+    return rows.select(*[_COLUMNS[c][0]().alias(c) for c in columns])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
