@@ -1,0 +1,116 @@
+"""Published results, recomputed from published inputs copied here by hand."""
+
+import pytest
+
+from peergauge.operators import peers, rates, scoring
+from peergauge.spec import CaseSpec
+
+SPEC = CaseSpec()
+
+# company, n, pct_timely, pct_relief, flagged
+SCORECARD = [
+    ("EdFinancial Services", 152, 50.7, 0.0, True),
+    ("Maximus Federal Services, Inc.", 213, 100.0, 0.0, False),
+    ("Servicer under contract with Federal Student Aid", 57, 0.0, 0.0, True),
+    ("Nelnet, Inc.", 336, 99.7, 0.0, False),
+    ("Navient Solutions, LLC.", 361, 100.0, 0.6, False),
+    ("MOHELA", 939, 88.4, 2.8, False),
+    ("AES/PHEAA", 22, 100.0, 13.6, False),
+    ("SLM CORPORATION", 48, 100.0, 20.8, False),
+]
+
+RELIEF = [
+    ("Student loan", 2285, 2.6),
+    ("Mortgage", 3384, 4.0),
+    ("Money transfer, virtual currency, or money service", 6981, 6.5),
+    ("Payday loan, title loan, personal loan, or advance loan", 1167, 8.9),
+    ("Vehicle loan or lease", 1772, 9.1),
+    ("Debt or credit management", 349, 17.5),
+    ("Checking or savings account", 10945, 21.6),
+    ("Prepaid card", 1845, 26.6),
+    ("Debt collection", 18536, 29.3),
+    ("Credit card", 12027, 36.8),
+]
+
+# Short names of the labels, to keep the table below readable.
+C, K, D, M, T = (
+    "Checking or savings account",
+    "Credit card",
+    "Debt collection",
+    "Debt or credit management",
+    "Money transfer, virtual currency, or money service",
+)
+G, P, R, S, V = (
+    "Mortgage",
+    "Payday loan, title loan, personal loan, or advance loan",
+    "Prepaid card",
+    "Student loan",
+    "Vehicle loan or lease",
+)
+AGREED = {M: 22, P: 33, T: 39, R: 39, C: 42, K: 43, V: 43, G: 45, S: 46, D: 47}
+DISAGREED = [
+    (13, M, D), (9, T, C), (8, R, C), (6, M, C), (5, P, D), (5, V, D), (4, C, T), (4, K, C),
+    (4, M, K), (3, C, R), (3, D, M), (3, M, G), (3, P, S), (3, R, K), (2, K, D), (2, T, D),
+    (2, G, P), (2, P, G), (2, P, K), (2, P, M), (2, P, V), (1, C, M), (1, K, M), (1, M, V),
+    (1, M, T), (1, G, D), (1, G, M), (1, G, S), (1, P, T), (1, S, G), (1, S, D), (1, S, C),
+    (1, S, P), (1, V, P), (1, V, K),
+]
+
+
+@pytest.fixture(scope="module")
+def card(spark):
+    rows = [("Student loan", *r[:4]) for r in SCORECARD]
+    rates_df = spark.createDataFrame(
+        rows, "product string, company string, n long, pct_timely double, pct_relief double"
+    )
+    return peers.compare_with_peers(rates_df, SPEC, ["product"])
+
+
+def test_flags_of_the_published_scorecard(card):
+    flagged = {r.company for r in card.collect() if r.review_flag == peers.FLAGGED}
+    assert flagged == {r[0] for r in SCORECARD if r[4]}
+
+
+def test_peer_statistics_of_the_published_scorecard(card):
+    row = card.where("company = 'EdFinancial Services'").first()
+    assert row.peer_count == 8
+    assert row.cat_median_timely == pytest.approx(99.85)
+    assert row.cat_median_relief == pytest.approx(0.3)
+    assert row.timely_deviation == -49.1
+    assert row.relief_deviation == -0.3
+
+
+def test_published_scorecard_passes_its_checks(card):
+    assert all(r.violations == 0 for r in peers.acceptance_checks(card, SPEC).collect())
+
+
+def test_spread_of_the_published_relief_rates(spark):
+    rated = spark.createDataFrame(RELIEF, "product string, n long, pct_relief double")
+    row = rates.rate_spread(rated, "pct_relief", "product").first()
+    assert (row.lowest, row.lowest_rate) == ("Student loan", 2.6)
+    assert (row.highest, row.highest_rate) == ("Credit card", 36.8)
+    assert row.spread == 14.2
+    assert rated.groupBy().sum("n").first()[0] == 59_291
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    cells = [(n, label, label) for label, n in AGREED.items()] + DISAGREED
+    df = spark.createDataFrame(cells, "n int, official string, predicted string")
+    return df.selectExpr("official", "predicted", "explode(sequence(1, n)) AS i")
+
+
+def test_published_agreement(scored):
+    row = scoring.agreement(scored, "official", "predicted").first()
+    assert (row.agree, row.n, row.pct_agree) == (399, 500, 79.8)
+
+
+def test_published_agreement_by_category(scored):
+    per_label = scoring.agreement_by_category(scored, "official", "predicted").collect()
+    assert {r.official: (r.n, r.agree) for r in per_label} == {k: (50, v) for k, v in AGREED.items()}
+    assert {r.official: r.pct_agree for r in per_label}[M] == 44.0
+
+
+def test_published_confusion(scored):
+    cells = scoring.confusion(scored, "official", "predicted").collect()
+    assert sorted((r.n, r.official, r.predicted) for r in cells) == sorted(DISAGREED)
