@@ -93,17 +93,17 @@ def within_category_deviation(
 
 
 def stratified_next_to_naive(core: DataFrame, spec: CaseSpec) -> DataFrame:
-    """The scorecard with the pooled rate of each entity beside it.
+    """The scorecard with the pooled rates of each entity beside it.
 
-    Both come from one count per (category, entity); the raw rows are
-    aggregated once.
+    Both come from one count per (category, entity), and use all of it, so
+    that one scan and one shuffle of the raw rows serve both.
     """
     counts = _pair_counts(core, spec, None)
     card = compare_with_peers(two_rates(at_least(counts, spec.min_n)), spec, [spec.category])
     pooled = pooled_from_counts(counts, spec).withColumnRenamed("n", "pooled_n")
     return card.alias("c").join(
         pooled.alias("p"), F.col(f"c.{spec.entity}").eqNullSafe(F.col(f"p.{spec.entity}")), "left"
-    ).select("c.*", "p.pooled_n", "p.pct_any_relief")
+    ).select("c.*", "p.pooled_n", "p.pct_any_timely", "p.pct_any_relief")
 
 
 def acceptance_checks(card: DataFrame, spec: CaseSpec) -> DataFrame:

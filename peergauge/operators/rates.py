@@ -82,17 +82,22 @@ def category_scorecard(core: DataFrame, spec: CaseSpec, category: str) -> DataFr
 
 def pooled_entity_rate(core: DataFrame, spec: CaseSpec) -> DataFrame:
     """Rate per entity across categories. Context only: never a ground for a flag."""
-    counts = rate_counts(core, [spec.entity], {"n_relief": is_favourable(spec)})
-    return pooled_from_counts(counts, spec)
+    rated = favourable_rate(core, spec, [spec.entity]).withColumnRenamed(
+        "pct_relief", "pct_any_relief"
+    )
+    return at_least(rated, spec.pooled_min_n)
 
 
 def pooled_from_counts(counts: DataFrame, spec: CaseSpec) -> DataFrame:
-    """Pooled rates from finer counts, so that the raw rows are read once only."""
+    """Both pooled rates from the finer counts of ``two_rate_counts``."""
     pooled = counts.groupBy(spec.entity).agg(
-        F.sum("n").alias("n"), F.sum("n_relief").alias("n_relief")
+        *[F.sum(c).alias(c) for c in ("n", "n_timely", "n_relief")]
     )
     return at_least(pooled, spec.pooled_min_n).select(
-        spec.entity, "n", pct(F.col("n_relief"), F.col("n")).alias("pct_any_relief")
+        spec.entity,
+        "n",
+        pct(F.col("n_timely"), F.col("n")).alias("pct_any_timely"),
+        pct(F.col("n_relief"), F.col("n")).alias("pct_any_relief"),
     )
 
 

@@ -216,10 +216,11 @@ ORACLE: dict[str, str] = {
 WITH card AS ({_scorecard()}),
 {_CORE.strip()},
 pooled AS (
-  SELECT company AS pooled_company, count(*) AS pooled_n, {_pct(_RELIEF)} AS pct_any_relief
+  SELECT company AS pooled_company, count(*) AS pooled_n, {_pct(_TIMELY)} AS pct_any_timely,
+         {_pct(_RELIEF)} AS pct_any_relief
   FROM core GROUP BY company HAVING count(*) >= {ORDER_CASES.pooled_min_n}
 )
-SELECT card.*, pooled_n, pct_any_relief FROM card LEFT JOIN pooled ON company = pooled_company""",
+SELECT card.*, pooled_n, pct_any_timely, pct_any_relief FROM card LEFT JOIN pooled ON company = pooled_company""",
     "naive_subject_vs_rest": f"""
 WITH {_CORE}
 SELECT {_SUBJECT} AS grp, company_response, count(*) AS n,

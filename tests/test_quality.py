@@ -1,0 +1,150 @@
+import datetime as dt
+
+from helpers import cases, tuples
+
+from peergauge.operators import quality, slices
+from peergauge.spec import CaseSpec
+
+SPEC = CaseSpec()
+DAY = dt.date
+
+
+def on(*dates, **other):
+    return [{"date_received": f"{d} 10:00:00" if d else None, **other} for d in dates]
+
+
+def test_coverage(spark):
+    rows = on("2024-01-01", "2024-02-01", None)
+    rows[1]["complaint_id"] = "0"
+    row = quality.coverage(cases(spark, rows), SPEC).first()
+    assert (row.total_rows, row.distinct_ids) == (3, 2)
+    assert (row.earliest.day, row.latest.month) == (1, 2)
+
+
+def test_null_counts_and_populated(spark):
+    df = cases(spark, [{"company": None}, {"timely": None}, {}, {"company": None}])
+    row = quality.null_counts(df, {"no_company": "company", "no_timely": "timely"}).first()
+    assert (row.no_company, row.no_timely) == (2, 1)
+    got = {r.field: r.pct_populated for r in quality.populated_pct(df, df.columns).collect()}
+    assert got["company"] == 50.0 and got["timely"] == 75.0 and got["consumer_disputed"] == 0.0
+
+
+def test_dead_and_constant_columns(spark):
+    df = cases(spark, [{"company": "A"}, {"company": "B", "state": None}])
+    got = {
+        r.field: (r.dead, r.constant)
+        for r in quality.dead_columns(df, ["consumer_disputed", "company", "state"]).collect()
+    }
+    assert got == {
+        "consumer_disputed": (True, False),
+        "company": (False, False),
+        "state": (False, True),
+    }
+
+
+def test_nothing_is_dead_in_an_empty_table(spark):
+    df = cases(spark, [{}]).where("false")
+    assert not quality.dead_columns(df, ["company"]).first().dead
+    assert quality.populated_pct(df, ["company"]).first().pct_populated is None
+
+
+def test_duplicates(spark):
+    df = cases(spark, [{"complaint_id": i} for i in ("a", "a", "b", "c", "c", "c")])
+    assert tuples(quality.duplicate_keys(df, "complaint_id")) == [("a", 2), ("c", 3)]
+    assert quality.duplicate_key_count(df, "complaint_id").first()[0] == 2
+
+
+def test_bursts_are_alike_to_the_second_or_to_the_day(spark):
+    rows = [{"date_received": f"2024-01-01 10:00:0{s}"} for s in (0, 0, 0, 1, 2)]
+    df = cases(spark, rows)
+    keys = ["company", "product"]
+    exact = quality.burst_clusters(df, keys, "date_received", more_than=2)
+    by_day = quality.burst_clusters(df, keys, "date_received", more_than=3, grain="day")
+    assert [r.n for r in exact.collect()] == [3]
+    assert [r.n for r in by_day.collect()] == [5]
+    assert quality.burst_clusters(df, keys, "date_received", more_than=3).count() == 0
+
+
+def test_text_share(spark):
+    df = cases(spark, [{"has_narrative": v} for v in (True, False, None, True)])
+    assert tuples(quality.text_share(df, SPEC, ["product"])) == [("Mortgage", 4, 2, 50.0)]
+
+
+def test_cutover(spark):
+    rows = (
+        on("2024-01-01", "2024-12-31", sub_product="steady")
+        + on("2024-01-05", "2024-06-01", sub_product="old")
+        + on("2024-06-02", "2024-12-30", sub_product="new")
+        + on("2024-05-01", "2024-06-01", sub_product="brief")
+    )
+    got = quality.category_cutover(cases(spark, rows), ["sub_product"], "date_received", 31)
+    assert {r.sub_product: r.drift for r in got.collect()} == {
+        "steady": "spans window",
+        "old": "disappears mid-window",
+        "new": "appears mid-window",
+        "brief": "appears and disappears",
+    }
+
+
+def test_gaps_show_empty_and_thin_months(spark):
+    rows = on(*["2024-01-10"] * 4, *["2024-02-10"] * 4, "2024-03-10", *["2024-05-10"] * 5, None)
+    got = {
+        r.month.month: (r.n, r.volume)
+        for r in quality.volume_gaps(cases(spark, rows), "date_received").collect()
+    }
+    assert got == {1: (4, "ok"), 2: (4, "ok"), 3: (1, "low"), 4: (0, "missing"), 5: (5, "ok")}
+
+
+def test_gaps_by_week(spark):
+    rows = on("2024-01-01", "2024-01-02", "2024-01-16")
+    got = quality.volume_gaps(cases(spark, rows), "date_received", slice_days=7).collect()
+    assert sorted((r.slice_from.day, r.n) for r in got) == [(1, 2), (8, 0), (15, 1)]
+
+
+def test_capped_slices(spark):
+    rows = on("2024-01-01", "2024-01-07", "2024-01-07", "2024-01-08", "2024-01-10")
+    got = quality.capped_slices(cases(spark, rows), "date_received", ceiling=3)
+    assert tuples(got) == [
+        (DAY(2024, 1, 1), DAY(2024, 1, 7), 3, True),
+        (DAY(2024, 1, 8), DAY(2024, 1, 10), 2, False),
+    ]
+
+
+def test_slices_cover_the_range_once(spark):
+    for days in range(1, 16):
+        bounds = spark.createDataFrame(
+            [(DAY(2024, 2, 25), DAY(2024, 2, 25) + dt.timedelta(days - 1))],
+            "date_from date, date_to date",
+        )
+        got = sorted(tuples(slices.window_slices(bounds)))
+        assert got[0][0] == DAY(2024, 2, 25)
+        assert sum((b - a).days + 1 for a, b in got) == days
+        assert all((b2 - a1).days == 1 for (_, a1), (b2, _) in zip(got, got[1:]))
+
+
+def test_slices_of_an_empty_range(spark):
+    bounds = spark.createDataFrame(
+        [(DAY(2024, 2, 2), DAY(2024, 2, 1)), (None, None)], "date_from date, date_to date"
+    )
+    assert slices.window_slices(bounds).count() == 0
+    empty = cases(spark, [{}]).where("false")
+    assert slices.rows_per_slice(empty, "date_received").count() == 0
+    assert quality.volume_gaps(empty, "date_received").count() == 0
+
+
+def test_provisional_tail(spark):
+    df = cases(spark, on("2024-03-01", "2024-03-24", "2024-03-31", None))
+    got = quality.mark_provisional(df, "date_received", 7)
+    assert [r[1] for r in tuples(got, "complaint_id", "provisional")] == [False, False, True, False]
+
+
+def test_scope_violations(spark):
+    df = cases(spark, [{"state": s} for s in ("CA", "NY", "NY", None)])
+    assert tuples(quality.scope_violations(df, "state", "CA")) == [("NY", 2)]
+
+
+def test_first_last_seen_and_distinct(spark):
+    df = cases(spark, on("2024-01-01", "2024-03-01", None))
+    row = quality.first_last_seen(df, ["product"], "date_received").first()
+    assert (row.first_seen.month, row.last_seen.month, row.n) == (1, 3, 3)
+    assert tuples(quality.distinct_values(df, "product")) == [("Mortgage",)]
