@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from peergauge.functions.text import strip
 
+# Markers of unusable answers, and how much of the answer is kept.
 UNPARSEABLE = "UNPARSEABLE"
 FAILURE = "API_FAILURE"
 ECHO_CHARS = 60

@@ -122,4 +122,5 @@ def acceptance_checks(card: DataFrame, spec: CaseSpec) -> DataFrame:
         *[F.count_if(rule).alias(name) for name, rule in broken.items()],
     )
     pairs = ", ".join(f"'{name}', {name}" for name in broken)
-    return counts.selectExpr(f"stack({len(broken)}, {pairs}) AS (check, violations)", "rows_checked")
+    stacked = f"stack({len(broken)}, {pairs}) AS (check, violations)"
+    return counts.selectExpr(stacked, "rows_checked")

@@ -17,6 +17,7 @@ from peergauge.spec import CaseSpec
 # Fixed value: the most rows one slice of the source can return.
 SLICE_CEILING = 10_000
 
+# A cluster is larger than this, and so many of them are shown.
 BURST_SIZE = 20
 BURST_ROWS = 20
 
@@ -55,21 +56,22 @@ def populated_pct(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def dead_columns(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: is it null throughout, or does it hold a single value?"""
     probes = [F.count(F.lit(1)).alias("_rows")]
+    facts = []
     for c in columns:
         probes += [
             F.count(c).alias(f"_{c}_count"),
-            F.min(F.col(c).cast("string")).alias(f"_{c}_min"),
-            F.max(F.col(c).cast("string")).alias(f"_{c}_max"),
+            (F.min(c) == F.max(c)).alias(f"_{c}_single"),
         ]
-    pairs = ", ".join(f"'{c}', `_{c}_count`, `_{c}_min`, `_{c}_max`" for c in columns)
+        facts.append(f"'{c}', `_{c}_count`, coalesce(`_{c}_single`, false)")
+    stacked = f"stack({len(columns)}, {', '.join(facts)}) AS (field, populated, constant)"
     return (
         rows.agg(*probes)
-        .selectExpr(f"stack({len(columns)}, {pairs}) AS (field, populated, low, high)", "_rows")
+        .selectExpr(stacked, "_rows")
         .select(
             "field",
             "populated",
             ((F.col("_rows") > 0) & (F.col("populated") == 0)).alias("dead"),
-            ((F.col("populated") > 0) & (F.col("low") == F.col("high"))).alias("constant"),
+            "constant",
         )
     )
 

@@ -150,12 +150,12 @@ def lead_time(rows: DataFrame, spec: CaseSpec, keys: Sequence[str]) -> DataFrame
     """
     days = day_gap(F.col(spec.received), F.col(spec.routed))
     histogram = rows.groupBy(*keys, days.alias("_days")).agg(F.count(F.lit(1)).alias("_rows"))
-    known = F.col("_days").isNotNull()
+    same_day = F.when(F.col("_days") == 0, F.col("_rows")).otherwise(0)
     return (
         histogram.groupBy(*keys)
         .agg(
             F.percentile("_days", [0.5, 0.9], F.col("_rows")).alias("_q"),
-            F.sum(F.when(known & (F.col("_days") == 0), F.col("_rows")).otherwise(0)).alias("_zero"),
+            F.sum(same_day).alias("_zero"),
             F.sum("_rows").alias("n"),
         )
         .select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Size of the sample per stratum, and its seed.
 PER_STRATUM = 50
 SEED = 20260709
 
@@ -24,7 +25,8 @@ def stratified_sample(
     Runs as two rank limits. The first ranks within (stratum, lane), where the
     lane is a group of input tasks: each task passes on at most ``k`` rows per
     stratum, and a large stratum is spread over many reducers. The second ranks
-    the survivors. The lanes do not affect the result.
+    the survivors. The lanes do not affect the result; a task that is run again
+    has the same number and so the same lane.
     """
     order, lane = "_draw_order", "_lane"
     drawn = rows.withColumn(order, draw_order(id_column, seed)).withColumn(

@@ -13,6 +13,7 @@ from peergauge.spec import CaseSpec
 # Partition column of a case table on disk.
 MONTH_COLUMN = "received_month"
 
+# Texts below the first are near-empty; a classifier reads up to the second.
 MIN_TEXT_CHARS = 50
 MAX_TEXT_CHARS = 6000
 

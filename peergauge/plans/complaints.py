@@ -68,7 +68,9 @@ def complaint_reports(
         "null_counts": quality.null_counts(cases, {f"null_{c}": c for c in KPI_FIELDS}),
         "populated": quality.populated_pct(cases, cases.columns),
         "dead_columns": quality.dead_columns(core, ["consumer_disputed"]),
-        "duplicate_ids": by_name(quality.duplicate_keys(cases, spec.case_id), by_size, spec.case_id),
+        "duplicate_ids": by_name(
+            quality.duplicate_keys(cases, spec.case_id), by_size, spec.case_id
+        ),
         "duplicate_id_count": quality.duplicate_key_count(cases, spec.case_id),
         "bursts": quality.burst_clusters(cases, [entity, category], received),
         "narrative_share": rates.share_of_total(cases, [spec.has_text]),

@@ -61,8 +61,10 @@ def _scorecard(
         timely_limit = f"quantile_cont(pct_timely, 0.25) OVER ({peers})"
         label = "FLAG - bottom quartile in category"
     else:
-        relief_limit = f"median(pct_relief) OVER ({peers}) - 2.0 * stddev_samp(pct_relief) OVER ({peers})"
-        timely_limit = f"median(pct_timely) OVER ({peers}) - 2.0 * stddev_samp(pct_timely) OVER ({peers})"
+        relief_limit, timely_limit = (
+            f"median({rate}) OVER ({peers}) - 2.0 * stddev_samp({rate}) OVER ({peers})"
+            for rate in ("pct_relief", "pct_timely")
+        )
         label = "FLAG - far below category median"
     return f"""
 WITH {_CORE},
@@ -198,7 +200,8 @@ _DOC_DAY = "CAST(DATE '1995-01-01' + CAST(doc_id % 3650 AS INTEGER) AS DATE)"
 _LANDED = f"""CAST(doc_id AS VARCHAR) AS complaint_id, lang AS product, source AS company,
   CAST({_DOC_DAY} AS TIMESTAMP) AS date_received,
   CAST({_DOC_DAY} + 1 AS TIMESTAMP) AS date_sent_to_company,
-  length(text) > 0 AS has_narrative, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS tags"""
+  length(text) > 0 AS has_narrative, CAST(NULL AS VARCHAR) AS state,
+  CAST(NULL AS VARCHAR) AS tags"""
 _SUBJECT = f"CASE WHEN company = '{SUBJECT}' THEN '{SUBJECT}' ELSE 'all others' END"
 
 ORACLE: dict[str, str] = {
@@ -220,7 +223,8 @@ pooled AS (
          {_pct(_RELIEF)} AS pct_any_relief
   FROM core GROUP BY company HAVING count(*) >= {ORDER_CASES.pooled_min_n}
 )
-SELECT card.*, pooled_n, pct_any_timely, pct_any_relief FROM card LEFT JOIN pooled ON company = pooled_company""",
+SELECT card.*, pooled_n, pct_any_timely, pct_any_relief
+FROM card LEFT JOIN pooled ON company = pooled_company""",
     "naive_subject_vs_rest": f"""
 WITH {_CORE}
 SELECT {_SUBJECT} AS grp, company_response, count(*) AS n,

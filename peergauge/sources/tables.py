@@ -74,7 +74,8 @@ def insert_new(
 
     staging, overlap = new_shared_path(spark, "batch"), new_shared_path(spark, "overlap")
     firsts = first_per_key(batch, key, order, copies="_copies")
-    staged = _via(firsts.select(_required(key), *[c for c in stored if c != key], "_copies"), staging)
+    others = [c for c in stored if c != key]
+    staged = _via(firsts.select(_required(key), *others, "_copies"), staging)
     known = _via(keys_in_both(target, staged, key), overlap)
 
     fresh = staged.join(known, key, "left_anti").select(*stored)

@@ -107,7 +107,8 @@ def test_published_agreement(scored):
 
 def test_published_agreement_by_category(scored):
     per_label = scoring.agreement_by_category(scored, "official", "predicted").collect()
-    assert {r.official: (r.n, r.agree) for r in per_label} == {k: (50, v) for k, v in AGREED.items()}
+    counts = {r.official: (r.n, r.agree) for r in per_label}
+    assert counts == {label: (50, n) for label, n in AGREED.items()}
     assert {r.official: r.pct_agree for r in per_label}[M] == 44.0
 
 

@@ -119,7 +119,8 @@ def test_landing_pages_first_write_wins_and_reruns_add_nothing(spark, tmp_path):
 
     landed = routes.land_search_pages(spark, str(pages), table, log, "pull-1", *window)
     assert (landed.fetched, landed.inserted, landed.skipped) == (4, 2, 2)
-    assert tuples(read_cases(spark, table), "complaint_id", "company") == [("1", "first"), ("2", "A")]
+    kept = tuples(read_cases(spark, table), "complaint_id", "company")
+    assert kept == [("1", "first"), ("2", "A")]
 
     write_page(pages, "p0.json", hit("1", company="too late"), hit("3"), hit("4", state="NY"))
     again = routes.land_search_pages(spark, str(pages), table, log, "pull-2", *window, region="CA")
@@ -255,7 +256,8 @@ def test_csv_route_replaces_table_and_facts(spark, tmp_path):
 
 def test_export_is_one_sorted_file_with_header(spark, tmp_path):
     out = tmp_path / "extract"
-    df = spark.createDataFrame([("b, x", 2.5), ('a "q"', 2.5), ("c", 1.0)], "product string, r double")
+    rows = [("b, x", 2.5), ('a "q"', 2.5), ("c", 1.0)]
+    df = spark.createDataFrame(rows, "product string, r double")
     results.export_extract(df.repartition(3), str(out), "r", "product")
     files = list(out.glob("*.csv"))
     assert len(files) == 1

@@ -124,7 +124,8 @@ def test_against_brute_force(spark):
     rows = []
     for p, product in enumerate(("Mortgage", "Prepaid card", "Debt collection")):
         for c in range(5 + p):
-            rows += company(f"c{c}", 6, relief=(c * 7 + p) % 6, late=(c * 5 + p) % 4, product=product)
+            relief, late = (c * 7 + p) % 6, (c * 5 + p) % 4
+            rows += company(f"c{c}", 6, relief=relief, late=late, product=product)
     card = peers.within_category_deviation(cases(spark, rows), SPEC).collect()
     pct = lambda k, n: round(100.0 * k / n + 1e-9, 1)
     for product in {r["product"] for r in rows}:

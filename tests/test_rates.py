@@ -32,7 +32,8 @@ def test_percentage_of_nothing_is_null(spark):
 
 
 def test_shares_sum_to_the_whole(spark):
-    df = cases(spark, [{"company_response": r} for r in (MONEY, MONEY, OTHER, None, None, None, "x")])
+    outcomes = (MONEY, MONEY, OTHER, None, None, None, "x")
+    df = cases(spark, [{"company_response": r} for r in outcomes])
     got = rates.share_of_total(df, ["company_response"]).collect()
     assert sum(r.n for r in got) == 7
     assert abs(sum(r.pct for r in got) - 100) < 0.2

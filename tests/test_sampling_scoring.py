@@ -16,7 +16,8 @@ LABELS = ("Mortgage", "Debt collection")
 
 def normalised(spark, fn, values, *args, **kw):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
-    return [r.x for r in df.select("i", fn(F.col("v"), *args, **kw).alias("x")).orderBy("i").collect()]
+    done = df.select("i", fn(F.col("v"), *args, **kw).alias("x"))
+    return [r.x for r in done.orderBy("i").collect()]
 
 
 def test_strip_takes_all_white_space_like_python(spark):
@@ -102,7 +103,12 @@ def test_first_per_key_counts_copies_of_a_hot_key(spark):
     assert got == [("cold", 3, None, 2), ("hot", 0, "x", 50)]
 
 
-SCORED = [("Mortgage", "Mortgage"), ("Mortgage", None), ("Mortgage", "UNPARSEABLE::?"), ("Debt", "Mortgage")]
+SCORED = [
+    ("Mortgage", "Mortgage"),
+    ("Mortgage", None),
+    ("Mortgage", "UNPARSEABLE::?"),
+    ("Debt", "Mortgage"),
+]
 
 
 def test_missing_predictions_stay_in_the_denominator(spark):
@@ -118,7 +124,8 @@ def test_missing_predictions_stay_in_the_denominator(spark):
         ("Mortgage", "UNPARSEABLE::?", 1),
         ("Mortgage", None, 1),
     ]
-    assert [r.match for r in scoring.with_match(df, "o", "p").collect()] == [True, False, False, False]
+    matches = [r.match for r in scoring.with_match(df, "o", "p").collect()]
+    assert matches == [True, False, False, False]
 
 
 def test_agreement_on_nothing(spark):
