@@ -49,5 +49,9 @@ def keys_in_both(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 
 def new_rows(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """Rows of a deduplicated batch whose key the target lacks."""
+    """Rows of a deduplicated batch whose key the target lacks.
+
+    The batch is read twice: pass it through ``write_shared`` if it is costly to
+    compute, which also lets the planner know its size.
+    """
     return batch.join(keys_in_both(target, batch, key), key, "left_anti")

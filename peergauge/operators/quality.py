@@ -127,7 +127,8 @@ def category_cutover(
     The window is the range of all rows; ``margin_days`` is how far from its
     edges a first or last row may lie.
     """
-    seen = first_last_seen(rows, keys, ts)
+    # Always true; keeps the window's range a matter of the groups, not of the raw rows.
+    seen = first_last_seen(rows, keys, ts).where("n > 0")
     window = seen.agg(F.min("first_seen").alias("opens"), F.max("last_seen").alias("closes"))
     late = F.datediff("first_seen", window.select("opens").scalar()) > margin_days
     early = F.datediff(window.select("closes").scalar(), "last_seen") > margin_days

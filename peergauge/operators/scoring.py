@@ -27,12 +27,16 @@ def apply_classifier(
     text: str,
     answer: str,
     max_chars: int | None = MAX_TEXT_CHARS,
+    tasks: int | None = None,
+    spread_by: str | None = None,
 ) -> DataFrame:
     """Add the raw answer of a user-given classifier to every row.
 
     ``classify`` gets a batch of texts and returns as many answers, null where
     there is none. Only the text column travels to the Python workers, cut to
-    what the classifier reads (``None`` sends whole texts).
+    what the classifier reads (``None`` sends whole texts). With ``tasks`` the
+    rows are first spread by the hash of ``spread_by``, for a slow classifier on
+    few rows. Declared non-deterministic, so that no answer is asked for twice.
     """
 
     @F.pandas_udf("string")
@@ -40,8 +44,10 @@ def apply_classifier(
         for batch in batches:
             yield classify(batch)
 
+    if tasks:
+        rows = rows.repartition(tasks, spread_by or text)
     sent = clip(F.col(text), max_chars) if max_chars else F.col(text)
-    return rows.withColumn(answer, answers(sent))
+    return rows.withColumn(answer, answers.asNondeterministic()(sent))
 
 
 def attach_predictions(

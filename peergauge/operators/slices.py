@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peergauge.functions.dates import slice_start
+from peergauge.functions.dates import period_start, slice_start
 
 WEEK = 7
 
@@ -31,42 +31,45 @@ def window_slices(bounds: DataFrame, days: int = WEEK) -> DataFrame:
 
 
 def rows_per_slice(rows: DataFrame, ts: str, days: int = WEEK) -> DataFrame:
-    """Rows in each slice of the data's range; empty slices show 0."""
-    bounds = date_range(rows, ts)
-    first = bounds.select("date_from").scalar()
-    counts = (
-        rows.where(F.col(ts).isNotNull())
-        .groupBy(slice_start(F.col(ts), first, days).alias("slice_from"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Rows in each slice of the data's range; empty slices show 0.
+
+    The rows are read once, into counts per day; range and slices follow from those.
+    """
+    daily = _counts(rows, F.col(ts).cast("date"), "day")
+    bounds = date_range(daily, "day")
+    start = slice_start(F.col("day"), bounds.select("date_from").scalar(), days)
+    # Never null; saying so spares the join a null test that would set the scans apart.
+    start = F.coalesce(start, F.lit("0001-01-01").cast("date"))
+    counts = daily.groupBy(start.alias("slice_from")).agg(F.sum("n").alias("n"))
     return _on_spine(window_slices(bounds, days), counts, "slice_from")
 
 
-def month_spine(rows: DataFrame, ts: str) -> DataFrame:
-    """Every calendar month from the first to the last that occurs."""
-    bounds = date_range(rows, ts)
-    months = F.sequence(F.trunc("date_from", "month"), F.trunc("date_to", "month"), _one_month())
-    return (
-        bounds.where("date_from is not null")
-        .select(F.explode(months).alias("month"))
-        .select(F.col("month").cast("timestamp_ntz"))
+def rows_per_month(rows: DataFrame, ts: str) -> DataFrame:
+    """Rows in every month of the data's range; empty months show 0."""
+    monthly = _counts(rows, period_start(F.col(ts), "month").cast("date"), "month")
+    return _on_spine(month_spine(monthly, "month"), monthly, "month").withColumn(
+        "month", F.col("month").cast("timestamp_ntz")
     )
 
 
-def _one_month() -> Column:
-    return F.make_ym_interval(F.lit(0), F.lit(1))
+def month_spine(rows: DataFrame, ts: str) -> DataFrame:
+    """First day of every calendar month from the first to the last that occurs."""
+    first, last = F.trunc("date_from", "month"), F.trunc("date_to", "month")
+    one_month = F.make_ym_interval(F.lit(0), F.lit(1))
+    bounds = date_range(rows, ts).where("date_from IS NOT NULL")
+    return bounds.select(F.explode(F.sequence(first, last, one_month)).alias("month"))
+
+
+def _counts(rows: DataFrame, period: Column, name: str) -> DataFrame:
+    """Rows per period.
+
+    The test of ``n`` is always true. It keeps the optimizer from computing the
+    range of the periods from the raw rows, which would read those again.
+    """
+    known = rows.select(period.alias(name)).where(F.col(name).isNotNull())
+    return known.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
 
 
 def _on_spine(spine: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     joined = spine.join(counts, key, "left")
     return joined.withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
-
-
-def rows_per_month(rows: DataFrame, ts: str) -> DataFrame:
-    """Rows in every month of the data's range; empty months show 0."""
-    counts = (
-        rows.where(F.col(ts).isNotNull())
-        .groupBy(F.trunc(F.col(ts).cast("date"), "month").cast("timestamp_ntz").alias("month"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return _on_spine(month_spine(rows, ts), counts, "month")

@@ -84,13 +84,20 @@ def evaluate(
     spec: CaseSpec,
     text: str = "narrative",
     labels: Sequence[str] = PRODUCT_LABELS,
+    tasks: int | None = None,
 ) -> Scores:
     """Classify every sampled text once and score the answers.
 
+    A sample is small, so it is spread over ``tasks`` first, by default over all
+    cores.
+
     The answers are written to the shared folder first: a model that is called
     again may answer differently, and every figure must describe the same answers.
     """
-    answered = scoring.apply_classifier(sample, classify, text, "_answer")
+    tasks = tasks or sample.sparkSession.sparkContext.defaultParallelism
+    answered = scoring.apply_classifier(
+        sample, classify, text, "_answer", tasks=tasks, spread_by=spec.case_id
+    )
     official, predicted = "product_official", "product_predicted"
     labelled = answered.select(
         spec.case_id,

@@ -374,7 +374,7 @@ def ingest_anti_join(spark, sf):
     lines = _lines(spark, sf)
     target = lines.where(F.col("l_linestatus") == "F")
     batch = landing.first_per_key(lines.where(F.col("l_linestatus") == "O"), LINE_ID, LINE_ORDER)
-    return landing.new_rows(batch, target, LINE_ID)
+    return landing.new_rows(write_shared(batch, "batch"), target, LINE_ID)
 
 
 def _land_in_two_batches(spark: SparkSession, sf: str, path: str):
