@@ -129,9 +129,10 @@ def category_cutover(
     """
     # Always true; keeps the window's range a matter of the groups, not of the raw rows.
     seen = first_last_seen(rows, keys, ts).where("n > 0")
-    window = seen.agg(F.min("first_seen").alias("opens"), F.max("last_seen").alias("closes"))
-    late = F.datediff("first_seen", window.select("opens").scalar()) > margin_days
-    early = F.datediff(window.select("closes").scalar(), "last_seen") > margin_days
+    edges = F.struct(F.min("first_seen").alias("opens"), F.max("last_seen").alias("closes"))
+    window = seen.agg(edges.alias("window")).scalar()
+    late = F.datediff("first_seen", window.getField("opens")) > margin_days
+    early = F.datediff(window.getField("closes"), "last_seen") > margin_days
     return seen.withColumn(
         "drift",
         F.when(late & early, "appears and disappears")

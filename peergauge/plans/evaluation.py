@@ -84,6 +84,7 @@ def evaluate(
     spec: CaseSpec,
     text: str = "narrative",
     labels: Sequence[str] = PRODUCT_LABELS,
+    max_chars: int | None = scope.MAX_TEXT_CHARS,
     tasks: int | None = None,
 ) -> Scores:
     """Classify every sampled text once and score the answers.
@@ -96,7 +97,7 @@ def evaluate(
     """
     tasks = tasks or sample.sparkSession.sparkContext.defaultParallelism
     answered = scoring.apply_classifier(
-        sample, classify, text, "_answer", tasks=tasks, spread_by=spec.case_id
+        sample, classify, text, "_answer", max_chars, tasks, spec.case_id
     )
     official, predicted = "product_official", "product_predicted"
     labelled = answered.select(
@@ -132,12 +133,13 @@ def audit(
     home: str,
     labels: Sequence[str] = PRODUCT_LABELS,
     text: str = "narrative",
+    max_chars: int | None = scope.MAX_TEXT_CHARS,
 ) -> Audit:
     """Judge every text by a closed-set probe and an independent yes/no probe."""
-    answered = scoring.apply_classifier(texts, probe_a, text, "_answer_a")
-    answered = scoring.apply_classifier(answered, probe_b, text, "_answer_b").drop(text)
+    answered = scoring.apply_classifier(texts, probe_a, text, "_answer_a", max_chars)
+    answered = scoring.apply_classifier(answered, probe_b, text, "_answer_b", max_chars)
     judged = scoring.probe_verdicts(answered, "_answer_a", "_answer_b", labels, home)
-    rows = write_shared(judged.drop("_answer_a", "_answer_b"), "judged")
+    rows = write_shared(judged.drop(text, "_answer_a", "_answer_b"), "judged")
     return Audit(
         rows,
         scoring.verdict_summary(rows),

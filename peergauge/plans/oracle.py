@@ -204,6 +204,10 @@ _LANDED = f"""CAST(doc_id AS VARCHAR) AS complaint_id, lang AS product, source A
   CAST(NULL AS VARCHAR) AS tags"""
 _SUBJECT = f"CASE WHEN company = '{SUBJECT}' THEN '{SUBJECT}' ELSE 'all others' END"
 
+_SHARES = ", ".join(
+    f"{_pct(c, 'nullif(usable, 0)')} AS pct_{c}" for c in ("both_probes", "one_probe", "belongs")
+)
+
 ORACLE: dict[str, str] = {
     "kpi_within_category": _scorecard(),
     "kpi_within_category_quarter": _scorecard(QUARTER_MIN_N, "quarter"),
@@ -455,10 +459,7 @@ counts AS (
          count(*) FILTER (WHERE verdict = 'belongs') AS belongs
   FROM judged
 )
-SELECT *, round(100.0 * both_probes / nullif(usable, 0), 1) AS pct_both_probes,
-       round(100.0 * one_probe / nullif(usable, 0), 1) AS pct_one_probe,
-       round(100.0 * belongs / nullif(usable, 0), 1) AS pct_belongs
-FROM counts""",
+SELECT *, {_SHARES} FROM counts""",
     "probe_distribution": f"""
 WITH {_JUDGED} SELECT probe_a_category, count(*) AS n FROM judged GROUP BY 1""",
     "label_normalise": """
@@ -472,6 +473,29 @@ SELECT event_id, CASE event_type WHEN 'click' THEN 'YES' WHEN 'purchase' THEN 'Y
          WHEN 'view' THEN 'NO' WHEN 'signup' THEN concat('UNPARSEABLE::perhaps ', event_id)
          ELSE 'API_FAILURE' END AS belongs
 FROM events""",
+    "evaluation_by_category": f"""
+WITH {_SAMPLE},
+answered AS (
+  SELECT lang AS product_official, CASE WHEN contains(d.text, 'the') THEN 'en'
+         WHEN contains(d.text, 'ou') THEN 'fr' END AS product_predicted
+  FROM sample JOIN gated d USING (doc_id, lang)
+)
+SELECT product_official, count(*) AS n, count(*) FILTER (WHERE {_MATCH}) AS agree,
+       {_pct(f"count(*) FILTER (WHERE {_MATCH})")} AS pct_agree FROM answered GROUP BY 1""",
+    "audit_summary": f"""
+WITH answers AS (
+  SELECT CASE WHEN contains(text, 'the') THEN 'home' WHEN contains(text, 'ou') THEN 'away' END AS a,
+         CASE WHEN contains(text, 'en') THEN 'YES' WHEN contains(text, 'an') THEN 'NO' END AS b
+  FROM documents
+),
+counts AS (
+  SELECT count(*) AS n, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS usable,
+         count(*) FILTER (WHERE a = 'away' AND b = 'NO') AS both_probes,
+         count(*) FILTER (WHERE (a = 'away' AND b = 'YES') OR (a = 'home' AND b = 'NO')) AS one_probe,
+         count(*) FILTER (WHERE a = 'home' AND b = 'YES') AS belongs
+  FROM answers
+)
+SELECT *, {_SHARES} FROM counts""",
     "apply_classifier": f"""
 SELECT doc_id, CASE WHEN contains(text, 'the') THEN '{HOME_LABEL}'
                     WHEN contains(text, 'ou') THEN '{OTHER_LABEL}' END AS label

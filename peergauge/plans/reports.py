@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peergauge.functions import normalise_label, normalise_yes_no, period_start
+from peergauge.functions import non_empty, normalise_label, normalise_yes_no, period_start
 from peergauge.operators import landing, peers, quality, rates, sampling, scope, scoring, slices
+from peergauge.plans import evaluation
 from peergauge.plans.bindings import (
     HOME_LABEL,
     HOME_REGION,
@@ -646,3 +647,31 @@ def apply_classifier(spark, sf):
     answered = scoring.apply_classifier(rows, model, "text", "answer", None)
     label = normalise_label(F.col("answer"), PRODUCT_LABELS, missing=None)
     return answered.select("doc_id", label.alias("label"))
+
+
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+@report
+def evaluation_by_category(spark, sf):
+    """Sample texts per language, let a keyword model name the language, score its answers."""
+    spec = replace(ORDER_CASES, case_id="doc_id", category="lang")
+    docs = documents(spark, sf)
+    known = docs.select("doc_id", "lang", non_empty(F.col("text")).alias(spec.has_text))
+    sample = evaluation.build_sample(known, docs, spec, "text")
+    model = keyword_classifier({"ou": "FR", "the": " en\n"})
+    return evaluation.evaluate(sample, model, spec, "text", LANGUAGES, None).by_category
+
+
+@report
+def audit_summary(spark, sf):
+    """Judge every text by two keyword probes."""
+    result = evaluation.audit(
+        documents(spark, sf).select("doc_id", "text"),
+        keyword_classifier({"ou": OTHER_LABEL, "the": HOME_LABEL}),
+        keyword_classifier({"an": "no.", "en": " Yes"}),
+        HOME_LABEL,
+        text="text",
+        max_chars=None,
+    )
+    return result.summary

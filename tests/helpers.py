@@ -50,5 +50,14 @@ def plan(df):
 
 
 def final_plan(df):
+    """The executed plan, subqueries included, without the plans adaptive execution began with."""
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    kept, hidden = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if hidden is not None and depth > hidden:
+            continue
+        hidden = depth - 1 if "== Initial Plan ==" in line else None
+        if hidden is None:
+            kept.append(line)
+    return "\n".join(kept)

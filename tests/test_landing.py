@@ -158,6 +158,20 @@ def test_an_empty_batch_lands_nothing(spark, tmp_path):
     assert (landed.fetched, landed.inserted, landed.skipped) == (0, 0, 0)
 
 
+def test_a_month_of_most_rows_is_written_by_several_tasks(spark, conf):
+    from helpers import final_plan
+
+    from peergauge.sources.tables import by_month
+
+    conf(spark__sql__adaptive__advisoryPartitionSizeInBytes="64KB")
+    stamp = "timestamp_ntz'2024-01-01' + make_dt_interval(if(id % 3 = 0, id % 300, 0))"
+    df = spark.range(0, 60_000, 1, 8).selectExpr("id", f"{stamp} AS date_received")
+    spread = by_month(df, "date_received")
+    assert "skewed" in final_plan(spread)
+    sizes = [n for n in spread.rdd.glom().map(len).collect() if n]
+    assert max(sizes) < 60_000 / 3
+
+
 def test_staging_folders_are_removed(spark, tmp_path):
     from pathlib import Path
 
