@@ -23,14 +23,15 @@ PILOT_SUBJECT = "MOHELA"
 
 CASES_VIEW, CORE_VIEW = "complaints_raw", "complaints_core"
 
-KPI_FIELDS = (
-    "date_received",
-    "date_sent_to_company",
-    "product",
-    "company",
-    "company_response",
-    "timely",
-)
+# Name of the null count -> the field it is about.
+KPI_FIELDS = {
+    "null_date_received": "date_received",
+    "null_date_sent": "date_sent_to_company",
+    "null_product": "product",
+    "null_company": "company",
+    "null_response": "company_response",
+    "null_timely": "timely",
+}
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +66,7 @@ def complaint_reports(
         # Data quality
         "coverage": quality.coverage(cases, spec),
         "monthly_volume": by_name(quality.volume_by_period(cases, received), "month"),
-        "null_counts": quality.null_counts(cases, {f"null_{c}": c for c in KPI_FIELDS}),
+        "null_counts": quality.null_counts(cases, KPI_FIELDS),
         "populated": quality.populated_pct(cases, cases.columns),
         "dead_columns": quality.dead_columns(core, ["consumer_disputed"]),
         "duplicate_ids": by_name(
@@ -78,7 +79,10 @@ def complaint_reports(
             quality.text_share(cases, spec, [category]), F.desc("total"), category
         ),
         "narrative_by_region": scope.top_k(
-            quality.text_share(named_region, spec, [spec.region]), 15, "total", [spec.region]
+            quality.text_share(named_region, spec, [spec.region]).drop("with_narrative"),
+            15,
+            "total",
+            [spec.region],
         ),
         "first_last_seen": by_name(
             quality.first_last_seen(cases, [category], received), "first_seen", category

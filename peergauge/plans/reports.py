@@ -26,6 +26,7 @@ from peergauge.plans.bindings import (
     scored_documents,
     table,
 )
+from peergauge.plans.complaints import KPI_FIELDS
 from peergauge.session import new_shared_path, write_shared
 from peergauge.sources.csv_export import read_csv_export
 from peergauge.sources.results import export_extract, read_results_csv, write_results
@@ -207,19 +208,9 @@ def dq_coverage(spark, sf):
     return quality.coverage(_cases(spark, sf, "complaint_id", "date_received"), ORDER_CASES)
 
 
-NULLABLE = {
-    "null_date_received": "date_received",
-    "null_date_sent": "date_sent_to_company",
-    "null_product": "product",
-    "null_company": "company",
-    "null_response": "company_response",
-    "null_timely": "timely",
-}
-
-
 @report
 def dq_null_counts(spark, sf):
-    return quality.null_counts(_cases(spark, sf, *NULLABLE.values()), NULLABLE)
+    return quality.null_counts(_cases(spark, sf, *KPI_FIELDS.values()), KPI_FIELDS)
 
 
 PROBED = ("product", "company", "date_received", "company_response", "consumer_disputed")

@@ -41,7 +41,7 @@ def load_csv_export(
 
 
 def _asked_for(
-    hits: DataFrame, date_from: str | None, date_to: str | None, region: str | None
+    hits: DataFrame, date_from: str, date_to: str, region: str | None
 ) -> DataFrame:
     return source_filter(without_text(hits), CaseSpec(), date_from, date_to, region)
 
@@ -69,13 +69,20 @@ def follow_search_pages(
     spark: SparkSession,
     pages: str,
     table: str,
+    log: str,
     checkpoint: str,
     snapshot: str,
+    date_from: str,
+    date_to: str,
     region: str | None = None,
     one_per_file: bool = True,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Insert the hits of the pages that landed since the last call."""
+    """Insert the hits of the pages that landed since the last call, one log row per batch."""
     hits = stream_search_pages(spark, pages, snapshot, one_per_file, files_per_batch)
-    batch = _asked_for(hits, None, None, region)
-    return land_stream(batch, table, checkpoint, KEY, ARRIVAL, RECEIVED, STAMP)
+    batch = _asked_for(hits, date_from, date_to, region)
+
+    def record(landed: Landed) -> None:
+        append_run_log(spark, log, snapshot, date_from, date_to, landed, region)
+
+    return land_stream(batch, table, checkpoint, KEY, ARRIVAL, RECEIVED, STAMP, record)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from peergauge.sources.tables import insert_new
+from peergauge.sources.tables import Landed, insert_new
 
 
 def land_stream(
@@ -16,16 +18,20 @@ def land_stream(
     order: tuple[str, ...],
     received: str | None = None,
     stamp: str | None = None,
+    on_landed: Callable[[Landed], None] | None = None,
 ) -> StreamingQuery:
     """Insert every micro-batch into the table at ``path``; ends when all input is read.
 
     An id is compared with all rows ever landed, not with a window of recent
     ones. A batch that is replayed after a failure finds its own rows in the
-    table and adds nothing.
+    table and adds nothing. ``on_landed`` is told what each batch did. One query
+    at a time may write to a table.
     """
 
     def insert(batch: DataFrame, _batch_id: int) -> None:
-        insert_new(batch, path, key, order, received, stamp)
+        landed = insert_new(batch, path, key, order, received, stamp)
+        if on_landed:
+            on_landed(landed)
 
     return (
         stream.writeStream.foreachBatch(insert)

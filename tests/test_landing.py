@@ -204,8 +204,9 @@ def test_stream_equals_batch(spark, tmp_path):
     routes.land_search_pages(spark, str(pages), batch, log, "s", "2024-01-01", "2024-12-31")
 
     def follow(per_batch):
+        paths = (str(pages), stream, log + "-stream", str(tmp_path / "state"))
         routes.follow_search_pages(
-            spark, str(pages), stream, str(tmp_path / "state"), "s", files_per_batch=per_batch
+            spark, *paths, "s", "2024-01-01", "2024-12-31", files_per_batch=per_batch
         ).awaitTermination()
 
     follow(None)
@@ -217,14 +218,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got["new"] == "A" and got["1"] != "late" and len(got) == 8
     follow(1)
     assert read_cases(spark, stream).count() == 8
+    entries = runs.read_run_log(spark, log + "-stream")
+    assert tuples(entries, "row_count", "inserted") == [(2, 1), (24, 7)]
 
 
 def test_replayed_stream_adds_nothing(spark, tmp_path):
     pages, table = tmp_path / "pages", str(tmp_path / "table")
     write_page(pages, "p1.json", hit("1"), hit("2"))
     for state in ("state-a", "state-b"):
+        paths = (str(pages), table, str(tmp_path / "log"), str(tmp_path / state))
         routes.follow_search_pages(
-            spark, str(pages), table, str(tmp_path / state), "s"
+            spark, *paths, "s", "2024-01-01", "2024-12-31"
         ).awaitTermination()
     assert read_cases(spark, table).count() == 2
 
