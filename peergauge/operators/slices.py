@@ -21,7 +21,8 @@ def window_slices(bounds: DataFrame, days: int = WEEK) -> DataFrame:
 
     ``bounds`` holds one row (``date_from``, ``date_to``).
     """
-    step = F.make_dt_interval(F.lit(days))
+    # An interval of calendar days: one of hours would drift where clocks change.
+    step = F.make_interval(days=F.lit(days))
     return bounds.where("date_from <= date_to").select(
         F.explode(F.sequence("date_from", "date_to", step)).alias("slice_from"), "date_to"
     ).select(

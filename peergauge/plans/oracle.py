@@ -491,7 +491,8 @@ WITH answers AS (
 counts AS (
   SELECT count(*) AS n, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS usable,
          count(*) FILTER (WHERE a = 'away' AND b = 'NO') AS both_probes,
-         count(*) FILTER (WHERE (a = 'away' AND b = 'YES') OR (a = 'home' AND b = 'NO')) AS one_probe,
+         count(*) FILTER (WHERE (a = 'away' AND b = 'YES')
+                             OR (a = 'home' AND b = 'NO')) AS one_probe,
          count(*) FILTER (WHERE a = 'home' AND b = 'YES') AS belongs
   FROM answers
 )

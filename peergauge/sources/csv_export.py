@@ -20,12 +20,14 @@ def read_csv_export(
     """Cases of an inclusive range of received days, in the canonical schema.
 
     Columns are found by header, so their order and extra columns do not
-    matter; every field is text until cast. A date that does not parse fails
-    the job; null dates drop when a range is given. Narratives hold newlines, so
-    a file is read by one task: land the export as many files, or convert it
-    to a case table once and read that.
+    matter; every field is text until cast. A malformed row, or a date that does
+    not parse, fails the job; null dates drop when a range is given. Narratives
+    hold newlines, so a file is read by one task: land the export as many files,
+    or convert it to a case table once and read that.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    raw = spark.read.csv(
+        path, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST"
+    )
     named = raw.select([F.col(f"`{header}`").alias(name) for header, name in CSV_COLUMNS.items()])
     received = F.col("date_received").cast("date")
     if date_from:

@@ -40,5 +40,12 @@ def write_results(rows: DataFrame, path: str, as_csv: bool = False) -> None:
 def read_results_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Read a results CSV; fields may hold newlines and quotes."""
     return spark.read.csv(
-        path, schema=schema, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False
+        path,
+        schema=schema,
+        header=True,
+        enforceSchema=False,
+        multiLine=True,
+        quote='"',
+        escape='"',
+        mode="FAILFAST",
     )

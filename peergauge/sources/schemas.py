@@ -66,11 +66,12 @@ PAGE_FIELDS = (
     "complaint_what_happened",
 )
 
-PAGE = T.StructType().add(
-    "hits",
-    T.StructType().add(
-        "hits", T.ArrayType(T.StructType().add("_source", T.StructType(_texts(*PAGE_FIELDS))))
-    ),
+# Fields by which a page says that the request failed.
+PAGE_ERRORS = ("error", "non_field_errors")
+
+_HITS = T.ArrayType(T.StructType().add("_source", T.StructType(_texts(*PAGE_FIELDS))))
+PAGE = T.StructType(
+    [T.StructField("hits", T.StructType().add("hits", _HITS)), *_texts(*PAGE_ERRORS)]
 )
 
 RUN_LOG = T.StructType(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peergauge.functions.text import non_empty
-from peergauge.sources.schemas import CASES, PAGE
+from peergauge.sources.schemas import CASES, PAGE, PAGE_ERRORS
 
 # Where a row was landed; orders the copies of one id.
 ARRIVAL = ("_file", "_position")
@@ -17,9 +17,10 @@ def read_search_pages(
 ) -> DataFrame:
     """All hits of the landed pages, with their place of arrival.
 
+    A page that is cut off or that reports an error fails the job.
     ``one_per_file=False`` reads files with one page per line, which split.
     """
-    reader = spark.read.schema(PAGE).option("multiLine", one_per_file)
+    reader = spark.read.schema(PAGE).options(multiLine=one_per_file, mode="FAILFAST")
     return hits_of(reader.json(path), snapshot)
 
 
@@ -31,7 +32,7 @@ def stream_search_pages(
     files_per_batch: int | None = None,
 ) -> DataFrame:
     """The same rows as ``read_search_pages``, page files being taken up as they land."""
-    reader = spark.readStream.schema(PAGE).option("multiLine", one_per_file)
+    reader = spark.readStream.schema(PAGE).options(multiLine=one_per_file, mode="FAILFAST")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return hits_of(reader.json(path), snapshot)
@@ -39,9 +40,13 @@ def stream_search_pages(
 
 def hits_of(pages: DataFrame, snapshot: str | None) -> DataFrame:
     """One canonical row per hit; a field the page lacks is null."""
+    error = F.coalesce(*PAGE_ERRORS)
+    sound = F.when(
+        error.isNotNull(), F.raise_error(F.concat(F.lit("page reports an error: "), error))
+    ).otherwise(F.col("hits.hits._source"))
     hits = pages.select(
         F.col("_metadata.file_path").alias("_file"),
-        F.posexplode("hits.hits._source").alias("_position", "_hit"),
+        F.posexplode(sound).alias("_position", "_hit"),
     ).select("_file", "_position", "_hit.*")
     derived = {
         "date_received": F.col("date_received").cast("timestamp_ntz"),

@@ -47,8 +47,16 @@ def by_month(cases: DataFrame, received: str) -> DataFrame:
 
 
 def replace_cases(cases: DataFrame, path: str, received: str = "date_received") -> None:
-    """Full reload, laid out by month of receipt so that date windows prune."""
-    by_month(cases, received).write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(path)
+    """Full reload, laid out by month of receipt so that date windows prune.
+
+    The rows are computed into the shared folder first. If that fails the old
+    table stays, and the rows may come from the table they replace.
+    """
+    spark = cases.sparkSession
+    staging = new_shared_path(spark, "reload")
+    rows = _via(cases.drop(MONTH_COLUMN), staging)
+    by_month(rows, received).write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(path)
+    remove_path(spark, staging)
 
 
 def insert_new(

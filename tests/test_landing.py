@@ -6,12 +6,14 @@ from helpers import tuples
 from pyspark.sql import functions as F
 
 from peergauge.operators.landing import new_rows
+from peergauge.operators.scope import keep_snapshot
 from peergauge.plans import routes
 from peergauge.plans.complaints import complaint_reports, read_cases, register_views
 from peergauge.sources import results, runs, schemas
 from peergauge.sources.csv_export import read_csv_export
 from peergauge.sources.search_pages import read_search_pages
-from peergauge.sources.tables import insert_new, read_table
+from peergauge.sources.tables import insert_new, read_table, replace_cases
+from peergauge.spec import CaseSpec
 from peergauge.streaming.landing import dedupe_recent
 
 
@@ -79,6 +81,14 @@ def test_csv_date_that_does_not_parse_fails(spark, tmp_path):
         read_csv_export(spark, path).collect()
 
 
+def test_csv_row_with_missing_fields_fails(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", [row(1)])
+    with open(path, "a") as f:
+        f.write("2,2024-01-15\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_csv_export(spark, path).collect()
+
+
 def hit(i, company="A", text=None, **other):
     source = {
         "complaint_id": i,
@@ -111,6 +121,17 @@ def test_pages(spark, tmp_path):
     )
 
 
+@pytest.mark.parametrize(
+    "content", ['{"hits": {"hits": [{"_source": {"complaint_id": "1"', '{"error": {"code": 500}}']
+)
+def test_a_broken_page_fails_the_job(spark, tmp_path, content):
+    pages = tmp_path / "pages"
+    write_page(pages, "p1.json", hit("1"))
+    (pages / "p2.json").write_text(content)
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|reports an error"):
+        read_search_pages(spark, str(pages)).collect()
+
+
 def test_landing_pages_first_write_wins_and_reruns_add_nothing(spark, tmp_path):
     pages, table, log = tmp_path / "pages", str(tmp_path / "table"), str(tmp_path / "log")
     write_page(pages, "p1.json", hit("1", company="first"), hit("2"), hit("2", company="later"))
@@ -272,6 +293,29 @@ def test_csv_route_replaces_table_and_facts(spark, tmp_path):
     assert facts["pulled_on"] == dt.date.today().isoformat()
 
 
+def test_a_failed_reload_keeps_the_old_table(spark, tmp_path):
+    table, meta = str(tmp_path / "table"), str(tmp_path / "meta")
+    good = write_csv(tmp_path / "a.csv", [row(1), row(2)])
+    bad = write_csv(tmp_path / "b.csv", [row(3), row(4, "2024-13-99")])
+    window = ("2024-01-01", "2024-12-31")
+    routes.load_csv_export(spark, good, table, meta, *window, "good")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        routes.load_csv_export(spark, bad, table, meta, *window, "bad")
+    assert spark.read.parquet(table).count() == 2
+    assert dict(tuples(runs.read_run_meta(spark, meta)))["pulled_on"] == "good"
+
+
+def test_a_purge_rewrites_its_own_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [("1", "keep"), ("2", "old"), ("3", "keep")]
+    df = spark.createDataFrame(rows, "id string, snapshot string").withColumn(
+        "date_received", F.lit("2024-01-15").cast("timestamp_ntz")
+    )
+    replace_cases(df, path)
+    replace_cases(keep_snapshot(spark.read.parquet(path), CaseSpec(), "keep"), path)
+    assert tuples(spark.read.parquet(path), "id") == [("1",), ("3",)]
+
+
 def test_export_is_one_sorted_file_with_header(spark, tmp_path):
     out = tmp_path / "extract"
     rows = [("b, x", 2.5), ('a "q"', 2.5), ("c", 1.0)]

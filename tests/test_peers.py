@@ -2,7 +2,7 @@ import statistics
 from dataclasses import replace
 
 import pytest
-from helpers import cases, tuples
+from helpers import cases, final_plan, tuples
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -183,3 +183,29 @@ def test_result_does_not_depend_on_partitions(spark, conf, partitions):
     expected = tuples(peers.within_category_deviation(cases(spark, rows), SPEC))
     conf(spark__sql__shuffle__partitions=partitions, spark__sql__autoBroadcastJoinThreshold="-1")
     assert tuples(peers.within_category_deviation(cases(spark, rows), SPEC)) == expected
+
+
+def test_a_category_of_most_entities_is_split_over_tasks(spark, conf):
+    """Too large to broadcast: the shuffled join splits the hot category."""
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="10KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2.0",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20KB",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+        spark__sql__shuffle__partitions="8",
+    )
+    core = spark.range(0, 40_000, 1, 8).selectExpr(
+        "if(id % 3 > 0, 'hot', concat('p', id % 7)) AS product",
+        "concat('c', id % 9973) AS company",
+        "if(id % 5 = 0, 'Closed with monetary relief', 'Untimely response') AS company_response",
+        "if(id % 4 = 0, 'No', 'Yes') AS timely",
+    )
+    card = peers.within_category_deviation(core, replace(SPEC, min_n=1))
+    assert "skew=true" in final_plan(card)
+    w = Window.partitionBy("product")
+    windowed = peers.entity_rates(core, replace(SPEC, min_n=1)).select(
+        "product", "company", F.count("*").over(w), F.median("pct_relief").over(w)
+    )
+    assert tuples(card, "product", "company", "peer_count", "cat_median_relief") == tuples(windowed)

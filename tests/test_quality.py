@@ -122,6 +122,20 @@ def test_slices_cover_the_range_once(spark):
         assert all((b2 - a1).days == 1 for (_, a1), (b2, _) in zip(got, got[1:]))
 
 
+def test_slices_do_not_shift_with_the_clocks(spark, conf):
+    conf(spark__sql__session__timeZone="America/New_York")
+    bounds = spark.createDataFrame(
+        [(DAY(2024, 10, 28), DAY(2024, 11, 17))], "date_from date, date_to date"
+    )
+    got = sorted(tuples(slices.window_slices(bounds)))
+    assert [a.day for a, _ in got] == [28, 4, 11]
+    df = cases(spark, on("2024-03-04", "2024-03-18", "2024-11-04"))
+    counted = slices.rows_per_slice(df, "date_received").where("n > 0").collect()
+    assert sorted(r.slice_from for r in counted) == [
+        DAY(2024, 3, 4), DAY(2024, 3, 18), DAY(2024, 11, 4),
+    ]
+
+
 def test_slices_of_an_empty_range(spark):
     bounds = spark.createDataFrame(
         [(DAY(2024, 2, 2), DAY(2024, 2, 1)), (None, None)], "date_from date, date_to date"
