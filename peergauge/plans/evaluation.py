@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 from peergauge.functions.labels import normalise_label
 from peergauge.operators import landing, sampling, scope, scoring
 from peergauge.session import write_shared
+from peergauge.sources.schemas import CENSUS
 from peergauge.spec import PRODUCT_LABELS, CaseSpec
 
 Classifier = Callable[[pd.Series], pd.Series]
 
-CENSUS_FIELDS = ("complaint_id", "date_received", "company", "issue", "sub_product", "narrative")
-
-
 @dataclass(frozen=True)
 class Scores:
     rows: DataFrame
@@ -120,9 +118,9 @@ def evaluate(
 
 def census(hits: DataFrame, order: Sequence[str]) -> DataFrame:
     """Every id once, with its first text, if that is long enough."""
-    rows = hits.select(*CENSUS_FIELDS, *order)
+    rows = hits.select(*CENSUS.names, *order)
     return scope.text_gate(landing.distinct_ids(rows, "complaint_id", order), "narrative").select(
-        *CENSUS_FIELDS
+        *CENSUS.names
     )
 
 

@@ -413,7 +413,6 @@ def full_reload_by_month(spark, sf):
     path = new_shared_path(spark, "cases")
     columns = ("complaint_id", "company", "date_received")
     replace_cases(_cases(spark, sf, *columns), path)
-    replace_cases(_cases(spark, sf, *columns), path)
     window = scope.date_window(spark.read.parquet(path), ORDER_CASES, "1996-02-10", "1996-04-20")
     return window.select(*columns)
 

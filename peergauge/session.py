@@ -8,11 +8,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, app: str = "peergauge", **conf: str) -> SparkSession:
+# A shuffle partition of this size is sorted in memory by an executor core with 2 GB.
+PARTITION_BYTES = 200 * 1024**2
+MAX_PARTITIONS = 50_000
+
+
+def shuffle_partitions(shuffled_bytes: int, cores: int) -> int:
+    """Partitions for a shuffle of so many bytes; at least one per core."""
+    return min(max(cores, -(-shuffled_bytes // PARTITION_BYTES)), MAX_PARTITIONS)
+
+
+def build_session(
+    master: str | None = None,
+    app: str = "peergauge",
+    shuffled_bytes: int | None = None,
+    cores: int = 1,
+    **conf: str,
+) -> SparkSession:
     """A session with the settings the operators are written for.
 
-    Partition numbers are left to adaptive execution: it starts from many
-    shuffle partitions and merges small ones by their measured size.
+    Adaptive execution merges shuffle partitions that turn out small, and splits
+    skewed ones in joins, but does not raise their number. For large input say
+    how much the largest shuffle moves, and it starts from partitions that fit
+    in memory.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -24,6 +42,9 @@ def build_session(master: str | None = None, app: str = "peergauge", **conf: str
         # Saves a stack trace per column expression while plans are built.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    if shuffled_bytes:
+        partitions = str(shuffle_partitions(shuffled_bytes, cores))
+        builder = builder.config("spark.sql.shuffle.partitions", partitions)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -58,7 +79,10 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     files are below ``spark.sql.autoBroadcastJoinThreshold``, and shuffles it
     otherwise.
     """
-    path = new_shared_path(df.sparkSession, label)
+    return write_and_read(df, new_shared_path(df.sparkSession, label))
+
+
+def write_and_read(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

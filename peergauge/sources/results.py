@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from peergauge.session import new_shared_path, remove_path
+from peergauge.session import new_shared_path, remove_path, write_and_read
 
 # An extract of more rows is no longer a single small file.
 SINGLE_FILE_ROWS = 1_000_000
@@ -19,8 +19,7 @@ def export_extract(extract: DataFrame, path: str, *order: str) -> None:
     """
     spark = extract.sparkSession
     staging = new_shared_path(spark, "extract")
-    extract.write.parquet(staging)
-    rows = spark.read.schema(extract.schema).parquet(staging)
+    rows = write_and_read(extract, staging)
     if rows.count() <= SINGLE_FILE_ROWS:
         rows = rows.coalesce(1).sortWithinPartitions(*order)
     else:

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from peergauge.operators.landing import first_per_key, keys_in_both
 from peergauge.operators.scope import MONTH_COLUMN
-from peergauge.session import new_shared_path, remove_path
+from peergauge.session import new_shared_path, remove_path, write_and_read
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def replace_cases(cases: DataFrame, path: str, received: str = "date_received")
     """
     spark = cases.sparkSession
     staging = new_shared_path(spark, "reload")
-    rows = _via(cases.drop(MONTH_COLUMN), staging)
+    rows = write_and_read(cases.drop(MONTH_COLUMN), staging)
     by_month(rows, received).write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(path)
     remove_path(spark, staging)
 
@@ -83,8 +83,9 @@ def insert_new(
     staging, overlap = new_shared_path(spark, "batch"), new_shared_path(spark, "overlap")
     firsts = first_per_key(batch, key, order, copies="_copies")
     others = [c for c in stored if c != key]
-    staged = _via(firsts.select(_required(key), *others, "_copies"), staging)
-    known = _via(keys_in_both(target, staged, key), overlap)
+    checked = firsts.select(_required(key), *others, "_copies")
+    staged = write_and_read(checked, staging)
+    known = write_and_read(keys_in_both(target, staged, key), overlap)
 
     fresh = staged.join(known, key, "left_anti").select(*stored)
     if stamp:
@@ -102,8 +103,3 @@ def insert_new(
 def _required(key: str) -> Column:
     missing = F.raise_error(F.lit(f"null {key} in batch"))
     return F.when(F.col(key).isNull(), missing).otherwise(F.col(key)).alias(key)
-
-
-def _via(rows: DataFrame, path: str) -> DataFrame:
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
