@@ -39,6 +39,8 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # All reports together compile more classes than the cache holds by default.
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         # Saves a stack trace per column expression while plans are built.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

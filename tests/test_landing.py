@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from helpers import tuples
@@ -388,3 +389,25 @@ def test_reports_on_a_landed_table(spark, tmp_path):
     assert rows["duplicate_id_count"][0][0] == 0
     assert all(r.violations == 0 for r in rows["acceptance_checks"])
     assert {r.grp for r in rows["subject_vs_rest"]} == {"MOHELA", "all others"}
+
+
+def test_random_batches_land_like_a_dictionary(spark, tmp_path):
+    """First write wins within and across batches, whatever the tasks and the hot key."""
+    rng = random.Random(3)
+    path, expected = str(tmp_path / "t"), {}
+    for batch_no in range(4):
+        rows = [
+            ("hot" if rng.random() < 0.4 else f"k{rng.randrange(60)}", place, f"{batch_no}-{place}")
+            for place in range(120)
+        ]
+        new = {}
+        for key, _, value in rows:
+            new.setdefault(key, value)
+        fresh = {k: v for k, v in new.items() if k not in expected}
+        batch = spark.createDataFrame(rows, "id string, place int, v string").repartition(3)
+        landed = insert_new(batch, path, "id", ("place",))
+        assert (landed.fetched, landed.inserted) == (120, len(fresh))
+        expected.update(fresh)
+    got = read_table(spark, path, batch.schema)
+    assert {r.id: r.v for r in got.collect()} == expected
+    assert got.count() == len(expected)

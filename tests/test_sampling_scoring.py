@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pandas as pd
 import pytest
@@ -225,3 +226,23 @@ def test_audit(spark, narratives):
     assert (row.usable, row.both_probes, row.belongs) == (60, 30, 30)
     assert "narrative" not in got.rows.columns
     assert tuples(got.categories) == [("Mortgage", 30), ("Student loan", 30)]
+
+
+def test_random_answers_equal_python(spark):
+    rng = random.Random(7)
+    pieces = ["mortgage", "DEBT", "collection", "Yes", "no", ".", "..", " ", "\t", "\n", "\xa0"]
+    pieces += [" ", "　", "\x1f", "é", "?"]
+    answers = ["".join(rng.choices(pieces, k=rng.randrange(5))) for _ in range(400)]
+
+    def label(text):
+        text = text.strip()
+        known = {x.lower(): x for x in LABELS}
+        return known.get(text.lower(), f"UNPARSEABLE::{text[:60]}")
+
+    def yes_no(text):
+        word = text.strip().upper().rstrip(".")
+        return word if word in ("YES", "NO") else f"UNPARSEABLE::{text.strip()[:60]}"
+
+    assert normalised(spark, strip, answers) == [a.strip() for a in answers]
+    assert normalised(spark, normalise_label, answers, LABELS) == [label(a) for a in answers]
+    assert normalised(spark, normalise_yes_no, answers) == [yes_no(a) for a in answers]
