@@ -1,19 +1,21 @@
 import datetime as dt
 import json
 import random
+from pathlib import Path
 
 import pytest
-from helpers import tuples
+from helpers import final_plan, tuples
 from pyspark.sql import functions as F
 
-from peergauge.operators.landing import new_rows
+from peergauge.operators.landing import keys_in_both, new_rows
 from peergauge.operators.scope import keep_snapshot
 from peergauge.plans import routes
 from peergauge.plans.complaints import complaint_reports, read_cases, register_views
+from peergauge.session import shared_dir, write_shared
 from peergauge.sources import results, runs, schemas
 from peergauge.sources.csv_export import read_csv_export
 from peergauge.sources.search_pages import read_search_pages
-from peergauge.sources.tables import insert_new, read_table, replace_cases
+from peergauge.sources.tables import by_month, insert_new, read_table, replace_cases
 from peergauge.spec import CaseSpec
 from peergauge.streaming.landing import dedupe_recent
 
@@ -181,10 +183,6 @@ def test_an_empty_batch_lands_nothing(spark, tmp_path):
 
 
 def test_a_month_of_most_rows_is_written_by_several_tasks(spark, conf):
-    from helpers import final_plan
-
-    from peergauge.sources.tables import by_month
-
     conf(spark__sql__adaptive__advisoryPartitionSizeInBytes="64KB")
     stamp = "timestamp_ntz'2024-01-01' + make_dt_interval(if(id % 3 = 0, id % 300, 0))"
     df = spark.range(0, 60_000, 1, 8).selectExpr("id", f"{stamp} AS date_received")
@@ -195,10 +193,6 @@ def test_a_month_of_most_rows_is_written_by_several_tasks(spark, conf):
 
 
 def test_staging_folders_are_removed(spark, tmp_path):
-    from pathlib import Path
-
-    from peergauge.session import shared_dir
-
     root = Path(shared_dir(spark).removeprefix("file:")) / "peergauge"
     before = set(root.iterdir()) if root.exists() else set()
     batch = spark.createDataFrame([("a", 1)], "id string, place int")
@@ -206,14 +200,31 @@ def test_staging_folders_are_removed(spark, tmp_path):
     assert set(root.iterdir()) == before
 
 
-def test_new_rows_shuffles_neither_side_of_a_large_target(spark):
-    from helpers import plan
-
-    target = spark.range(100).selectExpr("cast(id AS string) AS id")
-    batch = spark.createDataFrame([("5", 1), ("x", 2)], "id string, v int")
+def test_the_target_is_filtered_before_any_shuffle(spark):
+    """The batch's keys are broadcast to the target, whichever of the two is larger."""
+    target = write_shared(spark.range(200_000).selectExpr("cast(id AS string) AS id"), "target")
+    rows = [("5", 1), ("x", 2)]
+    batch = write_shared(spark.createDataFrame(rows, "id string, v int"), "batch")
+    known = keys_in_both(target, batch, "id")
+    assert tuples(known) == [("5",)]
+    assert "LeftSemi, BuildRight" in final_plan(known)
+    assert "SortMergeJoin" not in final_plan(known)
     fresh = new_rows(batch, target, "id")
     assert tuples(fresh) == [("x", 2)]
-    assert "CartesianProduct" not in plan(fresh)
+
+
+def test_a_batch_too_large_to_broadcast_gives_the_same(spark, conf):
+    target = spark.range(500).selectExpr("cast(id AS string) AS id")
+    batch = spark.range(400, 600).selectExpr("cast(id AS string) AS id", "id AS v")
+    expected = [(str(i), i) for i in range(500, 600)]
+    assert tuples(new_rows(batch, target, "id")) == expected
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+    )
+    fresh = new_rows(batch, target, "id")
+    assert tuples(fresh) == expected
+    assert "Broadcast" not in final_plan(fresh)
 
 
 def test_stream_equals_batch(spark, tmp_path):
