@@ -46,3 +46,8 @@ def packed_lists(packed: list[bytes]) -> pa.ListArray:
     if ends[-1] > np.iinfo(np.int32).max:
         raise ValueError("too many ids for one batch")
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The planner's size of a table; for files, what they take on disk."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

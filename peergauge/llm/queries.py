@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from peergauge.llm.bpe_words import decode_documents, encode_documents
 from peergauge.llm.common import read_table
+from peergauge.llm.packing import pack_documents
 from peergauge.llm.token_files import read_token_files, with_ids_crc32, write_token_files
 from peergauge.session import new_shared_path
 
@@ -18,6 +21,34 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    pieces = pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=1)
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    docs = read_table(spark, sf_dir, "documents")
+    encoded = encode_documents(docs, ranks, public_tokenizers.PATTERN)
+    return decode_documents(encoded, ranks).select(
+        "doc_id",
+        F.floor(F.length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "token-files")
     docs = read_table(spark, sf_dir, "documents")
@@ -26,6 +57,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
+    "op5_bpe": op5_bpe,
     "op7_token_files": op7_token_files,
 }
 ORACLE: dict[str, str] = {}
