@@ -29,8 +29,10 @@ from peergauge.session import new_shared_path
 
 # Texts of a block together, or one text.
 BLOCK_BYTES = 16 * 1024**2
-# Text per share of the hash space; a share's distinct words are encoded in one task.
-SHARE_BYTES = 16 * 1024**2
+# The planner's size of a table of unknown size is beyond any real one.
+_UNKNOWN_BYTES = 2**60
+# Spark's own limit.
+MAX_BUCKETS = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -197,6 +199,12 @@ def _reassemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, kind), "ids": pa.array(out, pa.binary())})
 
 
+def _parts(texts: DataFrame) -> int:
+    """Shares of the hash space: one per block of text, as far as the planner knows the size."""
+    size = input_bytes(texts)
+    return size // BLOCK_BYTES + 1 if size < _UNKNOWN_BYTES else 1
+
+
 def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id and ``ids`` (packed, 4 little-endian bytes each) of every row's whole text.
 
@@ -205,19 +213,17 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     own. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    size = input_bytes(docs)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = max(partitions, size // SHARE_BYTES + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _parts(docs.select("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = docs.select("doc_id", whole_text().alias("text")).mapInArrow(
-        _blocks(pattern, shares),
+        _blocks(pattern, parts),
         f"block long, share int, words binary, doc_ids array<{kind}>, counts array<long>, "
         "positions binary",
     )
     table = f"word_blocks_{uuid.uuid4().hex}"
     (
         blocks.write.option("path", new_shared_path(spark, "word-blocks"))
-        .bucketBy(max(partitions, size // BLOCK_BYTES + 1), "block")
+        .bucketBy(min(parts, MAX_BUCKETS), "block")
         .saveAsTable(table)
     )
     written = spark.table(table)

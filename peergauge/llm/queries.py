@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from peergauge.llm.bpe_words import decode_documents, encode_documents
 from peergauge.llm.common import read_table
+from peergauge.llm.near_dups import near_duplicates
 from peergauge.llm.packing import pack_documents
 from peergauge.llm.token_files import read_token_files, with_ids_crc32, write_token_files
 from peergauge.session import new_shared_path
@@ -49,6 +50,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "token-files")
     docs = read_table(spark, sf_dir, "documents")
@@ -59,6 +64,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
+    "op6_minhash": op6_minhash,
     "op7_token_files": op7_token_files,
 }
 ORACLE: dict[str, str] = {}

@@ -2,8 +2,8 @@
 
 A text is cut at blanks before it is encoded. The pre-tokenizer of the byte-level vocabularies starts
 a new piece at every blank that a visible character follows, so no merge crosses such a place and
-each stretch can be encoded alone. Stretches repeat a lot; a bounded cache keeps their ids. So do
-single line breaks between visible characters, which are pieces of their own.
+each stretch can be encoded alone; so can a line break between visible characters. Stretches repeat
+a lot, and a bounded cache keeps their ids. Texts with other white space take a slower cut.
 """
 
 from __future__ import annotations
@@ -12,11 +12,18 @@ import functools
 import re
 import struct
 
-# At most about 150 MB of cached stretches in a worker.
-CACHED_STRETCHES = 600_000
+# Stretches per generation of the cache; two generations take about 200 MB in a worker.
+CACHED_STRETCHES = 400_000
 ID_BYTES = 4
 _CUT = re.compile(r" (?=\S)")
-_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
+# Places where white space is more than a single blank or line break between visible characters.
+_ODD = (
+    *("  ", "\n\n", " \n", "\n "),
+    *"\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680",
+    *map(chr, range(0x2000, 0x200B)),
+    *"\u2028\u2029\u202f\u205f\u3000",
+)
+_TAILS = ".,!?;:"
 # Up to here letters and digits are the same in every Unicode version the libraries follow.
 _STABLE = "ɏ"
 
@@ -39,58 +46,84 @@ class TextEncoder:
         self._tokenizer = Tokenizer.from_file(vocabulary)
         # The strings of special tokens are ordinary text here.
         self._tokenizer.encode_special_tokens = True
-        self._model = self._tokenizer.model
+        self._tokens = self._tokenizer.model.tokenize
         self._pieces = regex.compile(public_tokenizers.PATTERN).findall
         self._letters = _byte_letters()
-        self._ids_of_piece: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {}
-        self._after_blank: dict[str, bytes] = {}
         self._newline = self._whole("\n")
+        self._ids = _Cache(self._stretch)
+        self._piece = _Cache(self._merged)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[_CUT.split(line) for line in _lines(text)] for text in texts]
-        first, rest, newline = self._first, self._after_blank, self._newline
-        for stretch in {line[0] for lines in cut for line in lines}.difference(first):
-            first[stretch] = self._stretch(stretch)
-        for stretch in {s for lines in cut for line in lines for s in line[1:]}.difference(rest):
-            rest[stretch] = self._stretch(" " + stretch)
-        encoded = [
-            newline.join([first[line[0]] + b"".join([rest[s] for s in line[1:]]) for line in lines])
-            for lines in cut
-        ]
-        for cache in (first, rest, self._ids_of_piece):
-            if len(cache) > CACHED_STRETCHES:
-                cache.clear()
+        encoded = [self._text(text) for text in texts]
+        self._ids.turn()
+        self._piece.turn()
         return encoded
 
-    def _stretch(self, text: str) -> bytes:
-        if not text or max(text) > _STABLE:
+    def _text(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if _unusual(text):
+            first, *rest = _CUT.split(text)
+            return self._split(first) + b"".join([self._split(" " + s) for s in rest])
+        # Stretches follow a blank, or begin with a line break.
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self._split(first) + b"".join(map(self._ids.__getitem__, rest))
+
+    def _stretch(self, stretch: str) -> bytes:
+        if stretch[0] == "\n":
+            return self._newline + self._split(stretch[1:])
+        if stretch.isalpha():
+            if stretch.isascii():
+                return self._tokens_of(self._letters[32] + stretch)
+            return self._merged(" " + stretch)
+        if stretch[-1] in _TAILS and stretch[:-1].isalpha():
+            return self._ids[stretch[:-1]] + self._piece[stretch[-1]]
+        return self._split(" " + stretch)
+
+    def _split(self, text: str) -> bytes:
+        if not text.isascii() and max(text) > _STABLE:
             return self._whole(text)
-        known = self._ids_of_piece
-        ids = b""
-        for piece in self._pieces(text):
-            found = known.get(piece)
-            if found is None:
-                letters = piece.encode().decode("latin-1").translate(self._letters)
-                found = _packed([t.id for t in self._model.tokenize(letters)])
-                known[piece] = found
-            ids += found
-        return ids
+        piece = self._piece
+        return b"".join([piece[p] for p in self._pieces(text)])
+
+    def _merged(self, piece: str) -> bytes:
+        if max(piece) > _STABLE:
+            return self._whole(piece)
+        return self._tokens_of(piece.encode().decode("latin-1").translate(self._letters))
+
+    def _tokens_of(self, letters: str) -> bytes:
+        return _packed([t.id for t in self._tokens(letters)])
 
     def _whole(self, text: str) -> bytes:
         return _packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+class _Cache(dict):
+    """Ids by stretch; when full it becomes the older generation, whose hits move up again."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self._encode, self._older = encode, {}
 
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self._older.get(stretch)
+        if ids is None:
+            ids = self._encode(stretch)
+        self[stretch] = ids
+        return ids
 
-def _lines(text: str) -> list[str]:
-    """The text cut where a single line break stands between visible characters."""
-    lines = text.split("\n")
-    if all(s and not s[0].isspace() and not s[-1].isspace() for s in lines):
-        return lines
-    return _BREAK.split(text)
+    def turn(self) -> None:
+        if len(self) > CACHED_STRETCHES:
+            self._older = dict(self)
+            self.clear()
+
+
+def _unusual(text: str) -> bool:
+    return text[0].isspace() or text[-1].isspace() or any(odd in text for odd in _ODD)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @functools.lru_cache(maxsize=2)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from peergauge.llm.common import packed_lists, slices, whole_text
 from peergauge.llm.text_ids import encoder
+from peergauge.session import write_shared
 
 ROW_GROUP_BYTES = 64 * 1024**2
 PAGE_BYTES = 256 * 1024
@@ -93,7 +94,10 @@ def read_token_files(spark: SparkSession, path: str, *columns: str) -> DataFrame
     sizes = rows.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("_size"))
     # One row per shard, which is a task of the writing job.
     before = F.sum("_size").over(Window.orderBy("shard")) - F.col("_size")
-    bases = sizes.select(F.col("shard").alias("_shard"), before.alias("_base"))
+    # Written, so that the planner knows that it is small.
+    bases = write_shared(
+        sizes.select(F.col("shard").alias("_shard"), before.alias("_base")), "token-bases"
+    )
     return rows.join(bases, F.col("shard") == F.col("_shard")).select(
         "doc_id",
         (F.col("_base") + F.col("start_in_shard")).alias("start"),
