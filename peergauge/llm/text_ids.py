@@ -12,8 +12,8 @@ import functools
 import re
 import struct
 
-# Stretches per generation of the cache; two generations take about 200 MB in a worker.
-CACHED_STRETCHES = 400_000
+# Stretches per generation of the cache; two generations take about 120 MB in a worker.
+CACHED_STRETCHES = 250_000
 ID_BYTES = 4
 _CUT = re.compile(r" (?=\S)")
 # Places where white space is more than a single blank or line break between visible characters.
