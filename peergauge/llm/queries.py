@@ -11,8 +11,9 @@ from peergauge.llm.bpe_words import decode_documents, encode_documents
 from peergauge.llm.common import read_table
 from peergauge.llm.near_dups import near_duplicates
 from peergauge.llm.packing import pack_documents
+from peergauge.llm.rules import count_text, fit_cutoffs, judge
 from peergauge.llm.token_files import read_token_files, with_ids_crc32, write_token_files
-from peergauge.session import new_shared_path
+from peergauge.session import new_shared_path, write_shared
 
 
 def vocabulary(name: str) -> str:
@@ -61,10 +62,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ids_crc32(read_token_files(spark, path, "ids"))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    counted = write_shared(count_text(docs).drop("text"), "word-counts")
+    cutoffs = fit_cutoffs(counted, read_table(spark, sf_dir, "labels"))
+    return judge(counted, cutoffs).drop("lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_minhash": op6_minhash,
     "op7_token_files": op7_token_files,
+    "op8_rules": op8_rules,
 }
 ORACLE: dict[str, str] = {}
