@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peergauge.llm.bpe_words import decode_documents, encode_documents
@@ -12,6 +12,7 @@ from peergauge.llm.common import read_table
 from peergauge.llm.near_dups import near_duplicates
 from peergauge.llm.packing import pack_documents
 from peergauge.llm.rules import count_text, fit_cutoffs, judge
+from peergauge.llm.secrets import STRONG, as_text, find_secrets
 from peergauge.llm.token_files import read_token_files, with_ids_crc32, write_token_files
 from peergauge.session import new_shared_path, write_shared
 
@@ -69,11 +70,28 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(counted, cutoffs).drop("lang")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs)
+
+    def count(kind: str) -> Column:
+        of_kind = F.filter("strong", lambda s: s["kind"] == kind)
+        return F.size(of_kind).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, STRONG),
+        F.sha2(as_text(F.col("strong")), 256).alias("base_sha256"),
+        as_text(F.sort_array(F.concat("strong", "linked"))).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_minhash": op6_minhash,
     "op7_token_files": op7_token_files,
     "op8_rules": op8_rules,
+    "op9_secrets": op9_secrets,
 }
 ORACLE: dict[str, str] = {}
