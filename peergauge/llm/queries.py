@@ -14,6 +14,7 @@ from peergauge.llm.packing import pack_documents
 from peergauge.llm.rules import count_text, fit_cutoffs, judge
 from peergauge.llm.secrets import STRONG, as_text, find_secrets
 from peergauge.llm.token_files import read_token_files, with_ids_crc32, write_token_files
+from peergauge.llm.weak_labels import fit_quality, read_documents, score_documents
 from peergauge.session import new_shared_path, write_shared
 
 
@@ -86,6 +87,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_documents(read_table(spark, sf_dir, "documents"))
+    return score_documents(read, fit_quality(read))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
@@ -93,5 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_rules": op8_rules,
     "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
