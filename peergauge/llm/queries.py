@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peergauge.llm import chat, licences
 from peergauge.llm.bpe_words import decode_documents, encode_documents
 from peergauge.llm.common import read_table
+from peergauge.llm.mih import nearest
 from peergauge.llm.near_dups import near_duplicates
 from peergauge.llm.packing import pack_documents
 from peergauge.llm.rules import count_text, fit_cutoffs, judge
@@ -25,6 +27,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = read_table(spark, sf_dir, "embeddings")
+    return nearest(embeddings, F.col("vec_id") % 20 == 0, k=20)
+
+
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = licences.known_licences(spark)
+    return licences.scan_licences(read_table(spark, sf_dir, "documents"), known)
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     pieces = pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=1)
@@ -93,6 +109,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mih": op1_mih,
+    "op2_licences": op2_licences,
+    "op3_chat": op3_chat,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_minhash": op6_minhash,
@@ -101,4 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_licences": licences.oracle_sql(),
+    "op3_chat": chat.ORACLE_SQL,
+}
