@@ -1,12 +1,82 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents: filtered, deduplicated, masked and packed.
+
+Every stage works on all rows that its predecessor kept. A stage is a function of the session, the
+documents so far and the folder of the other tables; its result is written and read again before the
+next one. All but the last return the columns of the documents they were given.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peergauge.llm.common import read_table
+from peergauge.llm.near_dups import near_duplicates
+from peergauge.llm.packing import pack_documents
+from peergauge.llm.queries import vocabulary
+from peergauge.llm.rules import count_text, fit_cutoffs, judge
+from peergauge.llm.secrets import find_secrets, masked
+from peergauge.llm.weak_labels import fit_quality, keep_accepted, read_documents
+from peergauge.session import write_shared
+
+END_ID = 1
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without labels: documents that the weakly supervised scorer rejects go."""
+    return keep_accepted(docs, fit_quality(read_documents(docs)))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or exceed a certified cutoff of their language, go.
+
+    Cutoffs are fitted on the labelled documents among those given. Texts are counted again for the
+    verdict rather than shuffled to meet their first counts.
+    """
+    labels = read_table(spark, sf_dir, "labels")
+    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    cutoffs = fit_cutoffs(count_text(labelled.select("doc_id", "text", "lang")), labels)
+    return judge(count_text(docs), cutoffs).where("kept").select(docs.columns)
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates the document with the smallest doc_id stays."""
+    groups = near_duplicates(docs, size=5, percent=80)
+    gone = write_shared(groups.where("not kept").select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are masked, and n_chars follows."""
+    found = find_secrets(docs)
+    spans = F.sort_array(F.concat("strong", "linked"))
+    text = masked(F.col("text"), spans)
+    n_chars = F.when(F.size(spans) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    changed = {"text": text, "n_chars": n_chars}
+    return found.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in sequences of 2048, as pieces with their places."""
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), END_ID)
+
 
-STAGES: list = []
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicate_groups),
+    ("secret_scan", secret_masks),
+    ("packing", packing),
+]
+# SQL can express neither the learned scorer nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = write_shared(stage(spark, docs, sf_dir), name)
+    return docs

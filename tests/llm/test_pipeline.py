@@ -1,0 +1,115 @@
+"""The pipeline stage by stage against plain versions, each judged on its own input."""
+
+import corpus_pipeline
+import pytest
+from helpers_llm import SF, sf_documents
+from test_near_dups import roots, shingles
+from test_secrets import base
+from test_tokens import check_packing
+
+from peergauge.llm.weak_labels import ShapeHasher, fit_quality, read_documents
+from peergauge.session import write_shared
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs, kept = sf_documents(spark), []
+    for name, stage in corpus_pipeline.STAGES:
+        given, docs = docs, write_shared(stage(spark, docs, SF), name)
+        kept.append((given, docs))
+    return kept
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_stages_keep_the_columns_of_documents(spark, stages):
+    documents = sf_documents(spark)
+    for _, kept in stages[:-1]:
+        assert kept.schema.simpleString() == documents.schema.simpleString()
+        assert kept.count() > 0
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == [
+        "quality_classifier",
+        "quality_rules",
+        "near_duplicates",
+        "secret_scan",
+        "packing",
+    ]
+
+
+def test_classifier_keeps_exactly_what_the_scorer_accepts(spark, stages):
+    given, kept = stages[0]
+    model, hasher = fit_quality(read_documents(given)), ShapeHasher()
+    expected = {
+        r.doc_id for r in given.collect() if model.score(*hasher.features(r.text.split())) >= 0.5
+    }
+    assert set(by_id(kept)) == expected
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    assert {r.doc_id for r in labels if r.quality} <= expected
+    assert not {r.doc_id for r in labels if not r.quality} & expected
+
+
+def test_rules_drop_what_fails_the_base(stages):
+    given, kept = map(by_id, stages[1])
+    for doc_id, r in given.items():
+        words = r.text.split()
+        if len(words) < 50:
+            assert doc_id not in kept
+        elif doc_id not in kept:
+            windows = list(zip(words, words[1:], words[2:], strict=False))
+            assert len(set(windows)) < len(windows)
+
+
+def test_one_document_of_each_group_stays(stages):
+    given, kept = map(by_id, stages[2])
+    sets = {i: shingles(r.text, 5) for i, r in given.items()}
+    links = [
+        (a, b)
+        for a in sets
+        for b in sets
+        if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0
+    ]
+    assert set(kept) == set(roots(links, sets).values())
+    assert all(kept[i] == given[i] for i in kept)
+
+
+def test_secrets_are_masked_and_nothing_else(stages):
+    given, kept = map(by_id, stages[3])
+    assert set(given) == set(kept)
+    for doc_id, r in given.items():
+        assert base(kept[doc_id].text) == []
+        assert kept[doc_id].n_chars == len(kept[doc_id].text)
+        if not base(r.text) and "[SECRET]" not in kept[doc_id].text:
+            assert kept[doc_id] == r
+
+
+def test_packing_holds_every_document(stages):
+    import public_tokenizers
+    import tokenizers
+
+    given, pieces = stages[4]
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    check_packing(
+        pieces.collect(),
+        given.collect(),
+        lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids,
+        2048,
+    )
+
+
+def test_run_applies_all_stages(spark, stages):
+    whole = corpus_pipeline.run(spark, SF)
+    last = stages[-1][1]
+    assert whole.columns == last.columns
+    key = ("doc_id", "start", "length", "doc_tokens")
+    assert sorted(whole.select(*key).collect()) == sorted(last.select(*key).collect())
+
+
+def test_empty_documents_pass_through(spark, tmp_path):
+    docs = sf_documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = write_shared(stage(spark, docs, SF), name)
+        assert docs.count() == 0
