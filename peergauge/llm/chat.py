@@ -47,8 +47,8 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
         "conv_id",
         "block",
         "turn",
-        F.xxhash64(F.lit(1), *content).alias("h1"),
-        F.xxhash64(F.lit(2), *content).alias("h2"),
+        F.xxhash64(F.lit(1), *content).cast(_SUM).alias("h1"),
+        F.xxhash64(F.lit(2), *content).cast(_SUM).alias("h2"),
     )
     sums = ("n", "h1", "h2")
 
@@ -143,7 +143,7 @@ WITH turns AS (
     WHERE b.items[1] = a.items[1] AND b.n_turns > a.n_turns AND b.items[1:a.n_turns] = a.items)
   GROUP BY items, n_turns
 )
-SELECT conv_id, coalesce(turn // {BLOCK_TURNS}, -{2**60}) AS part, n_turns, n_copies, string_agg(
+SELECT conv_id, coalesce(floor(turn / {BLOCK_TURNS}.0)::BIGINT, -{2**60}) AS part, n_turns, n_copies, string_agg(
   '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10),
   '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
 FROM turns JOIN kept USING (conv_id) GROUP BY 1, 2, 3, 4

@@ -23,8 +23,8 @@ NAMES: dict[str, tuple[str, ...]] = {
     "BSD-3-Clause": ("BSD 3-Clause License", "Modified BSD License", "BSD-3-Clause"),
     "ISC": ("ISC License", "ISC"),
     "MPL-2.0": ("Mozilla Public License, Version 2.0", "MPL-2.0"),
-    "GPL-2.0": ("GNU General Public License, version 2", "GPL-2.0", "GPLv2"),
-    "GPL-3.0": ("GNU General Public License, version 3", "GPL-3.0", "GPLv3"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GPL-2.0", "GPLv2", "GPL v2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GPL-3.0", "GPLv3", "GPL v3"),
     "LGPL-3.0": ("GNU Lesser General Public License, version 3", "LGPL-3.0", "LGPLv3"),
     "AGPL-3.0": ("GNU Affero General Public License, version 3", "AGPL-3.0", "AGPLv3"),
     "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "CC0-1.0"),
@@ -103,8 +103,8 @@ TEXTS: tuple[tuple[str, str], ...] = (
     ("BSD-2-Clause", "\n\n".join((_BSD_GRANT, _BSD_DISCLAIMER))),
     ("BSD-3-Clause", "\n\n".join((_BSD_GRANT, _BSD_NAME, _BSD_DISCLAIMER))),
 )
-# Every known licence has one of these, in any case.
-MARKERS = ("licen", "permission", "redistribution")
+# Every known licence has one of these, in any case and however its words are set apart.
+MARKERS = r"(?i)licen|permission|redistribution|(released|distributed|available)\W+under"
 # Spellings that count as the same.
 EQUIVALENT: tuple[tuple[str, str], ...] = (
     ("licence", "license"),
@@ -139,7 +139,7 @@ def known_texts() -> list[tuple[str, str]]:
                             (identifier, f"{subject}{verb}{tail}{article}{name}.")
                             for article in ("the ", "")
                         ]
-    return [(i, t) for i, t in [*notices, *TEXTS] if any(m in t.lower() for m in MARKERS)]
+    return [*notices, *TEXTS]
 
 
 def canonical(text: Column) -> Column:
@@ -157,7 +157,7 @@ def known_licences(spark: SparkSession) -> DataFrame:
 
 
 def _marked(text: Column) -> Column:
-    return text.rlike("(?i)" + "|".join(MARKERS))
+    return text.rlike(MARKERS)
 
 
 def _units(text: Column) -> Column:
@@ -215,7 +215,7 @@ def _sql_canonical(text: str) -> str:
 
 def oracle_sql() -> str:
     values = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in known_texts())
-    marked = "regexp_matches({}, '(?i)" + "|".join(MARKERS) + "')"
+    marked = f"regexp_matches({{}}, {_sql_text(MARKERS)})"
     return rf"""
 WITH known AS (
   SELECT min(licence) AS licence, {_sql_canonical("text")} AS form

@@ -1,0 +1,139 @@
+"""Quality rules against plain counting, exact binomial bounds, and the promise they make."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from helpers_llm import SF, awkward, documents, sf_documents
+from pyspark.sql import functions as F
+
+from peergauge.llm import queries
+from peergauge.llm.rules import RULES, binomial_log_tail, count_text, fit_cutoffs, judge
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def counts(text):
+    text = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]", text) if w]
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = set()
+    for i in range(len(words) - 2):
+        if windows[tuple(words[i : i + 3])] > 1:
+            covered.update((i, i + 1, i + 2))
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        len(lines) - len(set(lines)),
+        len(covered),
+    )
+
+
+COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def test_query_has_the_base_counts_of_every_document(spark):
+    got = {r.doc_id: r for r in queries.op8_rules(spark, SF).collect()}
+    rows = sf_documents(spark).collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        found, expected = got[r.doc_id], counts(r.text)
+        assert tuple(found[c] for c in COLUMNS) == expected
+        failed = expected[0] < 50 or 100 * expected[4] > 50 * expected[0]
+        assert found.base_failed == failed
+        assert not (failed and found.kept)
+
+
+def test_awkward_rows_are_counted(spark):
+    rng = random.Random(2)
+    noisy = [" ".join(rng.choice("ab") for _ in range(n)) for n in range(40)]
+    noisy += ["x y\nx y\n \n\nx y", "a b c a b c a b", "# <b> 100% $5 & |"]
+    docs = documents(spark, noisy).unionByName(awkward(spark))
+    got = count_text(docs.select("doc_id", "text")).select("text", *COLUMNS).collect()
+    for r in got:
+        assert tuple(r)[1:] == counts(r.text), r.text[:50]
+
+
+@pytest.mark.parametrize("rate", [0.01, 0.3])
+def test_binomial_tail_is_exact(spark, rate):
+    cases = [(k, n) for n in (0, 1, 40, 900) for k in (0, 1, 3, 8, 200) if k <= n]
+    df = spark.createDataFrame(cases, "k long, n long")
+    for r in df.withColumn("t", binomial_log_tail(F.col("k"), F.col("n"), rate)).collect():
+        exact = sum(math.comb(r.n, i) * rate**i * (1 - rate) ** (r.n - i) for i in range(r.k + 1))
+        assert math.exp(r.t) == pytest.approx(exact if r.k < r.n * rate else 1.0)
+
+
+def test_binomial_tail_of_many_does_not_underflow(spark):
+    df = spark.createDataFrame([(10, 10_000_000)], "k long, n long")
+    tail = df.select(binomial_log_tail(F.col("k"), F.col("n"), 0.01)).first()[0]
+    assert -101_000 < tail < -90_000
+
+
+def labelled(spark, good, bad, lang="en"):
+    """(counted, labels): good and bad documents, of which ``symbols`` words in ten are symbols."""
+    rng = random.Random(4)
+    texts, labels = [], []
+    for quality, n, symbols in ((1, good, 0), (0, bad, 4)):
+        for _ in range(n):
+            words = [f"w{rng.random()}" for _ in range(60)]
+            words[: 6 * symbols] = ["#"] * (6 * symbols)
+            labels.append((len(texts), quality, 0))
+            texts.append(" ".join(words))
+    docs = documents(spark, texts, extra=False).withColumn("lang", F.lit(lang).cast("string"))
+    return count_text(docs.select("doc_id", "text", "lang")), spark.createDataFrame(labels, LABELS)
+
+
+def test_enough_labels_certify_a_cutoff(spark):
+    counted, labels = labelled(spark, 1500, 200)
+    cutoffs = fit_cutoffs(counted, labels)
+    row = cutoffs.first()
+    assert row._stratum == "en"
+    # The loosest cutoff that still rejects all the bad ones: four words in ten.
+    assert row._cut_symbols_per_word == 0.3
+    assert row._cut_marks_per_word is None
+    kept = judge(counted, cutoffs).where("kept").count()
+    assert kept == 1500
+
+
+def test_few_labels_certify_nothing(spark):
+    counted, labels = labelled(spark, 100, 50, lang=None)
+    cutoffs = fit_cutoffs(counted, labels)
+    assert set(cutoffs.first()) == {None}
+    assert judge(counted, cutoffs).where("kept").count() == 150
+
+
+def test_the_bound_holds_where_good_texts_have_symbols_too(spark):
+    """With good texts of symbols as often as ``alpha`` allows for a rule, it is not certified."""
+    counted, labels = labelled(spark, 1000, 15)
+    mixed = labels.withColumn("quality", F.lit(1))
+    assert fit_cutoffs(counted, mixed).first()._cut_symbols_per_word is None
+
+
+def test_awkward_labels(spark):
+    docs = awkward(spark).select("doc_id", "text", "lang")
+    labels = spark.createDataFrame(
+        [(0, 1, 0), (0, 0, 0), (1, None, 0), (None, 1, None), (99, 1, 0)], LABELS
+    )
+    counted = count_text(docs)
+    verdicts = judge(counted, fit_cutoffs(counted, labels))
+    assert verdicts.count() == docs.count()
+    none = judge(counted, fit_cutoffs(counted, labels.limit(0)))
+    assert none.count() == docs.count()
+
+
+def test_no_rows_and_no_python(spark):
+    docs = documents(spark, [], extra=False)
+    counted = count_text(docs)
+    labels = spark.createDataFrame([], LABELS)
+    verdicts = judge(counted, fit_cutoffs(counted, labels))
+    assert verdicts.collect() == []
+    plan = verdicts._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_cutoffs_rise(spark):
+    assert all(list(cuts) == sorted(set(cuts)) for cuts in RULES.values())
