@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peergauge.llm.common import input_bytes, slices, whole_text
+from peergauge.llm.common import bounded_batches, input_bytes, slices, whole_text
 from peergauge.session import new_shared_path
 
 # Texts of a block together, or one text.
-BLOCK_BYTES = 16 * 1024**2
+BLOCK_BYTES = 10 * 1024**2
 # The planner's size of a table of unknown size is beyond any real one.
 _UNKNOWN_BYTES = 2**60
 # Spark's own limit.
@@ -76,6 +76,17 @@ def _unpack(data: bytes) -> pa.Array:
         return reader.read_next_batch().column(0)
 
 
+def _pack_planes(numbers: np.ndarray) -> bytes:
+    """First all numbers' lowest bytes, then the next ones: the higher planes are nearly constant."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return _pack(pa.array(np.ascontiguousarray(planes).ravel()))
+
+
+def _unpack_planes(data: bytes) -> np.ndarray:
+    planes = _unpack(data).to_numpy().reshape(4, -1).T
+    return np.ascontiguousarray(planes).view("<u4").ravel()
+
+
 def _blocks(pattern: str, shares: int) -> Callable:
     """Turns documents into blocks: one row of positions, and one row of words per share."""
 
@@ -89,18 +100,17 @@ def _blocks(pattern: str, shares: int) -> Callable:
         ids, counts, codes, size = [], [], [], 0
 
         def block() -> Iterator[pa.RecordBatch]:
-            words = np.array([*numbers, None], object)[:-1]
-            share = np.array([hashed(w) % shares for w in numbers], np.int64)
-            order = np.argsort(share, kind="stable")
-            renumbered = np.empty(len(order), np.uint32)
-            renumbered[order] = np.arange(len(order), dtype=np.uint32)
+            dealt: dict[int, list[str]] = {}
+            for word in numbers:
+                dealt.setdefault(hashed(word) % shares, []).append(word)
+            # Words are numbered anew by share and name; neighbours alike compress well.
+            lists = [(s, sorted(dealt[s])) for s in sorted(dealt)]
+            renumbered = np.empty(len(numbers), np.uint32)
+            ordered = (numbers[word] for _, words in lists for word in words)
+            old = np.fromiter(ordered, np.int64, len(numbers))
+            renumbered[old] = np.arange(len(numbers), dtype=np.uint32)
             positions = renumbered[np.concatenate([*codes, np.empty(0, np.uint32)])]
-            bounds = np.searchsorted(share[order], np.arange(shares + 1))
-            lists = [
-                (s, _pack(pa.array(words[order[a:b]], pa.string())))
-                for s, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))
-                if b > a
-            ]
+            lists = [(s, _pack(pa.array(words, pa.string()))) for s, words in lists]
             key, n = (task << 32) + made, len(lists)
             schema = pa.schema(
                 [
@@ -119,7 +129,7 @@ def _blocks(pattern: str, shares: int) -> Callable:
                     pa.array([w for _, w in lists] + [None], pa.binary()),
                     pa.array([None] * n + [ids], pa.list_(batch_kind)),
                     pa.array([None] * n + [counts], pa.list_(pa.int64())),
-                    pa.array([None] * n + [_pack(pa.array(positions, pa.uint32()))], pa.binary()),
+                    pa.array([None] * n + [_pack_planes(positions)], pa.binary()),
                 ],
                 schema=schema,
             )
@@ -187,7 +197,7 @@ def _reassemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
     for doc_ids, counts, packed in zip(
         *(blocks.column(c).to_pylist() for c in ("doc_ids", "counts", "positions")), strict=True
     ):
-        positions = _unpack(packed).to_numpy()
+        positions = _unpack_planes(packed)
         ends = np.cumsum([0, *counts])
         for doc_id, a, b in zip(doc_ids, ends, ends[1:], strict=False):
             own = positions[a:b]
@@ -212,6 +222,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     empty, and an empty text has no ids. Rows that share an id, or have none, stay rows of their
     own. Other columns are not read. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _parts(docs.select("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Texts handled together inside a Python task.
 SLICE_BYTES = 4 * 1024**2
+BATCH_BYTES = 8 * 1024**2
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python in batches of at most BATCH_BYTES, or one row.
+
+    By default a batch may hold 64 MB, and a task with two Python steps holds several at a time.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about SLICE_BYTES in each, or one row."""
     for batch in batches:
