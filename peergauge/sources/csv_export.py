@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from peergauge.sources.schemas import CASES, CSV_COLUMNS
 
 def read_csv_export(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     date_from: str | None = None,
     date_to: str | None = None,
     snapshot: str | None = None,
@@ -20,15 +23,15 @@ def read_csv_export(
     """Cases of an inclusive range of received days, in the canonical schema.
 
     Columns are found by header, so their order and extra columns do not
-    matter; every field is text until cast. A malformed row, or a date that does
-    not parse, fails the job; null dates drop when a range is given. Narratives
-    hold newlines, so a file is read by one task: land the export as many files,
-    or convert it to a case table once and read that.
+    matter; every field is text until cast. The files of one path must have one
+    header, and a file with another fails the job: give each layout a path of its
+    own. A malformed row, or a date that does not parse, fails the job; null dates
+    drop when a range is given. Narratives hold newlines, so a file is read by one
+    task: land the export as many files, or convert it to a case table once and
+    read that.
     """
-    raw = spark.read.csv(
-        path, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST"
-    )
-    named = raw.select([F.col(f"`{header}`").alias(name) for header, name in CSV_COLUMNS.items()])
+    layouts = [path] if isinstance(path, str) else path
+    named = reduce(DataFrame.unionByName, (_named(spark, layout) for layout in layouts))
     received = F.col("date_received").cast("date")
     if date_from:
         named = named.where(received >= F.lit(date_from).cast("date"))
@@ -43,3 +46,17 @@ def read_csv_export(
     }
     columns = [derived.get(f.name, F.col(f.name)).alias(f.name) for f in CASES.fields]
     return named.select(*columns, *(["narrative"] if keep_narrative else []))
+
+
+def _named(spark: SparkSession, path: str) -> DataFrame:
+    """Files of one layout. Spark takes the header of one of them; the others are compared with it."""
+    raw = spark.read.csv(
+        path,
+        header=True,
+        enforceSchema=False,
+        multiLine=True,
+        quote='"',
+        escape='"',
+        mode="FAILFAST",
+    )
+    return raw.select([F.col(f"`{header}`").alias(name) for header, name in CSV_COLUMNS.items()])
