@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 # A shuffle partition of this size is sorted in memory by an executor core with 2 GB.
 PARTITION_BYTES = 200 * 1024**2
-MAX_PARTITIONS = 50_000
 
 
-def shuffle_partitions(shuffled_bytes: int, cores: int) -> int:
-    """Partitions for a shuffle of so many bytes; at least one per core."""
-    return min(max(cores, -(-shuffled_bytes // PARTITION_BYTES)), MAX_PARTITIONS)
+def shuffle_partitions(
+    shuffled_bytes: int, cores: int, partition_bytes: int = PARTITION_BYTES
+) -> int:
+    """Partitions of ``partition_bytes`` for a shuffle of so many bytes; at least one per core."""
+    return max(cores, -(-shuffled_bytes // partition_bytes))
 
 
 def build_session(
@@ -23,14 +24,16 @@ def build_session(
     app: str = "peergauge",
     shuffled_bytes: int | None = None,
     cores: int = 1,
+    partition_bytes: int = PARTITION_BYTES,
     **conf: str,
 ) -> SparkSession:
     """A session with the settings the operators are written for.
 
     Adaptive execution merges shuffle partitions that turn out small, and splits
     skewed ones in joins, but does not raise their number. For large input say
-    how much the largest shuffle moves, and it starts from partitions that fit
-    in memory.
+    how much the largest shuffle moves, and it starts from partitions of
+    ``partition_bytes``, by default such that fit in memory. Where hundreds of
+    thousands of them are too many, ask for larger ones and give executors the memory.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -45,7 +48,7 @@ def build_session(
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if shuffled_bytes:
-        partitions = str(shuffle_partitions(shuffled_bytes, cores))
+        partitions = str(shuffle_partitions(shuffled_bytes, cores, partition_bytes))
         builder = builder.config("spark.sql.shuffle.partitions", partitions)
     if master:
         builder = builder.master(master)
@@ -89,6 +92,13 @@ def write_and_read(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; false if there is none, or it cannot be renamed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(path(source)) and files.rename(path(source), path(target))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder this library wrote, on whatever file system holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

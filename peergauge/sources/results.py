@@ -5,27 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from peergauge.session import new_shared_path, remove_path, write_and_read
 
-# An extract of more rows is no longer a single small file.
-SINGLE_FILE_ROWS = 1_000_000
-
-
-def export_extract(extract: DataFrame, path: str, *order: str) -> None:
+def export_extract(
+    extract: DataFrame, path: str, *order: str, single_file: bool = True
+) -> None:
     """Write an aggregate as CSV with header, sorted, in one file.
 
-    An extract that turns out too long for one task is written as several files
-    which hold the same sorted rows in the order of their names.
+    An extract too long for one task is written with ``single_file=False``: several
+    files which hold the same sorted rows in the order of their names.
     """
-    spark = extract.sparkSession
-    staging = new_shared_path(spark, "extract")
-    rows = write_and_read(extract, staging)
-    if rows.count() <= SINGLE_FILE_ROWS:
-        rows = rows.coalesce(1).sortWithinPartitions(*order)
+    if single_file:
+        # One shuffle to one task: the aggregate itself keeps its own tasks.
+        rows = extract.repartition(1).sortWithinPartitions(*order)
     else:
-        rows = rows.orderBy(*order)
+        rows = extract.orderBy(*order)
     rows.write.mode("overwrite").csv(path, header=True, escape='"')
-    remove_path(spark, staging)
 
 
 def write_results(rows: DataFrame, path: str, as_csv: bool = False) -> None:

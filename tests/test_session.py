@@ -8,12 +8,16 @@ MB, TB = 1024**2, 1024**4
 
 @pytest.mark.parametrize(
     ("size", "cores", "expected"),
-    [(1, 8, 8), (200 * MB, 1, 1), (201 * MB, 1, 2), (TB, 100, 5243), (100 * TB, 8000, 50_000)],
+    [(1, 8, 8), (200 * MB, 1, 1), (201 * MB, 1, 2), (TB, 100, 5243), (100 * TB, 8000, 524_288)],
 )
 def test_shuffle_partitions_fit_memory(size, cores, expected):
     assert shuffle_partitions(size, cores) == expected
 
 
+def test_larger_partitions_are_the_callers_choice():
+    assert shuffle_partitions(100 * TB, 8000, 2048 * MB) == 51_200
+
+
 def test_shared_dir_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (named or spark.sparkContext.getCheckpointDir())
