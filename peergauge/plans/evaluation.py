@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from peergauge.functions.labels import normalise_label
 from peergauge.operators import landing, sampling, scope, scoring
-from peergauge.session import write_shared
+from peergauge.session import new_shared_path, remove_path, write_and_read, write_shared
 from peergauge.sources.schemas import CENSUS
 from peergauge.spec import PRODUCT_LABELS, CaseSpec
 
@@ -48,17 +48,20 @@ def build_sample(
     """
     cases = core.where(F.col(spec.has_text)).select(spec.case_id, spec.category)
     texts = texts.select(spec.case_id, text)
-    drawn = sampling.stratified_sample(cases, spec.category, spec.case_id, 2 * k, seed)
-    drawn = write_shared(drawn, "drawn")
-    kept = write_shared(_sample_of(drawn, texts, spec, text, k, seed), "kept")
+    spark, staging = core.sparkSession, new_shared_path(core.sparkSession, "drawn")
+    try:
+        drawn = sampling.stratified_sample(cases, spec.category, spec.case_id, 2 * k, seed)
+        drawn = write_and_read(drawn, staging)
+        kept = write_shared(_sample_of(drawn, texts, spec, text, k, seed), "kept")
+        short = write_shared(_too_few(drawn, kept, spec.category, k), "short")
+    finally:
+        remove_path(spark, staging)
 
-    short = _too_few(drawn, kept, spec.category, k)
     if short.isEmpty():
         return kept
-    again = cases.join(short, spec.category, "left_semi")
-    return kept.join(short, spec.category, "left_anti").unionByName(
-        _sample_of(again, texts, spec, text, k, seed)
-    )
+    again = cases.join(short, cases[spec.category].eqNullSafe(short["_stratum"]), "left_semi")
+    enough = kept.join(short, kept[spec.category].eqNullSafe(short["_stratum"]), "left_anti")
+    return enough.unionByName(_sample_of(again, texts, spec, text, k, seed))
 
 
 def _sample_of(
@@ -70,10 +73,11 @@ def _sample_of(
 
 
 def _too_few(drawn: DataFrame, kept: DataFrame, category: str, k: int) -> DataFrame:
-    """Categories that had more ids to draw from, yet kept fewer than ``k``."""
-    full = drawn.groupBy(category).count().where(F.col("count") >= 2 * k).select(category)
+    """Categories, also a null one, that had more ids to draw from, yet kept fewer than ``k``."""
+    counts = drawn.groupBy(F.col(category).alias("_stratum")).count()
+    full = counts.where(F.col("count") >= 2 * k).select("_stratum")
     enough = kept.groupBy(category).count().where(F.col("count") >= k).select(category)
-    return full.join(enough, category, "left_anti")
+    return full.join(enough, full["_stratum"].eqNullSafe(enough[category]), "left_anti")
 
 
 def evaluate(

@@ -215,6 +215,16 @@ def test_sample_is_not_short_while_texts_are_left(spark, narratives):
     assert not {r.complaint_id for r in sample.collect()} & set(first[:8])
 
 
+def test_a_null_category_is_sampled_in_full(spark):
+    rows = [(f"n{i}", None, "x" if i % 3 else "usable text " * 9) for i in range(150)]
+    rows += [(f"a{i}", "A", "usable text " * 9) for i in range(90)]
+    texts = spark.createDataFrame(rows, "complaint_id string, product string, narrative string")
+    core = texts.select("complaint_id", "product").withColumn("has_narrative", F.lit(True))
+    sample = evaluation.build_sample(core, texts, SPEC, k=40)
+    assert tuples(sample.groupBy("product").count()) == [("A", 40), (None, 40)]
+    assert sample.select("complaint_id").distinct().count() == 80
+
+
 def test_audit(spark, narratives):
     got = evaluation.audit(
         narratives,
