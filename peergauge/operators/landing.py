@@ -43,9 +43,13 @@ def keys_in_both(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Keys of the batch that the target holds already, each once.
 
     The target grows without bound, so it is the streamed side: it is filtered
-    by the batch's keys, and not shuffled while those fit a broadcast.
+    by the batch's keys, and not shuffled while those fit a broadcast. Only the
+    range of the batch's keys is read of it, as far as the files' statistics tell;
+    for that the range is computed at once.
     """
-    return target.select(key).join(batch.select(key), key, "left_semi").distinct()
+    ends = batch.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    near = target.select(key).where(F.col(key).between(F.lit(ends.low), F.lit(ends.high)))
+    return near.join(batch.select(key), key, "left_semi").distinct()
 
 
 def new_rows(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:

@@ -35,7 +35,8 @@ KPI_FIELDS = {
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, STORED_CASES)
+    """The case table as landed; a path that does not exist is an error."""
+    return read_table(spark, path, STORED_CASES, must_exist=True)
 
 
 def register_views(cases: DataFrame, spec: CaseSpec | None = None) -> None:

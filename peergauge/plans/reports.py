@@ -393,7 +393,7 @@ def ingest_run_log(spark, sf):
     landed = _land_in_two_batches(spark, sf, new_shared_path(spark, "landed"))
     for snapshot, result in zip(("finished", "open"), landed, strict=True):
         append_run_log(spark, log, snapshot, "1995-01-01", "2001-12-31", result)
-    return read_run_log(spark, log).drop("run_at")
+    return read_run_log(spark, log).drop("run_at", "batch")
 
 
 @report
@@ -471,12 +471,16 @@ LANDED = (
 
 @report
 def csv_export_load(spark, sf):
-    """Write the documents as a bulk export and load a range of days."""
-    path = new_shared_path(spark, "export")
+    """Write the documents as a bulk export of two layouts and load a range of days."""
     rows = _document_cases(spark, sf).withColumnRenamed("complaint_what_happened", "narrative")
     exported = rows.select(*[F.col(name).alias(header) for header, name in CSV_COLUMNS.items()])
-    exported.write.csv(path, header=True, escape='"')
-    return read_csv_export(spark, path, "1995-06-01", "2001-06-30").select(*LANDED)
+    even = F.col("Complaint ID").cast("long") % 2 == 0
+    turned = exported.select(F.lit("x").alias("Other"), *reversed(exported.columns))
+    layouts = []
+    for part in (exported.where(even), turned.where(~even)):
+        layouts.append(new_shared_path(spark, "export"))
+        part.write.csv(layouts[-1], header=True, escape='"')
+    return read_csv_export(spark, layouts, "1995-06-01", "2001-06-30").select(*LANDED)
 
 
 @report

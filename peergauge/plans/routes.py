@@ -82,7 +82,8 @@ def follow_search_pages(
     hits = stream_search_pages(spark, pages, snapshot, one_per_file, files_per_batch)
     batch = _asked_for(hits, date_from, date_to, region)
 
-    def record(landed: Landed) -> None:
-        append_run_log(spark, log, snapshot, date_from, date_to, landed, region)
+    def record(landed: Landed, batch_id: int) -> None:
+        batch = f"{checkpoint}#{batch_id}"
+        append_run_log(spark, log, snapshot, date_from, date_to, landed, region, batch)
 
     return land_stream(batch, table, checkpoint, KEY, ARRIVAL, RECEIVED, STAMP, record)

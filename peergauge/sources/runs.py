@@ -22,10 +22,16 @@ def append_run_log(
     date_to: str,
     landed: Landed,
     region: str | None = None,
+    batch: str | None = None,
 ) -> None:
-    """Record a run. ``row_count`` counts what was fetched, duplicates included."""
+    """Record a run. ``row_count`` counts what was fetched, duplicates included.
+
+    A ``batch`` of a stream is recorded once: a replay finds its row and adds none.
+    """
+    if batch and not read_run_log(spark, path).where(F.col("batch") == batch).isEmpty():
+        return
     row = (snapshot, date_from, date_to, region or ALL_REGIONS)
-    counts = (landed.fetched, landed.inserted, landed.skipped, None)
+    counts = (landed.fetched, landed.inserted, landed.skipped, None, batch)
     (
         spark.createDataFrame([row + counts], RUN_LOG)
         .withColumn("run_at", F.current_timestamp())

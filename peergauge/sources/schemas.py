@@ -81,6 +81,7 @@ RUN_LOG = T.StructType(
         T.StructField("inserted", T.LongType()),
         T.StructField("skipped", T.LongType()),
         T.StructField("run_at", T.TimestampType()),
+        *_texts("batch"),
     ]
 )
 

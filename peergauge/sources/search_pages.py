@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peergauge.functions.text import non_empty
 from peergauge.sources.schemas import CASES, PAGE, PAGE_ERRORS
 
-# Where a row was landed; orders the copies of one id.
-ARRIVAL = ("_file", "_position")
+# When and where a row was landed; orders the copies of one id. Pages of one moment follow each
+# other by name, numbers in names by their value.
+ARRIVAL = ("_landed", "_page", "_file", "_position")
 
 
 def read_search_pages(
@@ -45,9 +46,11 @@ def hits_of(pages: DataFrame, snapshot: str | None) -> DataFrame:
         error.isNotNull(), F.raise_error(F.concat(F.lit("page reports an error: "), error))
     ).otherwise(F.col("hits.hits._source"))
     hits = pages.select(
+        F.col("_metadata.file_modification_time").alias("_landed"),
+        _numbered(F.col("_metadata.file_name")).alias("_page"),
         F.col("_metadata.file_path").alias("_file"),
         F.posexplode(sound).alias("_position", "_hit"),
-    ).select("_file", "_position", "_hit.*")
+    ).select(*ARRIVAL, "_hit.*")
     derived = {
         "date_received": F.col("date_received").cast("timestamp_ntz"),
         "date_sent_to_company": F.col("date_sent_to_company").cast("timestamp_ntz"),
@@ -60,6 +63,12 @@ def hits_of(pages: DataFrame, snapshot: str | None) -> DataFrame:
     return hits.select(*columns, F.col("complaint_what_happened").alias("narrative"), *ARRIVAL)
 
 
+def _numbered(name: Column) -> Column:
+    """The name with its numbers filled up to twenty digits, so that page 10 follows page 2."""
+    filled = F.regexp_replace(name, r"(\d+)", "0" * 20 + "$1")
+    return F.regexp_replace(filled, r"0*(\d{20,})(?!\d)", "$1")
+
+
 def without_text(hits: DataFrame) -> DataFrame:
     """Hits as the case table stores them: only whether there is a narrative is kept."""
     return hits.drop("narrative")

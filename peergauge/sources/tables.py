@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -11,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from peergauge.operators.landing import first_per_key, keys_in_both
 from peergauge.operators.scope import MONTH_COLUMN
-from peergauge.session import new_shared_path, remove_path, write_and_read
+from peergauge.session import move_path, new_shared_path, remove_path, write_and_read
 
 
 @dataclass(frozen=True)
@@ -26,12 +28,14 @@ class Landed:
         return self.fetched - self.inserted
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The table at ``path``; empty if nothing was written there yet."""
+def read_table(
+    spark: SparkSession, path: str, schema: StructType, must_exist: bool = False
+) -> DataFrame:
+    """The table at ``path``; empty if nothing was written there yet, unless it must exist."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if must_exist or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
@@ -49,14 +53,24 @@ def by_month(cases: DataFrame, received: str) -> DataFrame:
 def replace_cases(cases: DataFrame, path: str, received: str = "date_received") -> None:
     """Full reload, laid out by month of receipt so that date windows prune.
 
-    The rows are computed into the shared folder first. If that fails the old
-    table stays, and the rows may come from the table they replace.
+    The rows are written once, to a folder next to the table, which then takes
+    the table's place. If computing or writing fails the old table stays, and the
+    rows may come from the table they replace.
     """
-    spark = cases.sparkSession
-    staging = new_shared_path(spark, "reload")
-    rows = write_and_read(cases.drop(MONTH_COLUMN), staging)
-    by_month(rows, received).write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(path)
-    remove_path(spark, staging)
+    spark, label = cases.sparkSession, uuid.uuid4().hex
+    base = path.rstrip("/")
+    new, old = f"{base}.new-{label}", f"{base}.old-{label}"
+    try:
+        rows = by_month(cases.drop(MONTH_COLUMN), received)
+        rows.write.partitionBy(MONTH_COLUMN).parquet(new)
+        replaced = move_path(spark, base, old)
+        if not move_path(spark, new, base):
+            if replaced:
+                move_path(spark, old, base)
+            raise OSError(f"could not put the new table at {base}")
+    finally:
+        remove_path(spark, new)
+    remove_path(spark, old)
 
 
 def insert_new(
@@ -66,15 +80,19 @@ def insert_new(
     order: tuple[str, ...],
     received: str | None = None,
     stamp: str | None = None,
+    on_counted: Callable[[Landed], None] | None = None,
 ) -> Landed:
     """Append the rows of ``batch`` whose key is new to the table at ``path``.
 
     Of several rows of a key the first by ``order`` is taken. Rows without a
     key fail the batch, as they would break the primary key. Running a batch
-    again, after a failure or on purpose, adds nothing twice.
+    again, after a failure or on purpose, adds nothing twice. ``on_counted`` is told
+    what will be inserted just before it is.
 
     Batch and overlap are written to the shared folder in between: their
     lineage ends there, and their known sizes decide whether keys are broadcast.
+    Rows are sorted by key within files, so that the key ranges of row groups are
+    narrow where keys rise with time, and a batch reads few of them.
     """
     spark = batch.sparkSession
     stored = [c for c in batch.columns if not c.startswith("_")]
@@ -84,19 +102,27 @@ def insert_new(
     firsts = first_per_key(batch, key, order, copies="_copies")
     others = [c for c in stored if c != key]
     checked = firsts.select(_required(key), *others, "_copies")
-    staged = write_and_read(checked, staging)
-    known = write_and_read(keys_in_both(target, staged, key), overlap)
-
-    fresh = staged.join(known, key, "left_anti").select(*stored)
-    if stamp:
-        fresh = fresh.withColumn(stamp, F.current_timestamp())
-    writer = by_month(fresh, received).write.partitionBy(MONTH_COLUMN) if received else fresh.write
-    writer.mode("append").parquet(path)
-
-    totals = staged.agg(F.sum("_copies").alias("fetched"), F.count(F.lit(1)).alias("ids")).first()
-    landed = Landed(totals.fetched or 0, totals.ids - known.count())
-    remove_path(spark, staging)
-    remove_path(spark, overlap)
+    try:
+        staged = write_and_read(checked, staging)
+        known = write_and_read(keys_in_both(target, staged, key), overlap)
+        totals = staged.agg(F.sum("_copies").alias("fetched"), F.count(F.lit(1)).alias("ids"))
+        counted = totals.first()
+        landed = Landed(counted.fetched or 0, counted.ids - known.count())
+        if on_counted:
+            on_counted(landed)
+
+        fresh = staged.join(known, key, "left_anti").select(*stored)
+        if stamp:
+            fresh = fresh.withColumn(stamp, F.current_timestamp())
+        if received:
+            rows = by_month(fresh, received).sortWithinPartitions(MONTH_COLUMN, key)
+            writer = rows.write.partitionBy(MONTH_COLUMN)
+        else:
+            writer = fresh.sortWithinPartitions(key).write
+        writer.mode("append").parquet(path)
+    finally:
+        remove_path(spark, staging)
+        remove_path(spark, overlap)
     return landed
 
 

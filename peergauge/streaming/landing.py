@@ -18,20 +18,23 @@ def land_stream(
     order: tuple[str, ...],
     received: str | None = None,
     stamp: str | None = None,
-    on_landed: Callable[[Landed], None] | None = None,
+    on_counted: Callable[[Landed, int], None] | None = None,
 ) -> StreamingQuery:
     """Insert every micro-batch into the table at ``path``; ends when all input is read.
 
     An id is compared with all rows ever landed, not with a window of recent
     ones. A batch that is replayed after a failure finds its own rows in the
-    table and adds nothing. ``on_landed`` is told what each batch did. One query
-    at a time may write to a table.
+    table and adds nothing. ``on_counted`` is told what each batch will insert, and
+    its number, before it does: of a batch that is replayed, the first call has the
+    true counts. One query at a time may write to a table.
     """
 
-    def insert(batch: DataFrame, _batch_id: int) -> None:
-        landed = insert_new(batch, path, key, order, received, stamp)
-        if on_landed:
-            on_landed(landed)
+    def insert(batch: DataFrame, batch_id: int) -> None:
+        def counted(landed: Landed) -> None:
+            if on_counted:
+                on_counted(landed, batch_id)
+
+        insert_new(batch, path, key, order, received, stamp, counted)
 
     return (
         stream.writeStream.foreachBatch(insert)

@@ -15,7 +15,7 @@ from peergauge.session import shared_dir, write_shared
 from peergauge.sources import results, runs, schemas
 from peergauge.sources.csv_export import read_csv_export
 from peergauge.sources.search_pages import read_search_pages
-from peergauge.sources.tables import by_month, insert_new, read_table, replace_cases
+from peergauge.sources.tables import Landed, by_month, insert_new, read_table, replace_cases
 from peergauge.spec import CaseSpec
 from peergauge.streaming.landing import dedupe_recent
 
@@ -78,6 +78,29 @@ def test_csv_columns_are_found_by_header(spark, tmp_path):
     assert [f.name for f in got.schema] == schemas.CASES.names
 
 
+def test_csv_files_of_another_layout_have_their_own_path(spark, tmp_path):
+    turned = ["Extra", *reversed(schemas.CSV_COLUMNS)]
+    a = write_csv(tmp_path / "a.csv", [row(1)])
+    b = write_csv(tmp_path / "b.csv", [row(2, Extra="e", product="Mortgage")], turned)
+    got = read_csv_export(spark, [a, b])
+    assert tuples(got, "complaint_id", "product", "company") == [
+        ("1", "Payday loan, title loan", "Nelnet, Inc."),
+        ("2", "Mortgage", "Nelnet, Inc."),
+    ]
+
+
+@pytest.mark.parametrize("extra", [[], ["Extra"]])
+def test_csv_files_of_one_path_must_share_their_header(spark, tmp_path, extra):
+    folder = tmp_path / "export"
+    folder.mkdir()
+    write_csv(folder / "a.csv", [row(1)])
+    headers = list(schemas.CSV_COLUMNS)
+    headers[1], headers[3] = headers[3], headers[1]
+    write_csv(folder / "b.csv", [row(2, Extra="e")], headers + extra)
+    with pytest.raises(Exception, match="CSV header|does not conform|MALFORMED|FAILFAST"):
+        read_csv_export(spark, str(folder)).collect()
+
+
 def test_csv_date_that_does_not_parse_fails(spark, tmp_path):
     path = write_csv(tmp_path / "a.csv", [row(1, "not a date")])
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
@@ -200,6 +223,36 @@ def test_staging_folders_are_removed(spark, tmp_path):
     assert set(root.iterdir()) == before
 
 
+def test_a_failed_batch_leaves_no_staging(spark, tmp_path):
+    root = Path(shared_dir(spark).removeprefix("file:")) / "peergauge"
+    root.mkdir(parents=True, exist_ok=True)
+    before = set(root.iterdir())
+    batch = spark.createDataFrame([("a", 1), (None, 2)], "id string, place int")
+    with pytest.raises(Exception, match="null id"):
+        insert_new(batch, str(tmp_path / "t"), "id", ("place",))
+    assert set(root.iterdir()) == before
+
+
+def test_the_target_is_read_in_the_range_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(f"{i:04}", i) for i in range(900)]
+    target = spark.createDataFrame(rows, "id string, place int")
+    insert_new(target.repartition(3), path, "id", ("place",))
+    batch = spark.createDataFrame(rows[300:310] + [("0315x", 1)], "id string, place int")
+    known = keys_in_both(spark.read.parquet(path), write_shared(batch, "batch"), "id")
+    assert known.count() == 10
+    pushed = known._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,0300), LessThanOrEqual(id,0315x)" in pushed
+    assert insert_new(batch, path, "id", ("place",)).inserted == 1
+    import pyarrow.parquet as pq
+
+    for file in Path(path).glob("*.parquet"):
+        ids = pq.read_table(file, columns=["id"]).column(0).to_pylist()
+        assert ids == sorted(ids)
+    empty = batch.limit(0)
+    assert insert_new(empty, path, "id", ("place",)).fetched == 0
+
+
 def test_the_target_is_filtered_before_any_shuffle(spark):
     """The batch's keys are broadcast to the target, whichever of the two is larger."""
     target = write_shared(spark.range(200_000).selectExpr("cast(id AS string) AS id"), "target")
@@ -255,6 +308,43 @@ def test_stream_equals_batch(spark, tmp_path):
     assert tuples(entries, "row_count", "inserted") == [(2, 1), (24, 7)]
 
 
+def test_earlier_pages_win_however_they_are_named(spark, tmp_path):
+    """By time of landing, then by number; a stream of one page per batch agrees."""
+    import os
+
+    pages = tmp_path / "pages"
+    write_page(pages, "page-10.json", hit("1", company="ten"), hit("2", company="ten"))
+    write_page(pages, "page-2.json", hit("1", company="two"), hit("1", company="again"))
+    write_page(pages, "page-1.json", hit("2", company="late"))
+    for name, when in (("page-10.json", 1000), ("page-2.json", 1000), ("page-1.json", 2000)):
+        os.utime(pages / name, (when, when))
+    window = ("s", "2024-01-01", "2024-12-31")
+    batch, stream, log = (str(tmp_path / x) for x in ("batch", "stream", "log"))
+    routes.land_search_pages(spark, str(pages), batch, log, *window)
+    expected = [("1", "two"), ("2", "ten")]
+    assert tuples(read_cases(spark, batch), "complaint_id", "company") == expected
+    paths = (str(pages), stream, log, str(tmp_path / "state"))
+    routes.follow_search_pages(spark, *paths, *window).awaitTermination()
+    assert tuples(read_cases(spark, stream), "complaint_id", "company") == expected
+
+
+def test_a_replayed_batch_is_logged_once_with_its_true_counts(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for landed in (Landed(5, 3), Landed(5, 0)):
+        runs.append_run_log(spark, log, "s", "a", "b", landed, batch="state#0")
+    runs.append_run_log(spark, log, "s", "a", "b", Landed(2, 2), batch="state#1")
+    entries = runs.read_run_log(spark, log)
+    assert tuples(entries, "batch", "row_count", "inserted", "skipped") == [
+        ("state#0", 5, 3, 2),
+        ("state#1", 2, 2, 0),
+    ]
+
+
+def test_a_missing_case_table_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_cases(spark, str(tmp_path / "nowhere")).collect()
+
+
 def test_replayed_stream_adds_nothing(spark, tmp_path):
     pages, table = tmp_path / "pages", str(tmp_path / "table")
     write_page(pages, "p1.json", hit("1"), hit("2"))
@@ -317,6 +407,20 @@ def test_a_failed_reload_keeps_the_old_table(spark, tmp_path):
     assert dict(tuples(runs.read_run_meta(spark, meta)))["pulled_on"] == "good"
 
 
+def test_a_reload_that_fails_while_writing_keeps_the_old_table(spark, tmp_path):
+    table = tmp_path / "table"
+    rows = spark.range(10).withColumn("date_received", F.lit("2024-01-15").cast("timestamp_ntz"))
+    replace_cases(rows, str(table))
+    bad = F.when(F.col("id") == 7, F.raise_error(F.lit("broken row"))).otherwise(F.col("id"))
+    with pytest.raises(Exception, match="broken row"):
+        replace_cases(rows.withColumn("id", bad), str(table))
+    assert spark.read.parquet(str(table)).count() == 10
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+    replace_cases(rows.where("id < 3"), str(table))
+    assert spark.read.parquet(str(table)).count() == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
 def test_a_purge_rewrites_its_own_table(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = [("1", "keep"), ("2", "old"), ("3", "keep")]
@@ -338,11 +442,14 @@ def test_export_is_one_sorted_file_with_header(spark, tmp_path):
     assert files[0].read_text() == 'product,r\nc,1.0\n"a ""q""",2.5\n"b, x",2.5\n'
 
 
-def test_long_export_is_split_in_order(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(results, "SINGLE_FILE_ROWS", 10)
+@pytest.mark.parametrize("single_file", [True, False])
+def test_the_caller_says_whether_an_export_is_one_file(spark, tmp_path, conf, single_file):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
     out = tmp_path / "extract"
-    results.export_extract(spark.range(0, 5000, 1, 4), str(out), "id")
+    rows = spark.range(0, 5000, 1, 4)
+    results.export_extract(rows, str(out), "id", single_file=single_file)
     parts = [p.read_text().splitlines()[1:] for p in sorted(out.glob("*.csv"))]
+    assert (len(parts) == 1) == single_file
     assert [int(x) for part in parts for x in part] == list(range(5000))
 
 
