@@ -113,6 +113,9 @@ def acceptance_checks(card: DataFrame, spec: CaseSpec) -> DataFrame:
         "category_excluded": F.col(spec.category).isin(*spec.excluded_categories),
         "flag_without_peer_median": flagged
         & (F.col("cat_median_relief").isNull() | F.col("cat_median_timely").isNull()),
+        "flag_above_both_medians": flagged
+        & (F.col("pct_relief") >= F.col("cat_median_relief"))
+        & (F.col("pct_timely") >= F.col("cat_median_timely")),
         "flag_without_peers": flagged & (F.col("peer_count") < 2),
         "group_below_minimum": F.coalesce(F.col("n") < spec.min_n, F.lit(True)),
         "no_peers_but_judged": (F.col("peer_count") < 2) & (F.col("review_flag") != NO_PEERS),
@@ -121,6 +124,5 @@ def acceptance_checks(card: DataFrame, spec: CaseSpec) -> DataFrame:
         F.count(F.lit(1)).alias("rows_checked"),
         *[F.count_if(rule).alias(name) for name, rule in broken.items()],
     )
-    pairs = ", ".join(f"'{name}', {name}" for name in broken)
-    stacked = f"stack({len(broken)}, {pairs}) AS (check, violations)"
-    return counts.selectExpr(stacked, "rows_checked")
+    found = [F.struct(F.lit(c).alias("check"), F.col(c).alias("violations")) for c in broken]
+    return counts.select(F.inline(F.array(*found)), "rows_checked")

@@ -41,13 +41,22 @@ def null_counts(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.agg(*[F.count_if(F.col(c).isNull()).alias(name) for name, c in columns.items()])
 
 
+def _named(column: str) -> Column:
+    """The column of this name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def populated_pct(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: rows with a value, and their percentage."""
     counts = rows.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"_{c}") for c in columns]
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count(_named(c)).alias(f"_{i}") for i, c in enumerate(columns)],
     )
-    pairs = ", ".join(f"'{c}', `_{c}`" for c in columns)
-    long = counts.selectExpr(f"stack({len(columns)}, {pairs}) AS (field, populated)", "_rows")
+    facts = [
+        F.struct(F.lit(c).alias("field"), F.col(f"_{i}").alias("populated"))
+        for i, c in enumerate(columns)
+    ]
+    long = counts.select("_rows", F.inline(F.array(*facts)))
     return long.select(
         "field", "populated", pct(F.col("populated"), F.col("_rows")).alias("pct_populated")
     )
@@ -57,16 +66,22 @@ def dead_columns(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: is it null throughout, or does it hold a single value?"""
     probes = [F.count(F.lit(1)).alias("_rows")]
     facts = []
-    for c in columns:
+    for i, c in enumerate(columns):
         probes += [
-            F.count(c).alias(f"_{c}_count"),
-            (F.min(c) == F.max(c)).alias(f"_{c}_single"),
+            F.count(_named(c)).alias(f"_{i}_count"),
+            (F.min(_named(c)) == F.max(_named(c))).alias(f"_{i}_single"),
         ]
-        facts.append(f"'{c}', `_{c}_count`, coalesce(`_{c}_single`, false)")
-    stacked = f"stack({len(columns)}, {', '.join(facts)}) AS (field, populated, constant)"
+        single = F.coalesce(f"_{i}_single", F.lit(False))
+        facts.append(
+            F.struct(
+                F.lit(c).alias("field"),
+                F.col(f"_{i}_count").alias("populated"),
+                single.alias("constant"),
+            )
+        )
     return (
         rows.agg(*probes)
-        .selectExpr(stacked, "_rows")
+        .select("_rows", F.inline(F.array(*facts)))
         .select(
             "field",
             "populated",

@@ -191,6 +191,8 @@ _CHECKS = {
     "category_excluded": f"product = '{ORDER_CASES.excluded_categories[0]}'",
     "flag_without_peer_median": "review_flag LIKE 'FLAG%' AND (cat_median_relief IS NULL "
     "OR cat_median_timely IS NULL)",
+    "flag_above_both_medians": "review_flag LIKE 'FLAG%' AND pct_relief >= cat_median_relief "
+    "AND pct_timely >= cat_median_timely",
     "flag_without_peers": "review_flag LIKE 'FLAG%' AND peer_count < 2",
     "group_below_minimum": f"n < {ORDER_CASES.min_n}",
     "no_peers_but_judged": "peer_count < 2 AND review_flag NOT LIKE 'NO PEER%'",

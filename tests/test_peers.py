@@ -161,15 +161,16 @@ def test_naive_view_beside_the_scorecard(spark):
 def test_checks_report_violations(spark):
     bad = spark.createDataFrame(
         [
-            ("Mortgage", "A", 1, 1, 50.0, 50.0, peers.FLAGGED),
-            (SPEC.excluded_categories[0], "B", 5, 3, 50.0, 50.0, "ok"),
+            ("Mortgage", "A", 1, 1, 50.0, 50.0, 50.0, 60.0, peers.FLAGGED),
+            (SPEC.excluded_categories[0], "B", 5, 3, 50.0, 50.0, 70.0, 70.0, "ok"),
         ],
         "product string, company string, n long, peer_count long, cat_median_relief double, "
-        "cat_median_timely double, review_flag string",
+        "cat_median_timely double, pct_relief double, pct_timely double, review_flag string",
     )
     found = {r.check: r.violations for r in peers.acceptance_checks(bad, SPEC).collect()}
     assert found == {
         "category_excluded": 1,
+        "flag_above_both_medians": 1,
         "flag_without_peer_median": 0,
         "flag_without_peers": 1,
         "group_below_minimum": 1,

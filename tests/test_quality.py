@@ -162,3 +162,21 @@ def test_first_last_seen_and_distinct(spark):
     row = quality.first_last_seen(df, ["product"], "date_received").first()
     assert (row.first_seen.month, row.last_seen.month, row.n) == (1, 3, 3)
     assert tuples(quality.distinct_values(df, "product")) == [("Mortgage",)]
+
+
+def test_column_names_may_hold_any_sign(spark):
+    odd = ["it's", "a.b", "tick`ed", "plain"]
+    rows = spark.createDataFrame([(1, None, 3, 4), (1, None, 5, None)], "a int, b int, c int, d int")
+    rows = rows.toDF(*odd)
+    assert tuples(quality.populated_pct(rows, odd)) == [
+        ("it's", 2, 100.0),
+        ("a.b", 0, 0.0),
+        ("plain", 1, 50.0),
+        ("tick`ed", 2, 100.0),
+    ]
+    assert tuples(quality.dead_columns(rows, odd)) == [
+        ("it's", 2, False, True),
+        ("a.b", 0, True, False),
+        ("plain", 1, False, True),
+        ("tick`ed", 2, False, False),
+    ]
