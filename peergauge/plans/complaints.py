@@ -23,7 +23,7 @@ PILOT_SUBJECT = "MOHELA"
 
 CASES_VIEW, CORE_VIEW = "complaints_raw", "complaints_core"
 
-# Name of the null count -> the field it is about.
+# Name of the null count -> the field it is about.
 KPI_FIELDS = {
     "null_date_received": "date_received",
     "null_date_sent": "date_sent_to_company",

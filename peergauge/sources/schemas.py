@@ -12,6 +12,7 @@ def _texts(*names: str) -> list[T.StructField]:
 
 
 # Canonical case table; both landing routes end in it.
+# Names of the columns.
 CASES = T.StructType(
     [
         *_texts("complaint_id", "product", "sub_product", "issue", "sub_issue"),
@@ -89,6 +90,7 @@ RUN_META = T.StructType([*_texts("key", "value"), T.StructField("run_at", T.Time
 
 SAMPLE = T.StructType(_texts("complaint_id", "product", "narrative"))
 
+# Names of the columns.
 SCORED = T.StructType(
     [
         *_texts("complaint_id", "product_official", "product_predicted"),
@@ -96,6 +98,7 @@ SCORED = T.StructType(
     ]
 )
 
+# Names of the columns.
 CENSUS = T.StructType(
     _texts("complaint_id", "date_received", "company", "issue", "sub_product", "narrative")
 )
