@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peergauge.operators.scoring import attach_predictions
 from peergauge.spec import CaseSpec
 
 # Order lines are cases, part types categories, suppliers entities. Groups
@@ -112,7 +113,7 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = documents(spark, sf_dir).select("doc_id", "lang")
     labels = table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id", "left").select(
+    return attach_predictions(docs, labels, "doc_id").select(
         "doc_id",
         F.coalesce(_label(F.col("toxic") == 0), F.col("lang")).alias("product_official"),
         _label(F.col("quality") == 1).alias("product_predicted"),
