@@ -32,13 +32,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or exceed a certified cutoff of their language, go.
 
-    Cutoffs are fitted on the labelled documents among those given. Texts are counted again for the
-    verdict rather than shuffled to meet their first counts.
+    Cutoffs are fitted on the labelled documents among those given. The documents are written with
+    their counts, once, rather than shuffled to meet them or counted again.
     """
-    labels = read_table(spark, sf_dir, "labels")
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    cutoffs = fit_cutoffs(count_text(labelled.select("doc_id", "text", "lang")), labels)
-    return judge(count_text(docs), cutoffs).where("kept").select(docs.columns)
+    counted = write_shared(count_text(docs), "counted")
+    cutoffs = fit_cutoffs(counted, read_table(spark, sf_dir, "labels"))
+    return judge(counted, cutoffs).where("kept").select(docs.columns)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,7 +81,11 @@ def _repeated(words: Column) -> Column:
 
 def count_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with their counts: n_words, word_chars, n_symbols, n_lines, n_dup_lines,
-    n_repeat_words, n_marks and n_upper. A null text has no words; columns so named are replaced."""
+    n_repeat_words, n_marks and n_upper. A null text has no words; columns so named are replaced.
+
+    Write the result before filtering by a count: Spark would move the filter below the counting and
+    compute the words anew for each of them.
+    """
     whole = whole_text(text)
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     split = docs.withColumns(
