@@ -44,6 +44,12 @@ HEADLINE = (
     "probe_summary",
     "label_normalise",
     "apply_classifier",
+    "ingest_landed",
+    "full_reload_by_month",
+    "stream_landing",
+    "csv_export_load",
+    "evaluation_by_category",
+    "audit_summary",
 )
 WARM_ROUNDS = 2
 

@@ -140,21 +140,45 @@ def category_cutover(
     """Categories that begin or end inside the window instead of spanning it.
 
     The window is the range of all rows; ``margin_days`` is how far from its
-    edges a first or last row may lie.
+    edges a first or last row may lie. ``ending`` tells of a category that ends
+    inside the window whether it is cut off or tapers: it tapers if the calendar
+    month before its last one has less than half of its median month. One that
+    has no such month is cut off. Rows without a time count in ``n`` only.
     """
+    month = period_start(F.col(ts), "month")
+    months = first_last_seen(rows.withColumn("_month", month), [*keys, "_month"], ts)
+    dated = F.when(F.col("_month").isNotNull(), F.struct("_month", "n"))
     # Always true; keeps the window's range a matter of the groups, not of the raw rows.
-    seen = first_last_seen(rows, keys, ts).where("n > 0")
+    seen = (
+        months.groupBy(*keys)
+        .agg(
+            F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"),
+            F.sum("n").alias("n"),
+            # As many as the category has months.
+            F.collect_list(dated).alias("_months"),
+            F.median(F.when(F.col("_month").isNotNull(), F.col("n"))).alias("_usual"),
+        )
+        .where("n > 0")
+    )
     edges = F.struct(F.min("first_seen").alias("opens"), F.max("last_seen").alias("closes"))
     window = seen.agg(edges.alias("window")).scalar()
     late = F.datediff("first_seen", window.getField("opens")) > margin_days
     early = F.datediff(window.getField("closes"), "last_seen") > margin_days
-    return seen.withColumn(
-        "drift",
-        F.when(late & early, "appears and disappears")
-        .when(late, "appears mid-window")
-        .when(early, "disappears mid-window")
-        .otherwise("spans window"),
-    )
+    before = F.add_months(F.trunc("last_seen", "month"), -1).cast("timestamp_ntz")
+    at = F.filter("_months", lambda m: m["_month"] == before)
+    there = F.coalesce(F.get(at, F.lit(0))["n"], F.lit(0))
+    full = F.when(before >= F.trunc("first_seen", "month"), there)
+    tapers = F.coalesce(full < F.col("_usual") / 2, F.lit(False))
+    return seen.withColumns(
+        {
+            "drift": F.when(late & early, "appears and disappears")
+            .when(late, "appears mid-window")
+            .when(early, "disappears mid-window")
+            .otherwise("spans window"),
+            "ending": F.when(early, F.when(tapers, "tapers").otherwise("cut off")),
+        }
+    ).drop("_months", "_usual")
 
 
 def volume_gaps(

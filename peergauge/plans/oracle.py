@@ -341,14 +341,26 @@ seen AS (
          max(date_received) AS last_seen, count(*) AS n
   FROM cases GROUP BY 1, 2
 ),
+months AS (
+  SELECT product, sub_product, date_trunc('month', date_received) AS month, count(*) AS full_n
+  FROM cases GROUP BY 1, 2, 3
+),
+usual AS (SELECT product, sub_product, median(full_n) AS usual_n FROM months GROUP BY 1, 2),
 edges AS (
-  SELECT *, date_diff('day', min(first_seen) OVER (), first_seen) > 14 AS late,
-         date_diff('day', last_seen, max(last_seen) OVER ()) > 14 AS early FROM seen
+  SELECT seen.*, usual_n, coalesce(full_n, 0) AS full_n,
+         date_diff('day', min(first_seen) OVER (), first_seen) > 14 AS late,
+         date_diff('day', last_seen, max(last_seen) OVER ()) > 14 AS early,
+         date_trunc('month', last_seen) > date_trunc('month', first_seen) AS has_full
+  FROM seen JOIN usual USING (product, sub_product)
+  LEFT JOIN months ON months.product = seen.product AND months.sub_product = seen.sub_product
+    AND month = date_trunc('month', last_seen) - INTERVAL 1 MONTH
 )
 SELECT product, sub_product, first_seen, last_seen, n,
        CASE WHEN late AND early THEN 'appears and disappears'
             WHEN late THEN 'appears mid-window' WHEN early THEN 'disappears mid-window'
-            ELSE 'spans window' END AS drift
+            ELSE 'spans window' END AS drift,
+       CASE WHEN early AND has_full AND full_n < usual_n / 2 THEN 'tapers'
+            WHEN early THEN 'cut off' END AS ending
 FROM edges""",
     "dq_gaps": f"""
 WITH {_CASES},

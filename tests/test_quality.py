@@ -86,6 +86,25 @@ def test_cutover(spark):
     }
 
 
+def test_an_ending_is_a_cut_or_a_taper(spark):
+    rows = on("2024-01-01", "2024-12-31", sub_product="steady")
+    for month, n in ((1, 8), (2, 8), (3, 8), (4, 3), (5, 1)):
+        rows += on(*[f"2024-0{month}-10"] * n, sub_product="fades")
+    for month, n in ((1, 8), (2, 8), (3, 8), (4, 1)):
+        rows += on(*[f"2024-0{month}-10"] * n, sub_product="renamed")
+    for month, n in ((1, 8), (2, 8), (5, 1)):
+        rows += on(*[f"2024-0{month}-10"] * n, sub_product="gap")
+    rows += on("2024-02-02", None, sub_product="once")
+    got = quality.category_cutover(cases(spark, rows), ["sub_product"], "date_received", 31)
+    assert {r.sub_product: (r.ending, r.n) for r in got.collect()} == {
+        "steady": (None, 2),
+        "fades": ("tapers", 28),
+        "renamed": ("cut off", 25),
+        "gap": ("tapers", 17),
+        "once": ("cut off", 2),
+    }
+
+
 def test_gaps_show_empty_and_thin_months(spark):
     rows = on(*["2024-01-10"] * 4, *["2024-02-10"] * 4, "2024-03-10", *["2024-05-10"] * 5, None)
     got = {
