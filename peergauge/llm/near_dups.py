@@ -10,10 +10,11 @@ values (prefix); the long lists that frequent passages give are mostly not built
 number of agreements is counted from the two signatures.
 
 Groups of very many near copies would give all their pairs. Only the components are asked for, so
-lists are worked off in two steps. First every class is compared with one member of each of its lists,
-and its best candidate is confirmed on the full sets; this joins most of a group. Then each list is
-compared in tiles, but only across components, and what is left is confirmed. Links inside a component
-need no confirmation: they cannot change it.
+candidates are worked off in two steps that each give a few rows per class. First each list is
+searched for classes that candidate pairs connect, and a forest of such pairs is kept; its trees are
+the clusters that links can lie in. Then clusters are compared in tiles of bounded size: candidates
+between components are confirmed on the full sets where they are found, and the links that join
+components are kept. Links inside a component need no confirmation: they cannot change it.
 """
 
 from __future__ import annotations
@@ -23,18 +24,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peergauge.llm.common import slices, whole_text
+from peergauge.llm.common import bounded_batches, slices, whole_text
 from peergauge.llm.components import connected_components
 from peergauge.session import write_shared
 
 COORDINATES = 64
 # Chance that a pair just at the threshold is missed: below 1e-4; it falls fast above it.
 MISS = 1e-4
-# Classes of a list compared in one task with another such number.
-TILE = 256
+# Classes of a list, and shingles of a cluster, that make a chunk; a tile holds two chunks.
+LIST_CLASSES = 2_000
+TILE_SHINGLES = 2_000_000
 _SEED = 20240229
 _WORD_MEMO = 500_000
 
@@ -151,39 +153,65 @@ def _matrix(signatures: pa.Array, coordinates: int) -> np.ndarray:
     return np.frombuffer(joined, "<u4").reshape(-1, coordinates)
 
 
-def _agreements(coordinates: int) -> Callable:
-    """Counts the coordinates in which two signatures agree."""
+def _forest(coordinates: int, matches: int) -> Callable:
+    """A list's spanning forest of candidate pairs, by breadth-first search."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "signature_a"):
-            left = _matrix(batch.column("signature_a"), coordinates)
-            right = _matrix(batch.column("signature_b"), coordinates)
-            agreed = (left == right).sum(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(agreed, pa.int32())],
-                ["a", "b", "agreed"],
-            )
-
-    return count
-
-
-def _across(coordinates: int, matches: int) -> Callable:
-    """The candidates of one tile: pairs of different components that agree often enough."""
-
-    def compare(tile: pa.Table) -> pa.Table:
+    def span(tile: pa.Table) -> pa.Table:
         signatures = _matrix(tile.column("signature"), coordinates)
-        nodes, parts = tile.column("class").to_numpy(), tile.column("component").to_numpy()
-        chunks, low = tile.column("chunk").to_numpy(), tile.column("low").to_numpy()
-        left, found = np.flatnonzero(chunks == low), []
-        right = np.flatnonzero(chunks == tile.column("high").to_numpy())
-        for i in left:
-            others = right[parts[right] != parts[i]]
-            agreed = (signatures[others] == signatures[i]).sum(axis=1)
-            found += [(nodes[i], nodes[j]) for j in others[agreed >= matches]]
-        pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    return compare
+        nodes = tile.column("class").to_numpy()
+        # In order of the classes, so that lists which share a group give the same pairs.
+        left = np.argsort(nodes, kind="stable")
+        a, b = [], []
+        while len(left):
+            found, left = [left[0]], left[1:]
+            for i in found:
+                near = (signatures[left] == signatures[i]).sum(axis=1) >= matches
+                a += [nodes[i]] * int(near.sum())
+                b += nodes[left[near]].tolist()
+                found += left[near].tolist()
+                left = left[~near]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return span
+
+
+def _joining(coordinates: int, matches: int, percent: int) -> Callable:
+    """The links of one tile that join components: candidates, confirmed on the full sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def join(tile: pa.Table) -> pa.Table:
+        # The most central classes first: they join most of their group at once.
+        tile = tile.sort_by([("central", "descending"), ("class", "ascending")])
+        signatures = _matrix(tile.column("signature"), coordinates)
+        nodes = tile.column("class").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in tile.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        shingles, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        present = np.zeros(len(shingles), bool)
+        part, order = np.arange(len(nodes)), np.arange(len(nodes))
+        a, b = [], []
+        for i in order:
+            others = order[(order > i) & (part != part[i])]
+            others = others[(signatures[others] == signatures[i]).sum(axis=1) >= matches]
+            if not len(others):
+                continue
+            own = flat[ends[i] - sizes[i] : ends[i]]
+            present[own] = True
+            rows = np.concatenate([flat[ends[j] - sizes[j] : ends[j]] for j in others])
+            starts = np.cumsum(sizes[others]) - sizes[others]
+            common = np.add.reduceat(present[rows].astype(np.int64), starts)
+            present[own] = False
+            linked = others[100 * common >= percent * (sizes[i] + sizes[others] - common)]
+            for j in linked:
+                if part[i] != part[j]:
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+                    part[part == part[j]] = part[i]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return join
 
 
 def _sets(size: int) -> Callable:
@@ -198,23 +226,6 @@ def _sets(size: int) -> Callable:
     return shingle
 
 
-def _confirmed(percent: int) -> Callable:
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "set_a"):
-            linked = []
-            for a, b in zip(
-                batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True
-            ):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b")], ["a", "b"]
-            ).filter(pa.array(linked))
-
-    return confirm
-
-
 class _Search:
     """One search over the classes of a table of documents."""
 
@@ -223,10 +234,11 @@ class _Search:
         self._coordinates, self._matches = k, least_matches(percent / 100, k)
 
     def posted(self) -> DataFrame:
-        """(class, posting): each class under its rarest values, of lists of at least two.
+        """(class, posting, central): each class under its rarest values, of lists of at least two.
 
         Values that no other class has come first among the rarest; their lists hold no pair, so
-        only their number is needed.
+        only their number is needed. ``central`` counts the class's collisions in all coordinates:
+        of a group of near copies it is largest for the one that most others stem from.
         """
         prefix = self._coordinates - self._matches + 1
         every = self._classes.select("class", "signature").mapInArrow(
@@ -241,96 +253,76 @@ class _Search:
             .agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("own"))
         )
         room = F.greatest(F.lit(0), F.size("own") - (self._coordinates - prefix))
-        rarest = own.select("class", F.explode(F.slice("own", F.lit(1), room)).alias("p"))
-        return rarest.select("class", F.col("p.posting").alias("posting"))
-
-    def with_signatures(self, pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            own = self._classes.select(
-                F.col("class").alias(side), F.col("signature").alias(f"signature_{side}")
-            )
-            pairs = pairs.join(own, side)
-        return pairs
-
-    def first_candidates(self, posted: DataFrame) -> DataFrame:
-        """Each class with that leader of its lists which agrees most; every list has its own."""
-        order = F.struct(F.xxhash64("class", "posting"), "class")
-        leaders = posted.groupBy("posting").agg(F.min(order).getField("class").alias("leader"))
-        pairs = (
-            posted.join(leaders, "posting")
-            .where("class != leader")
-            .select(F.col("class").alias("a"), F.col("leader").alias("b"))
-            .distinct()
-        )
-        agreed = self.with_signatures(pairs).mapInArrow(
-            _agreements(self._coordinates), "a long, b long, agreed int"
+        central = F.aggregate("own", F.lit(0).cast("long"), lambda total, p: total + p["n"])
+        rarest = own.select(
+            "class", central.alias("central"), F.explode(F.slice("own", F.lit(1), room)).alias("p")
         )
-        enough = agreed.where(F.col("agreed") >= self._matches)
-        best = F.min(F.struct(-F.col("agreed"), "b")).getField("b")
-        return enough.groupBy("a").agg(best.alias("b"))
-
-    def candidates_across(self, posted: DataFrame, components: DataFrame) -> DataFrame:
-        """All candidates between components, list by list in tiles."""
-        part = components.select(F.col("node").alias("class"), "component")
-        placed = posted.join(part, "class", "left").withColumn(
-            "component", F.coalesce("component", "class")
+        return rarest.select("class", F.col("p.posting").alias("posting"), "central")
+
+    def clusters(self, posted: DataFrame) -> DataFrame:
+        """(class, cluster) of the classes that candidate pairs connect with others."""
+        lists = posted.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        tiles = _tiles(posted.join(lists, "posting"), "posting", F.ceil(F.col("n") / LIST_CLASSES))
+        forest = (
+            tiles.join(self._classes.select("class", "signature"), "class")
+            .groupBy("posting", "low", "high")
+            .applyInArrow(_forest(self._coordinates, self._matches), "a long, b long")
+            .distinct()
         )
-        placed = write_shared(placed, "placed")
-        mixed = (
-            placed.groupBy("posting")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.min("component").alias("least"),
-                F.max("component").alias("most"),
-            )
-            .where("least != most")
+        trees = connected_components(write_shared(forest, "candidates"))
+        return trees.select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+
+    def links(self, posted: DataFrame) -> DataFrame:
+        """Confirmed links that join components, at most one per class and tile."""
+        central = posted.groupBy("class").agg(F.max("central").alias("central"))
+        clustered = write_shared(self.clusters(posted).join(central, "class"), "clusters")
+        sized = clustered.join(self._classes.select("class", "n_shingles", "signature"), "class")
+        volumes = sized.groupBy("cluster").agg(F.sum("n_shingles").alias("volume"))
+        members = sized.join(volumes, "cluster").join(
+            self.sets(clustered).withColumnRenamed("node", "class"), "class"
         )
-        chunks = F.ceil(F.col("n") / TILE)
-        tiles = (
-            placed.join(mixed, "posting")
-            .withColumn("chunk", F.pmod(F.xxhash64("class"), chunks))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-            .select(
-                "posting",
-                "class",
-                "component",
-                "chunk",
-                F.least("chunk", "other").alias("low"),
-                F.greatest("chunk", "other").alias("high"),
+        chunks = F.ceil(F.col("volume") / TILE_SHINGLES)
+        return (
+            _tiles(members, "cluster", chunks, "central", "signature", "shingles")
+            .groupBy("cluster", "low", "high")
+            .applyInArrow(
+                _joining(self._coordinates, self._matches, self._percent), "a long, b long"
             )
         )
-        own = self._classes.select("class", "signature")
+
+    def sets(self, clustered: DataFrame) -> DataFrame:
+        """(node, shingles) of the clustered classes, from the texts of their first documents."""
+        nodes = clustered.select(F.col("class").alias("node"))
+        # Both sides are shuffled at any size: how many classes are clustered grows with the data.
+        found = self._texts.join(nodes.hint("merge"), self._texts.doc_id == nodes.node)
         return (
-            tiles.join(own, "class")
-            .groupBy("posting", "low", "high")
-            .applyInArrow(_across(self._coordinates, self._matches), "a long, b long")
+            found.select("node", "text")
             .distinct()
-        )
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose full sets are similar enough."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = (
-            self._texts.join(nodes, self._texts.doc_id == nodes.node)
-            .select("node", "text")
             .mapInArrow(_sets(self._size), "node long, shingles binary")
         )
-        for side in ("a", "b"):
-            own = sets.select(
-                F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")
-            )
-            pairs = pairs.join(own, side)
-        return pairs.mapInArrow(_confirmed(self._percent), "a long, b long")
 
     def components(self) -> DataFrame:
         posted = write_shared(self.posted(), "posted")
-        first = write_shared(self.first_candidates(posted), "candidates")
-        links = write_shared(self.confirmed(first), "links")
-        parts = connected_components(links)
-        rest = write_shared(self.candidates_across(posted, parts), "candidates")
-        more = self.confirmed(rest)
-        joined = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        return connected_components(write_shared(more.union(joined), "links"))
+        return connected_components(write_shared(self.links(posted), "links"))
+
+
+def _tiles(rows: DataFrame, key: str, chunks: Column, *columns: str) -> DataFrame:
+    """Each group's rows in chunks by hash, and the chunks in pairs: (low, high) names a tile.
+
+    A row is in as many tiles as its group has chunks; a group of one chunk is one tile.
+    """
+    return (
+        rows.withColumn("_chunks", F.greatest(chunks, F.lit(1)).cast("int"))
+        .withColumn("_chunk", F.pmod(F.xxhash64("class"), F.col("_chunks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+        .select(
+            key,
+            "class",
+            *columns,
+            F.least("_chunk", "_other").alias("low"),
+            F.greatest("_chunk", "_other").alias("high"),
+        )
+    )
 
 
 def near_duplicates(
@@ -349,6 +341,7 @@ def near_duplicates(
     kept; with other texts they count as versions of the document, and where both are the least of
     their groups these become one. An empty table gives no rows; only doc_id and text are read.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     sketched = write_shared(
         texts.mapInArrow(

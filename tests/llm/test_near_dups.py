@@ -74,10 +74,11 @@ def edited(rng, words, changes):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("tile", [4, 256])
+@pytest.mark.parametrize("tile", [4, 2000])
 def test_groups_with_chains_hot_passages_and_copies(spark, monkeypatch, tile):
     """Small tiles make every list span several; chains link what is not alike itself."""
-    monkeypatch.setattr(near_dups, "TILE", tile)
+    monkeypatch.setattr(near_dups, "LIST_CLASSES", tile)
+    monkeypatch.setattr(near_dups, "TILE_SHINGLES", 1000 * tile // 8)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(4000)]
     passage = [rng.choice(vocabulary) for _ in range(40)]
