@@ -182,11 +182,13 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
         "_row", F.monotonically_increasing_id()
     )
     units = rows.select("_row", "doc_id", "text", F.explode_outer(_units(F.col("text"))).alias("unit"))
+    digest = F.when(F.col("unit").isNotNull(), F.sha2(canonical(F.col("unit")), 256))
     looked_up = units.select(
         "_row",
         "doc_id",
         F.coalesce(F.col("unit") == F.col("text"), F.lit(False)).alias("whole"),
-        F.when(F.col("unit").isNotNull(), F.sha2(canonical(F.col("unit")), 256)).alias("digest"),
+        # Rows without a unit must not meet in one task: their own number is no digest.
+        F.coalesce(digest, F.col("_row").cast("string")).alias("digest"),
     )
     first = known.groupBy("digest").agg(F.min("licence").alias("licence"))
     return (
