@@ -433,6 +433,17 @@ WHERE place = 1""",
     "csv_export_load": f"""
 SELECT {_LANDED} FROM documents WHERE {_DOC_DAY} BETWEEN DATE '1995-06-01' AND DATE '2001-06-30'""",
     "search_page_load": f"SELECT {_LANDED} FROM documents",
+    "census_route": f"""
+WITH firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) AS place FROM documents
+  WHERE lang = 'en' AND text <> ''
+    AND {_DOC_DAY} BETWEEN DATE '1995-06-01' AND DATE '2001-06-30'
+)
+SELECT CAST(doc_id // 2 AS VARCHAR) AS complaint_id,
+       CAST(CAST({_DOC_DAY} AS TIMESTAMP) AS VARCHAR) AS date_received, source AS company,
+       CAST(NULL AS VARCHAR) AS issue, CAST(NULL AS VARCHAR) AS sub_product,
+       {_strip("text")} AS narrative
+FROM firsts WHERE place = 1 AND length({_strip("text")}) >= 50""",
     "text_gate": f"WITH {_GATED} SELECT doc_id, lang, substring(text, 1, 6000) AS text FROM gated",
     "narrative_census": f"""
 WITH firsts AS (

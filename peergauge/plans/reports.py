@@ -27,6 +27,7 @@ from peergauge.plans.bindings import (
     table,
 )
 from peergauge.plans.complaints import KPI_FIELDS
+from peergauge.plans.routes import pull_census
 from peergauge.session import new_shared_path, write_shared
 from peergauge.sources.csv_export import read_csv_export
 from peergauge.sources.results import export_extract, read_results_csv, write_results
@@ -503,6 +504,24 @@ def search_page_load(spark, sf):
     return without_text(read_search_pages(spark, path, one_per_file=False)).select(*LANDED)
 
 
+@report
+def census_route(spark, sf):
+    """Land pages of up to a hundred hits, ids repeated in and between them, and pull the census."""
+    path = new_shared_path(spark, "pages")
+    cases = _document_cases(spark, sf).withColumn("_no", F.col("complaint_id").cast("long"))
+    paired = cases.withColumn("complaint_id", F.floor(F.col("_no") / 2).cast("string"))
+    for rows in (paired, paired.withColumn("company", F.lit("late"))):
+        source = F.struct(F.struct(*[F.col(f) for f in PAGE_FIELDS]).alias("_source"))
+        placed = rows.groupBy(F.floor(F.col("_no") / 100).alias("page")).agg(
+            F.sort_array(F.collect_list(F.struct("_no", source.alias("hit")))).alias("placed")
+        )
+        hits = F.struct(F.col("placed.hit").alias("hits")).alias("hits")
+        placed.select(hits).write.mode("append").json(path)
+    window = ("1995-06-01", "2001-06-30")
+    target = new_shared_path(spark, "census")
+    return pull_census(spark, path, target, *window, category="en", one_per_file=False)
+
+
 # --- texts, samples, scores ------------------------------------------------
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from peergauge.operators.scope import source_filter
+from peergauge.plans.evaluation import census
 from peergauge.sources.csv_export import read_csv_export
+from peergauge.sources.results import write_results
 from peergauge.sources.runs import append_run_log, load_facts, put_run_meta
+from peergauge.sources.schemas import CENSUS
 from peergauge.sources.search_pages import (
     ARRIVAL,
     read_search_pages,
@@ -46,6 +50,28 @@ def _asked_for(
     return source_filter(without_text(hits), CaseSpec(), date_from, date_to, region)
 
 
+def pull_census(
+    spark: SparkSession,
+    pages: str,
+    path: str,
+    date_from: str,
+    date_to: str,
+    category: str | None = None,
+    region: str | None = None,
+    one_per_file: bool = True,
+) -> DataFrame:
+    """Write every text of the landed pages that the request names, each id once.
+
+    The request narrows the hits to those with a text first; then the earliest hit
+    of an id counts, and drops if its text is too short.
+    """
+    hits = read_search_pages(spark, pages, None, one_per_file)
+    asked = source_filter(hits, CaseSpec(), date_from, date_to, region, category, has_text=True)
+    rows = census(asked, ARRIVAL)
+    write_results(rows.select(*[F.col(f.name).cast(f.dataType) for f in CENSUS.fields]), path)
+    return spark.read.schema(CENSUS).parquet(path)
+
+
 def land_search_pages(
     spark: SparkSession,
     pages: str,
