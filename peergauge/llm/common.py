@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +33,10 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds about SLICE_BYTES in each, or one row."""
+    """The batches cut so that ``column`` holds about SLICE_BYTES in each, or one row.
+
+    At the end free memory goes back to the system: Spark keeps a task's Python worker for later stages.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -44,6 +48,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
                 start, size = row, 0
             size += int(length)
         yield batch.slice(start)
+    _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def packed_lists(packed: list[bytes]) -> pa.ListArray:

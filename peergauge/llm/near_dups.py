@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from peergauge.llm.common import bounded_batches, slices, whole_text
 from peergauge.llm.components import connected_components
+from peergauge.llm.text_ids import release_encoders
 from peergauge.session import write_shared
 
 COORDINATES = 64
@@ -38,7 +39,7 @@ MISS = 1e-4
 LIST_CLASSES = 2_000
 TILE_SHINGLES = 2_000_000
 _SEED = 20240229
-_WORD_MEMO = 500_000
+_WORD_MEMO = 150_000
 
 
 def least_matches(similarity: float, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -63,6 +64,7 @@ class Shingler:
     def __init__(self, size: int):
         import xxhash
 
+        release_encoders()
         self._size, self._hash, self._memo = size, xxhash.xxh3_64_intdigest, {}
 
     def shingles(self, text: str) -> np.ndarray:

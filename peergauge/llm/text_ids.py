@@ -13,7 +13,7 @@ import re
 import struct
 
 # Stretches per generation of the cache; two generations take about 120 MB in a worker.
-CACHED_STRETCHES = 250_000
+CACHED_STRETCHES = 260_000
 ID_BYTES = 4
 _CUT = re.compile(r" (?=\S)")
 # Places where white space is more than a single blank or line break between visible characters.
@@ -24,15 +24,18 @@ _ODD = (
     *"\u2028\u2029\u202f\u205f\u3000",
 )
 _TAILS = ".,!?;:"
-# Up to here letters and digits are the same in every Unicode version the libraries follow.
-_STABLE = "ɏ"
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write bytes with: visible ones stand for themselves."""
+def _byte_letters() -> dict[str, str]:
+    """Latin-1 characters as byte-level vocabularies write their UTF-8: visible bytes as themselves.
+
+    These characters are letters, digits or neither alike in every Unicode version; a text with
+    others is left to the library's own pre-tokenizer.
+    """
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(visible)]
-    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    byte = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {chr(c): "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
 
 
 class TextEncoder:
@@ -74,22 +77,26 @@ class TextEncoder:
             return self._newline + self._split(stretch[1:])
         if stretch.isalpha():
             if stretch.isascii():
-                return self._tokens_of(self._letters[32] + stretch)
+                return self._tokens_of(self._letters[" "] + stretch)
             return self._merged(" " + stretch)
         if stretch[-1] in _TAILS and stretch[:-1].isalpha():
             return self._ids[stretch[:-1]] + self._piece[stretch[-1]]
         return self._split(" " + stretch)
 
     def _split(self, text: str) -> bytes:
-        if not text.isascii() and max(text) > _STABLE:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
             return self._whole(text)
         piece = self._piece
         return b"".join([piece[p] for p in self._pieces(text)])
 
     def _merged(self, piece: str) -> bytes:
-        if max(piece) > _STABLE:
+        try:
+            letters = "".join(map(self._letters.__getitem__, piece))
+        except KeyError:
             return self._whole(piece)
-        return self._tokens_of(piece.encode().decode("latin-1").translate(self._letters))
+        return self._tokens_of(letters)
 
     def _tokens_of(self, letters: str) -> bytes:
         return _packed([t.id for t in self._tokens(letters)])
@@ -130,3 +137,8 @@ def _packed(ids: list[int]) -> bytes:
 def encoder(vocabulary: str) -> TextEncoder:
     """One encoder and its cache per worker process."""
     return TextEncoder(vocabulary)
+
+
+def release_encoders() -> None:
+    """Free the caches: for work of another kind, in a worker that has encoded before."""
+    encoder.cache_clear()

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peergauge.llm.common import packed_lists, slices, whole_text
+from peergauge.llm.common import bounded_batches, packed_lists, slices, whole_text
 from peergauge.llm.text_ids import encoder
 from peergauge.session import write_shared
 
@@ -45,6 +45,7 @@ def write_token_files(
     read, so other columns may have any name; metadata columns may not be called as the written
     ones, and get an error from Spark if they are. An empty table gives an empty set of files.
     """
+    bounded_batches(docs.sparkSession)
     spread = docs.select("doc_id", whole_text().alias("text"), *metadata)
     ordered = (
         spread.withColumn("_hash", F.xxhash64("text"))

@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peergauge.llm.common import bounded_batches, slices, whole_text
+from peergauge.llm.text_ids import release_encoders
 from peergauge.session import write_shared
 
 BUCKETS = 4096
 # Documents that the scorer is fitted on: those with the smallest hashes of id and text.
 FIT_DOCUMENTS = 20_000
 _SYMBOLS = "#*$%&|<>"
-_MEMO = 300_000
+_MEMO = 100_000
 # Trait -> (nothing odd up to, bad above).
 TRAITS: dict[str, tuple[float, float]] = {
     "symbols_per_word": (0.05, 0.1),
@@ -65,14 +66,17 @@ def _traits(text: str, words: list[str]) -> list[float]:
 
 
 def votes(text: str, words: list[str]) -> str:
-    """A letter per heuristic: b(ad), g(ood) or - ; a text without words gets no vote."""
+    """A letter per heuristic: b(ad), g(ood) or - ; a text without words gets no vote.
+
+    The shares of a very short text say little; only its length votes against it.
+    """
     n = len(words)
     if not n:
         return "-" * len(VOTERS)
     traits = list(zip(_traits(text, words), TRAITS.values(), strict=True))
     calm = all(x <= low for x, (low, _) in traits)
     return (
-        "".join("b" if x > high else "-" for x, (_, high) in traits)
+        "".join("b" if x > high and n >= _SHORT else "-" for x, (_, high) in traits)
         + ("b" if n < _SHORT else "-")
         + ("g" if calm else "-")
     )
@@ -84,6 +88,7 @@ class ShapeHasher:
     def __init__(self):
         import regex
 
+        release_encoders()
         shapes = regex.compile(r"(?P<X>\p{Lu}+)|(?P<x>\p{L}+)|(?P<d>\p{N}+)|(?P<s>.)", regex.S)
         self._runs, self._memo = shapes.finditer, {}
 
