@@ -8,7 +8,9 @@ every known licence has one of are brought to that form; that loses none.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,19 +91,55 @@ _BSD_DISCLAIMER = (
     "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
     "POSSIBILITY OF SUCH DAMAGE."
 )
+_ISC = (
+    _USE
+    + "without fee is hereby granted, provided that the above copyright notice and this "
+    + "permission notice appear in all copies.\n\n"
+    + _ISC_DISCLAIMER
+)
+_0BSD = _USE + "without fee is hereby granted.\n\n" + _ISC_DISCLAIMER
+_UNNUMBERED = re.compile(r"(?m)^[123]\. ")
+_BSD_2 = "\n\n".join((_BSD_GRANT, _BSD_DISCLAIMER))
+_BSD_3 = "\n\n".join((_BSD_GRANT, _BSD_NAME, _BSD_DISCLAIMER))
 TEXTS: tuple[tuple[str, str], ...] = (
     ("MIT", "\n\n".join((_MIT_GRANT, _WARRANTY))),
     ("MIT", "\n\n".join(("MIT License", _MIT_GRANT, _WARRANTY))),
-    (
-        "ISC",
-        _USE
-        + "without fee is hereby granted, provided that the above copyright notice and this "
-        + "permission notice appear in all copies.\n\n"
-        + _ISC_DISCLAIMER,
-    ),
-    ("0BSD", _USE + "without fee is hereby granted.\n\n" + _ISC_DISCLAIMER),
-    ("BSD-2-Clause", "\n\n".join((_BSD_GRANT, _BSD_DISCLAIMER))),
-    ("BSD-3-Clause", "\n\n".join((_BSD_GRANT, _BSD_NAME, _BSD_DISCLAIMER))),
+    ("ISC", _ISC),
+    ("0BSD", _0BSD),
+    *(("BSD-2-Clause", t) for t in (_BSD_2, _UNNUMBERED.sub("", _BSD_2))),
+    *(("BSD-3-Clause", t) for t in (_BSD_3, _UNNUMBERED.sub("", _BSD_3))),
+)
+# Licences whose whole texts lie in licence_texts.
+TEXT_FILES = (
+    *("Apache-2.0", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0"),
+    *("GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"),
+)
+# Headers of files.
+_APACHE_HEADER = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except '
+    "in compliance with the License. You may obtain a copy of the License at",
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    "Unless required by applicable law or agreed to in writing, software distributed under the "
+    'License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either '
+    "express or implied. See the License for the specific language governing permissions and "
+    "limitations under the License.",
+)
+_MPL_HEADER = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of "
+    "the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+)
+_GNU = {
+    "GPL-2.0": ("GNU General Public License", "2"),
+    "GPL-3.0": ("GNU General Public License", "3"),
+    "LGPL-3.0": ("GNU Lesser General Public License", "3"),
+    "AGPL-3.0": ("GNU Affero General Public License", "3"),
+}
+_GNU_SUBJECTS = ("program", "library", "software", "file")
+_GNU_WRITE = (
+    *("see <http://www.gnu.org/licenses/>.", "see http://www.gnu.org/licenses/."),
+    "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA "
+    "02110-1301 USA.",
+    "write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA",
 )
 # Every known licence has one of these, in any case and however its words are set apart.
 MARKERS = r"(?i)licen|permission|redistribution|(released|distributed|available)\W+under"
@@ -126,8 +164,56 @@ COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)([^\p{L}\n][^\n]*)?$
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+def _headers() -> list[tuple[str, str]]:
+    """Headers of files, whole, and the paragraph of each that names its licence."""
+    apache = [*_APACHE_HEADER]
+    secure = [t.replace("http://", "https://") for t in apache]
+    found = [("Apache-2.0", t) for t in (apache[0], "\n\n".join(apache), "\n\n".join(secure))]
+    found += [("MPL-2.0", t) for t in (_MPL_HEADER, _MPL_HEADER.replace("http://", "https://"))]
+    for identifier, (name, version) in _GNU.items():
+        for subject in _GNU_SUBJECTS:
+            for tail in (", or (at your option) any later version.", "."):
+                for either in ("either ", ""):
+                    first = (
+                        f"This {subject} is free software: you can redistribute it and/or modify it "
+                        f"under the terms of the {name} as published by the Free Software Foundation, "
+                        f"{either}version {version} of the License{tail}"
+                    )
+                    second = (
+                        f"This {subject} is distributed in the hope that it will be useful, but WITHOUT "
+                        "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+                        f"FOR A PARTICULAR PURPOSE. See the {name} for more details."
+                    )
+                    found += [(identifier, first), (identifier, f"{first}\n\n{second}")]
+                    for end in (*_GNU_WRITE, *(w.replace("http:", "https:") for w in _GNU_WRITE[:2])):
+                        third = (
+                            f"You should have received a copy of the {name} along with this {subject}. "
+                            f"If not, {end}"
+                        )
+                        found.append((identifier, f"{first}\n\n{second}\n\n{third}"))
+    return found
+
+
+def _files() -> list[tuple[str, str]]:
+    """Whole texts in the forms that are handed on: without what follows the terms, and with links
+    of either kind."""
+    folder = resources.files("peergauge.llm").joinpath("licence_texts")
+    found = []
+    for identifier in TEXT_FILES:
+        text = folder.joinpath(f"{identifier}.txt").read_text("utf-8")
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        forms = [text, terms, terms + end]
+        # The address is a line of its own, or goes with the copyright line.
+        forms += [re.sub(r"(Foundation, Inc\.,)\n 51 ", r"\1 51 ", t) for t in forms]
+        forms += [t.strip() for t in text.split("=" * 71) if "By exercising the Licensed" in t]
+        for form in forms:
+            found += [(identifier, form.replace("http:", "https:")), (identifier, form)]
+            found.append((identifier, form.replace("https:", "http:")))
+    return found
+
+
 def known_texts() -> list[tuple[str, str]]:
-    """(identifier, text) of notices by rule, and of whole texts."""
+    """(identifier, text) of notices by rule, headers of files, and whole texts."""
     notices = []
     for identifier, names in NAMES.items():
         notices.append((identifier, f"SPDX-License-Identifier: {identifier}"))
@@ -139,7 +225,7 @@ def known_texts() -> list[tuple[str, str]]:
                             (identifier, f"{subject}{verb}{tail}{article}{name}.")
                             for article in ("the ", "")
                         ]
-    return [*notices, *TEXTS]
+    return list(dict.fromkeys([*notices, *_headers(), *TEXTS, *_files()]))
 
 
 def canonical(text: Column) -> Column:

@@ -1,6 +1,7 @@
 """Conversations and licences against SQL, plain versions, and awkward rows."""
 
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -153,3 +154,55 @@ def test_no_documents(spark):
     assert licences.scan_licences(documents(spark, []), known).collect() == []
 
 
+COMMON = Path("/usr/share/common-licenses")
+COMMON_NAMES = {
+    "Apache-2.0": "Apache-2.0",
+    "GPL-2": "GPL-2.0",
+    "GPL-3": "GPL-3.0",
+    "LGPL-3": "LGPL-3.0",
+    "MPL-2.0": "MPL-2.0",
+    "CC0-1.0": "CC0-1.0",
+    "BSD": "BSD-3-Clause",
+}
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="needs the texts that Debian installs")
+def test_whole_files_of_long_licences(spark):
+    cases = []
+    for name, identifier in COMMON_NAMES.items():
+        text = (COMMON / name).read_text()
+        forms = [text, text.replace("https:", "http:"), text.split("END OF TERMS")[0]]
+        cases += [(identifier, f) for f in forms]
+    got = scanned(spark, [t for _, t in cases])
+    assert [got[i][0] for i in range(len(cases))] == [i for i, _ in cases]
+
+
+def test_texts_in_files_are_each_one_licence(spark):
+    folder = Path(licences.__file__).parent / "licence_texts"
+    assert sorted(p.stem for p in folder.iterdir()) == sorted(licences.TEXT_FILES)
+    got = scanned(spark, [(folder / f"{i}.txt").read_text() for i in licences.TEXT_FILES])
+    assert [got[i][0] for i in range(len(got))] == list(licences.TEXT_FILES)
+
+
+def test_headers_of_files(spark):
+    apache = (
+        "# Copyright 2019 The Authors\n#\n# Licensed under the Apache License, Version 2.0 (the "
+        '"License");\n# you may not use this file except in compliance with the License.\n'
+        "# You may obtain a copy of the License at\n#\n#     https://www.apache.org/licenses/LICENSE-2.0\n"
+        "#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under "
+        'the License is distributed on an "AS IS" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+        "either express or implied.\n# See the License for the specific language governing permissions "
+        "and\n# limitations under the License.\n\nimport os\n"
+    )
+    gnu = (
+        "This program is free software; you can redistribute it and/or modify\nit under the terms of the "
+        "GNU General Public License as published by\nthe Free Software Foundation; either version 2 of "
+        "the License, or\n(at your option) any later version.\n\nint main() {}\n"
+    )
+    affero = gnu.replace("GNU", "GNU Affero").replace("version 2", "version 3")
+    got = scanned(spark, [apache, gnu, affero])
+    assert [got[i] for i in range(3)] == [
+        (None, 1, "Apache-2.0"),
+        (None, 1, "GPL-2.0"),
+        (None, 1, "AGPL-3.0"),
+    ]
