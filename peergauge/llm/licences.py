@@ -103,12 +103,32 @@ _BSD_2 = "\n\n".join((_BSD_GRANT, _BSD_DISCLAIMER))
 _BSD_3 = "\n\n".join((_BSD_GRANT, _BSD_NAME, _BSD_DISCLAIMER))
 TEXTS: tuple[tuple[str, str], ...] = (
     ("MIT", "\n\n".join((_MIT_GRANT, _WARRANTY))),
-    ("MIT", "\n\n".join(("MIT License", _MIT_GRANT, _WARRANTY))),
     ("ISC", _ISC),
     ("0BSD", _0BSD),
     *(("BSD-2-Clause", t) for t in (_BSD_2, _UNNUMBERED.sub("", _BSD_2))),
     *(("BSD-3-Clause", t) for t in (_BSD_3, _UNNUMBERED.sub("", _BSD_3))),
 )
+# Titles that short texts carry.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD"),
+    "BSD-2-Clause": (
+        "BSD 2-Clause License",
+        "The 2-Clause BSD License",
+        "Simplified BSD License",
+        "BSD 2-Clause \"Simplified\" License",
+        "BSD License",
+    ),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License",
+        "The 3-Clause BSD License",
+        "Modified BSD License",
+        "New BSD License",
+        "BSD 3-Clause \"New\" or \"Revised\" License",
+        "BSD License",
+    ),
+}
 # Licences whose whole texts lie in licence_texts.
 TEXT_FILES = (
     *("Apache-2.0", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0"),
@@ -160,7 +180,40 @@ EQUIVALENT: tuple[tuple[str, str], ...] = (
     ("v2", "version 2"),
     ("v3", "version 3"),
 )
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)([^\p{L}\n][^\n]*)?$"
+# What continues a sentence after "copyright", or an item (c) of a list.
+CONTINUES = (
+    *("act", "acts", "also", "and", "are", "as", "disclaimer", "disclaimers", "doctrines", "for"),
+    *("from", "has", "holder", "holders", "if", "in", "including", "infringement", "interest"),
+    *("interests", "is", "more considerations", "resulting", "then"),
+    *("law", "laws", "licence", "licences", "license", "licenses", "like", "line", "may", "notice"),
+    *("notices", "of", "on", "or", "owner", "owners", "ownership", "patent", "patents", "permission"),
+    *("protection", "protections", "right", "rights", "shall", "statement", "statements", "status"),
+    *("term", "terms", "that", "the software", "this", "those", "to", "treaties", "treaty", "under"),
+    *("which", "will", "with", "you", "your"),
+)
+# Letters beyond ASCII, as far as names are concerned.
+_OTHER_LETTERS = "\u00c0-\u024f\u0370-\u1fff\u2c00-\ud7fb\uf900-\ufaff"
+
+
+def _other_than(phrases: tuple[str, ...], begun: str = "") -> str:
+    """Matches the beginning of a word that begins none of the phrases; without looking ahead."""
+    nexts = sorted({p[len(begun)] for p in phrases if p.startswith(begun) and p != begun})
+    letters = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in nexts) + _OTHER_LETTERS
+    if begun and begun not in phrases:
+        broken = " " in begun or any(p.startswith(begun + " ") for p in phrases)
+        options = [rf"[^{''.join(nexts)}\n]", *([] if broken else ["$"])]
+    else:
+        options = [f"[{letters}]"]
+    return f"(?:{'|'.join([*options, *(c + _other_than(phrases, begun + c) for c in nexts)])})"
+
+
+# A line that names a year, (c), the sign or a name after its "copyright", or reserves all rights.
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:©[^\n]*|copyright[^\p{L}\n]*(?:\p{N}{4}|©|\(c\))[^\n]*"
+    r"|\(c\)[^\p{L}\n]*\p{N}{4}[^\n]*"
+    rf"|(?:copyright|\(c\))[^\p{{L}}\n]+{_other_than(CONTINUES)}[^\n]*"
+    r"|all rights reserved[^\p{L}\p{N}\n]*)$"
+)
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -225,7 +278,8 @@ def known_texts() -> list[tuple[str, str]]:
                             (identifier, f"{subject}{verb}{tail}{article}{name}.")
                             for article in ("the ", "")
                         ]
-    return list(dict.fromkeys([*notices, *_headers(), *TEXTS, *_files()]))
+    titled = [(i, f"{title}\n\n{t}") for i, t in TEXTS for title in TITLES[i]]
+    return list(dict.fromkeys([*notices, *_headers(), *TEXTS, *titled, *_files()]))
 
 
 def canonical(text: Column) -> Column:

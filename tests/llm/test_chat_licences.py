@@ -1,6 +1,7 @@
 """Conversations and licences against SQL, plain versions, and awkward rows."""
 
 import re
+import textwrap
 from pathlib import Path
 
 import duckdb
@@ -166,13 +167,22 @@ COMMON_NAMES = {
 }
 
 
+def wrapped(text, width):
+    """Wrapped anew, but for paragraphs with a copyright line."""
+    keep = re.compile(r"copyright (\(c\)|\[)", re.I)
+    return "\n\n".join(
+        p if keep.search(p) else textwrap.fill(p, width, break_on_hyphens=False, break_long_words=False)
+        for p in re.split(r"\n\s*\n", text)
+    )
+
+
 @pytest.mark.skipif(not COMMON.is_dir(), reason="needs the texts that Debian installs")
 def test_whole_files_of_long_licences(spark):
     cases = []
     for name, identifier in COMMON_NAMES.items():
         text = (COMMON / name).read_text()
         forms = [text, text.replace("https:", "http:"), text.split("END OF TERMS")[0]]
-        cases += [(identifier, f) for f in forms]
+        cases += [(identifier, f) for f in (*forms, *(wrapped(text, w) for w in (33, 50, 66, 79, 10**6)))]
     got = scanned(spark, [t for _, t in cases])
     assert [got[i][0] for i in range(len(cases))] == [i for i, _ in cases]
 
@@ -206,3 +216,49 @@ def test_headers_of_files(spark):
         (None, 1, "GPL-2.0"),
         (None, 1, "AGPL-3.0"),
     ]
+
+
+SHORT = {
+    "MIT": "The MIT License (MIT)",
+    "ISC": "ISC License",
+    "0BSD": "BSD Zero Clause License",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+}
+
+
+def test_files_of_short_licences_wrapped_and_titled(spark):
+    cases = []
+    for identifier, text in licences.TEXTS:
+        for title in ("", SHORT[identifier] + "\n\n"):
+            for notice in ("Copyright (c) 2020, Jane Doe\nAll rights reserved.", "Copyright Jane Doe"):
+                for width in (40, 60, 72, 79, 10**6):
+                    cases.append((identifier, f"{title}{notice}\n\n{wrapped(text, width)}\n"))
+    got = scanned(spark, [t for _, t in cases])
+    assert [got[i][0] for i in range(len(cases))] == [i for i, _ in cases]
+
+
+def test_only_copyright_lines_are_deleted(spark):
+    kept = [
+        "copyright notice and this permission notice appear in all copies.",
+        "COPYRIGHT HOLDERS BE LIABLE",
+        "(c) You must retain",
+        "copyright the software, and",
+        "all rights reserved by the licensor",
+    ]
+    gone = [
+        "Copyright (c) 2020, Jane Doe",
+        "# © Jane Doe",
+        "Copyright 1999-2004 notice",
+        "Copyright The Authors",
+        "Copyright [yyyy] [name of copyright owner]",
+        "(c) 2020 Jane Doe",
+        " * All rights reserved.",
+    ]
+    df = spark.createDataFrame([(t,) for t in kept + gone], "t string")
+    forms = [r.f for r in df.select(licences.canonical(F.col("t")).alias("f")).collect()]
+    assert all(forms[: len(kept)]) and not any(forms[len(kept) :])
+    known = " ".join(t for _, t in licences.known_texts()).lower()
+    words = re.findall(r"[^\W_]+", known)
+    after = {b for a, b in zip(words, words[1:], strict=False) if a == "copyright"}
+    assert {w for w in after if w not in " ".join(licences.CONTINUES).split()} == {"c", "yyyy"}
