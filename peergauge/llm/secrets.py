@@ -2,10 +2,10 @@
 
 Strong kinds are reported wherever they match. A weak candidate alone says little: an account name, a
 long mixed token or an address is no secret by itself. Each belongs to a role (identifier, secret or
-endpoint), strong kinds have roles too, and a weak one is reported if a part of a complementary role
-begins within ``scope`` code points of it in the same document. The parts are joined by intervals:
-places are put into bins of the scope's width, and a part meets those of its own and the two adjacent
-bins. DataFrame functions only.
+endpoint), strong kinds have roles too, and a weak one is reported if at most ``scope`` code points lie between it
+and a part of a complementary role in the same document. The parts are joined by intervals: places are
+put into the bins of the scope's width that they touch, and a part meets those of all bins that its own
+interval touches when widened by the scope. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -108,22 +108,26 @@ def _spans(text: Column, kind: str) -> Column:
 def _linked(located: DataFrame, scope: int) -> DataFrame:
     """(_row, _linked): the weak spans of each row that have a complement within the scope."""
     roles = F.create_map(*(F.lit(x) for kind in KINDS for x in (kind, KINDS[kind][4])))
-    parts = (
-        located.select("_row", F.explode(F.concat("_strong", "_weak")).alias("part"))
-        .select("_row", "part", roles[F.col("part.kind")].alias("role"))
-        .withColumn("bin", F.floor(F.col("part.start") / scope))
+    parts = located.select("_row", F.explode(F.concat("_strong", "_weak")).alias("part")).select(
+        "_row", "part", roles[F.col("part.kind")].alias("role")
     )
+
+    def bins(begin: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.floor(begin / scope), F.floor(end / scope))).alias("bin")
+
+    start, end = F.col("part.start"), F.col("part.end")
     weak = parts.where(F.col("part.kind").isin(*WEAK)).select(
-        "_row",
-        "part",
-        "role",
-        F.explode(F.array(*(F.col("bin") + d for d in (-1, 0, 1)))).alias("bin"),
+        "_row", "part", "role", bins(start - scope, end + scope)
+    )
+    # Spans of one kind do not overlap: at most as many per kind as a bin is wide, and one more.
+    places = (
+        parts.select("_row", F.struct(start, end).alias("place"), "role", bins(start, end))
+        .groupBy("_row", "bin", F.col("role").alias("other"))
+        .agg(F.collect_set("place").alias("places"))
     )
-    # At most as many places as a bin is wide.
-    places = parts.groupBy("_row", "bin", F.col("role").alias("other")).agg(
-        F.collect_set("part.start").alias("starts")
+    near = F.exists(
+        "places", lambda p: F.greatest(p["start"], start) - F.least(p["end"], end) <= scope
     )
-    near = F.exists("starts", lambda s: F.abs(s - F.col("part.start")) <= scope)
     return (
         weak.join(places, ["_row", "bin"])
         .where((F.col("role") != F.col("other")) & near)
