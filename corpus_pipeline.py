@@ -32,11 +32,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or exceed a certified cutoff of their language, go.
 
-    Cutoffs are fitted on the labelled documents among those given. The documents are written with
-    their counts, once, rather than shuffled to meet them or counted again.
+    Cutoffs are fitted on all labelled documents of the table: few that are labelled bad are left among
+    those given. The documents are written with their counts, once, rather than shuffled to meet the
+    cutoffs or counted again.
     """
+    labels = read_table(spark, sf_dir, "labels")
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = texts.join(labels.where("quality is not null"), "doc_id", "left_semi")
+    cutoffs = fit_cutoffs(write_shared(count_text(labelled).drop("text"), "label-counts"), labels)
     counted = write_shared(count_text(docs), "counted")
-    cutoffs = fit_cutoffs(counted, read_table(spark, sf_dir, "labels"))
     return judge(counted, cutoffs).where("kept").select(docs.columns)
 
 

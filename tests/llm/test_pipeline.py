@@ -7,6 +7,7 @@ from test_near_dups import roots, shingles
 from test_secrets import base
 from test_tokens import check_packing
 
+from peergauge.llm.rules import fit_cutoffs
 from peergauge.llm.weak_labels import ShapeHasher, fit_quality, read_documents
 from peergauge.session import write_shared
 
@@ -62,6 +63,22 @@ def test_rules_drop_what_fails_the_base(stages):
             assert len(set(windows)) < len(windows)
 
 
+def test_cutoffs_are_fitted_on_all_labelled_documents(spark, monkeypatch):
+    fitted = []
+
+    def fit(counted, labels):
+        fitted.append(({r.doc_id for r in counted.collect()}, labels.count()))
+        return fit_cutoffs(counted, labels)
+
+    monkeypatch.setattr(corpus_pipeline, "fit_cutoffs", fit)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = sf_documents(spark).join(labels.where("quality = 0"), "doc_id", "left_anti")
+    kept = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert 0 < kept.count() <= docs.count()
+    ids = {r.doc_id for r in labels.where("quality is not null").collect()}
+    assert fitted == [(ids & {r.doc_id for r in sf_documents(spark).collect()}, labels.count())]
+
+
 def test_one_document_of_each_group_stays(stages):
     given, kept = map(by_id, stages[2])
     sets = {i: shingles(r.text, 5) for i, r in given.items()}
