@@ -12,6 +12,7 @@ from peergauge.llm import queries
 from peergauge.llm.bpe_words import decode_documents, encode_documents, read_ranks
 from peergauge.llm.packing import closest_fill, pack_documents, plan_windows
 from peergauge.llm.token_files import read_token_files, with_ids_crc32, write_token_files
+from peergauge.llm.text_ids import TextEncoder
 from peergauge.session import new_shared_path
 
 P = pytest.importorskip("public_tokenizers")
@@ -216,3 +217,19 @@ def test_word_wise_bpe_of_no_rows(spark):
 def test_decoding_takes_null_and_empty_ids(spark):
     rows = spark.createDataFrame([(1, None), (2, b"")], "doc_id long, ids binary")
     assert [bytes(r.decoded) for r in decode_documents(rows, RANKS).collect()] == [b"", b""]
+
+
+def test_strings_of_added_tokens_are_ordinary_text():
+    plain = tokenizers.Tokenizer.from_file(JSON)
+    encoder = TextEncoder(JSON)
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in added
+    for text in ("it's 12 plain words\n\nand more", *(f"a {t} b" for t in added)):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert (encoder.encode([text])[0] == packed(ids)) == all(t not in text for t in added)
+        own = encoder.encode([text])[0]
+        assert not any(
+            plain.token_to_id(t).to_bytes(4, "little") == own[i : i + 4]
+            for t in added
+            for i in range(0, len(own), 4)
+        )
