@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peergauge.llm import chat, licences
+from peergauge.llm import chat, lexical, licences
 from peergauge.llm.bpe_words import decode_documents, encode_documents
 from peergauge.llm.common import read_table
+from peergauge.llm.lexical import search_items
 from peergauge.llm.mih import nearest
 from peergauge.llm.near_dups import near_duplicates
 from peergauge.llm.packing import pack_documents
 from peergauge.llm.rules import count_text, fit_cutoffs, judge
 from peergauge.llm.secrets import STRONG, as_text, find_secrets
+from peergauge.llm.spelling import group_variants
+from peergauge.llm.token_counts import count_tokens
 from peergauge.llm.token_files import read_token_files, with_ids_crc32, write_token_files
 from peergauge.llm.weak_labels import fit_quality, read_documents, score_documents
 from peergauge.session import new_shared_path, write_shared
@@ -108,6 +111,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read, fit_quality(read))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_items(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20
+    )
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return count_tokens(docs, vocabulary("byte_bpe_50k.json"), limit=512)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mih": op1_mih,
     "op2_licences": op2_licences,
@@ -119,8 +137,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_search": op11_search,
+    "op12_spelling": op12_spelling,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLE: dict[str, str] = {
     "op2_licences": licences.oracle_sql(),
     "op3_chat": chat.ORACLE_SQL,
+    "op11_search": lexical.ORACLE_SQL,
 }

@@ -1,0 +1,133 @@
+"""Ranked search against a plain scorer, and against the SQL of the query."""
+
+import math
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+from helpers_llm import SF, awkward, documents, sf_documents
+
+from peergauge.llm import lexical, queries
+from peergauge.llm.lexical import search_items, terms_of
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def plain_terms(text):
+    return TERM.findall((text or "").translate(LOWER))
+
+
+def plain_search(docs, items, k=20):
+    """Sorted (item_id, rank, doc_id, score) by the definition."""
+    counts = [(i, Counter(plain_terms(t))) for i, t in docs]
+    sizes = [c.total() for _, c in counts]
+    n_docs, total = sum(n > 0 for n in sizes), sum(sizes)
+    df = Counter(t for _, c in counts for t in c)
+    found = []
+    for item_id, text in dict.fromkeys((i, t or "") for i, t in items):
+        own, scored = Counter(plain_terms(text)), []
+        for (doc_id, c), n in zip(counts, sizes, strict=True):
+            if not n:
+                continue
+            m = 75 + (25 * n * n_docs) // total
+            score = 0
+            for term, times in own.items():
+                if c[term]:
+                    w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[term] + 1)))
+                    score += times * w * (10**9 * c[term] // (1000 * c[term] + 12 * m))
+            if score > 0:
+                scored.append((-score, doc_id is None, doc_id))
+        for rank, (score, _, doc_id) in enumerate(sorted(scored)[:k], 1):
+            found.append((item_id, rank, doc_id, -score))
+    return sorted(found, key=str)
+
+
+def result(df):
+    assert df.columns == ["item_id", "rank", "doc_id", "score"]
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def pairs(df, key):
+    return [(r[key], r.text) for r in df.collect()]
+
+
+def test_query_equals_plain_scores_and_sql(spark):
+    got = result(queries.op11_search(spark, SF))
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs = pairs(sf_documents(spark), "doc_id")
+    assert got == plain_search(docs, pairs(items, "item_id"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    assert got == sorted(con.execute(queries.ORACLE["op11_search"]).fetchall(), key=str)
+
+
+ITEMS = [
+    (1, "Two WORDS, two words; the word"),
+    (1, "Two WORDS, two words; the word"),
+    (1, "another text of one id: q"),
+    (2, None),
+    (3, ""),
+    (None, "same words"),
+    (4, "café 你好 İ i̇ 123 c\x85d \U0001f600\U0001f600"),
+    (5, "word " * 5000 + "absent"),
+    (6, "nothing-of-this_occurs"),
+]
+
+
+def item_table(spark, rows=ITEMS):
+    from pyspark.sql import functions as F
+
+    made = spark.createDataFrame(rows, "item_id long, text string")
+    return made.withColumns({c: F.lit("x") for c in ("doc_id", "rank", "score", "n", "terms")})
+
+
+def test_awkward_rows_in_one_pass_and_in_several(spark):
+    docs, items = awkward(spark), item_table(spark)
+    expected = plain_search(pairs(docs, "doc_id"), ITEMS)
+    assert result(search_items(docs, items)) == expected
+    assert result(search_items(docs, items, pass_bytes=4000)) == expected
+    assert result(search_items(docs, items, k=2)) == plain_search(pairs(docs, "doc_id"), ITEMS, 2)
+
+
+def test_ties_of_many_copies_rank_by_id(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "HELD_ROWS", 50)
+    monkeypatch.setattr(lexical, "ITEM_CELLS", 3)
+    monkeypatch.setattr(lexical, "VALUE_CELLS", 40)
+    texts = ["one two", "two three", "three"] * 400
+    docs = documents(spark, texts).repartition(5)
+    items = [(i, t) for i, t in enumerate(["one", "two two", "three one", "four"])]
+    expected = plain_search(list(enumerate(texts)), items)
+    assert result(search_items(docs, item_table(spark, items))) == expected
+
+
+def test_totals_beyond_doubles_are_summed_as_integers(monkeypatch):
+    items = lexical.Items.of([(0, "a b b")])
+    (_, terms, matrix), = lexical._item_blocks(items, np.array([3, 4]))
+    assert matrix.dtype == float and matrix.ravel().tolist() == [3, 8]
+    monkeypatch.setattr(lexical, "EXACT", 10**6)
+    (_, terms, matrix), = lexical._item_blocks(items, np.array([3, 4]))
+    assert matrix.dtype == np.int64
+
+
+def test_very_long_texts(spark):
+    texts = [" ".join(f"w{i % 5000}" for i in range(200_000)), "x" * 1_000_000, "w1 w2", "-" * 10**6]
+    texts += ["x" * 300 + "y", " ".join(["x" * 300 + "y", "x" * 300, "x" * 256, "x" * 257] * 2)]
+    docs, items = documents(spark, texts), [(0, "w1 w2 w3"), (1, "x" * 1_000_000), (2, texts[0])]
+    items += [(3, texts[-1]), (4, "x" * 299), (5, "x" * 300 + "y")]
+    expected = plain_search(list(enumerate(texts)), items)
+    assert result(search_items(docs, item_table(spark, items))) == expected
+
+
+def test_empty_tables(spark):
+    docs, items = documents(spark, ["a b"]), item_table(spark)
+    assert search_items(docs.limit(0), items).collect() == []
+    assert search_items(docs, items.limit(0)).collect() == []
+    assert search_items(documents(spark, [None, "", "-"]), items).collect() == []
+
+
+def test_terms_equal_the_pattern():
+    for text in ("", "aB9_c", "İstanbul ÀÉ x\x00y\x7fz{|}", "日本 語-é", "a" * 10):
+        assert terms_of(text) == plain_terms(text)
