@@ -7,7 +7,8 @@ blocks that have it. A document's count is the sum of pieces times occurrences,
 are ever made.
 
 A pre-token is in a block at most once and a block holds bounded text, so a pre-token that every
-document has weighs one row per block, and rows grow with the text.
+document has weighs one row per block, and rows grow with the text. They are sorted by pre-token, so
+the copies of other blocks follow each other where it is encoded, and go on from there to the blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from peergauge.llm.common import bounded_batches, slices, whole_text
 from peergauge.session import write_shared
 
 # Text of a block together, or one text.
-BLOCK_BYTES = 8 * 1024**2
+BLOCK_BYTES = 32 * 1024**2
 
 
 class PreTokens:
@@ -100,8 +101,8 @@ def _packed(numbers: list[np.ndarray]) -> bytes:
 def _unpacked(data: bytes) -> np.ndarray:
     size = int.from_bytes(data[:8], "little")
     planes = pa.decompress(data[8:], size, "zstd", asbytes=True)
-    bytes_ = np.frombuffer(planes, np.uint8).reshape(4, -1).T
-    return np.ascontiguousarray(bytes_).view("<u4").ravel()
+    columns = np.frombuffer(planes, np.uint8).reshape(4, -1).T
+    return np.ascontiguousarray(columns).view("<u4").ravel()
 
 
 def _blocks(vocabulary: str, kind: pa.DataType) -> Callable:
@@ -111,18 +112,26 @@ def _blocks(vocabulary: str, kind: pa.DataType) -> Callable:
         ids, sizes, widths, words, times = [], [], [], [], []
 
         def block() -> pa.RecordBatch:
-            # Numbered by name, so that neighbours in the column are alike.
-            names = sorted(numbers)
-            renumbered = np.empty(len(names), np.uint32)
-            renumbered[[numbers[name] for name in names]] = np.arange(len(names))
+            # Frequent pre-tokens get low numbers, and a document's numbers are steps upwards.
+            uses = np.bincount(np.concatenate([*words, np.empty(0, np.int64)]), minlength=len(numbers))
+            order = np.argsort(-uses, kind="stable")
+            renumbered = np.empty(len(numbers), np.int64)
+            renumbered[order] = np.arange(len(numbers))
+            names = list(numbers)
+            steps, counts = [], []
+            for own, often in zip(words, times, strict=True):
+                ranks = renumbered[own]
+                by_rank = np.argsort(ranks)
+                steps.append(np.diff(ranks[by_rank], prepend=0))
+                counts.append(often[by_rank])
             row = {
                 "block": pa.array([(task << 32) + made], pa.int64()),
-                "words": pa.array([names], pa.list_(pa.string())),
+                "words": pa.array([[names[i] for i in order]], pa.list_(pa.string())),
                 "doc_ids": pa.array([ids], pa.list_(kind)),
                 "n_bytes": pa.array([sizes], pa.list_(pa.int64())),
                 "widths": pa.array([widths], pa.list_(pa.int64())),
-                "numbers": pa.array([_packed([renumbered[w] for w in words])], pa.binary()),
-                "times": pa.array([_packed(times)], pa.binary()),
+                "steps": pa.array([_packed(steps)], pa.binary()),
+                "times": pa.array([_packed(counts)], pa.binary()),
             }
             return pa.RecordBatch.from_pydict(row)
 
@@ -133,9 +142,9 @@ def _blocks(vocabulary: str, kind: pa.DataType) -> Callable:
                 batch.column("doc_id").to_pylist(), texts, lengths, strict=True
             ):
                 found = Counter(cut(text))
-                fresh = [word for word in found if word not in numbers]
-                numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh))))
-                words.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                for word in found:
+                    numbers.setdefault(word, len(numbers))
+                words.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
                 times.append(np.fromiter(found.values(), np.uint32, len(found)))
                 ids.append(doc_id)
                 sizes.append(size)
@@ -151,12 +160,19 @@ def _blocks(vocabulary: str, kind: pa.DataType) -> Callable:
 
 
 def _counted(vocabulary: str) -> Callable:
+    """The pieces of each row's pre-token; rows come in order of it, and each is encoded once."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pre_tokens(vocabulary).pieces
+        pieces, known = _pre_tokens(vocabulary).pieces, {}
         for batch in slices(batches, "word"):
-            found = pieces(batch.column("word").to_pylist())
+            words = batch.column("word").to_pylist()
+            fresh = list(dict.fromkeys(word for word in words if word not in known))
+            known.update(zip(fresh, pieces(fresh), strict=True))
+            found = [known[word] for word in words]
+            known = {words[-1]: found[-1]}
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), pa.array(found, pa.int64())], ["word", "pieces"]
+                [batch.column("of_block"), batch.column("number"), pa.array(found, pa.int32())],
+                ["of_block", "number", "pieces"],
             )
 
     return count
@@ -167,13 +183,16 @@ def _summed(blocks: pa.Table, words: pa.Table) -> pa.Table:
     pieces = np.zeros(words.num_rows, np.int64)
     pieces[words.column("number").to_numpy()] = words.column("pieces").to_numpy()
     kind = blocks.schema.field("doc_ids").type.value_type
-    # One row per block; more only if the block number were not unique.
     ids, sizes, totals = [], [], []
     for row in blocks.to_pylist():
-        of_word = pieces[_unpacked(row["numbers"])] * _unpacked(row["times"]).astype(np.int64)
-        ends = np.cumsum([0, *row["widths"]])
+        widths = np.array(row["widths"], np.int64)
+        ends = np.cumsum(widths)
+        # Steps start anew in every document.
+        ranks = np.concatenate([[0], np.cumsum(_unpacked(row["steps"]).astype(np.int64))])
+        base = np.repeat(ranks[ends - widths], widths)
+        of_word = pieces[ranks[1:] - base] * _unpacked(row["times"]).astype(np.int64)
         running = np.concatenate([[0], np.cumsum(of_word)])
-        totals += (running[ends[1:]] - running[ends[:-1]]).tolist()
+        totals += (running[ends] - running[ends - widths]).tolist()
         ids += row["doc_ids"]
         sizes += row["n_bytes"]
     return pa.table(
@@ -202,16 +221,17 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
         texts.mapInArrow(
             _blocks(vocabulary, empty.schema.field("doc_id").type),
             f"block long, words array<string>, doc_ids array<{kind.simpleString()}>, "
-            "n_bytes array<long>, widths array<long>, numbers binary, times binary",
+            "n_bytes array<long>, widths array<long>, steps binary, times binary",
         ),
         "pre-tokens",
     )
-    words = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    distinct = words.select("word").distinct().mapInArrow(
-        _counted(vocabulary), "word string, pieces long"
+    words = blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("number", "word"))
+    counted = (
+        words.repartition("word")
+        .sortWithinPartitions("word")
+        .mapInArrow(_counted(vocabulary), "of_block long, number int, pieces int")
     )
-    counted = words.join(distinct, "word").select(F.col("block").alias("of_block"), "number", "pieces")
-    places = blocks.select("block", "doc_ids", "n_bytes", "widths", "numbers", "times")
+    places = blocks.select("block", "doc_ids", "n_bytes", "widths", "steps", "times")
     summed = (
         places.groupBy("block")
         .cogroup(counted.groupBy("of_block"))
