@@ -15,6 +15,10 @@ searched for classes that candidate pairs connect, and a forest of such pairs is
 the clusters that links can lie in. Then clusters are compared in tiles of bounded size: candidates
 between components are confirmed on the full sets where they are found, and the links that join
 components are kept. Links inside a component need no confirmation: they cannot change it.
+
+A list or cluster that is larger than a tile is compared with its centre first, one row per class.
+The classes linked to the centre are connected by it and need not meet each other; only the others are
+put into tiles with all the rest, so a large group of near copies costs a few rows per class as well.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ COORDINATES = 64
 # Chance that a pair just at the threshold is missed: below 1e-4; it falls fast above it.
 MISS = 1e-4
 # Classes of a list, and shingles of a cluster, that make a chunk; a tile holds two chunks.
-LIST_CLASSES = 2_000
-TILE_SHINGLES = 2_000_000
+LIST_CLASSES = 500
+TILE_SHINGLES = 250_000
 _SEED = 20240229
 _WORD_MEMO = 150_000
 
@@ -162,17 +166,22 @@ def _forest(coordinates: int, matches: int) -> Callable:
     def span(tile: pa.Table) -> pa.Table:
         signatures = _matrix(tile.column("signature"), coordinates)
         nodes = tile.column("class").to_numpy()
+        settled = tile.column("settled").to_numpy(zero_copy_only=False)
         # In order of the classes, so that lists which share a group give the same pairs.
         left = np.argsort(nodes, kind="stable")
+        # What is linked to the centre is one tree already.
+        found, left = left[settled[left]].tolist(), left[~settled[left]]
         a, b = [], []
         while len(left):
-            found, left = [left[0]], left[1:]
+            if not found:
+                found, left = [left[0]], left[1:]
             for i in found:
                 near = (signatures[left] == signatures[i]).sum(axis=1) >= matches
                 a += [nodes[i]] * int(near.sum())
                 b += nodes[left[near]].tolist()
                 found += left[near].tolist()
                 left = left[~near]
+            found = []
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return span
@@ -193,6 +202,9 @@ def _joining(coordinates: int, matches: int, percent: int) -> Callable:
         ends = np.cumsum(sizes)
         present = np.zeros(len(shingles), bool)
         part, order = np.arange(len(nodes)), np.arange(len(nodes))
+        # What is linked to the centre is one component already.
+        settled = tile.column("settled").to_numpy(zero_copy_only=False)
+        part[settled] = part[settled].min(initial=len(nodes))
         a, b = [], []
         for i in order:
             others = order[(order > i) & (part != part[i])]
@@ -216,6 +228,31 @@ def _joining(coordinates: int, matches: int, percent: int) -> Callable:
     return join
 
 
+def _against_centre(key: str, coordinates: int, matches: int, percent: int | None) -> Callable:
+    """Whether each row is linked to its group's centre: a candidate, and confirmed if ``percent``."""
+
+    def confirmed(own: bytes, centre: bytes) -> bool:
+        x, y = np.frombuffer(own, np.uint64), np.frombuffer(centre, np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles" if percent else "signature"):
+            own = _matrix(batch.column("signature"), coordinates)
+            centre = _matrix(batch.column("centre_signature"), coordinates)
+            linked = (own == centre).sum(axis=1) >= matches
+            if percent:
+                sets, centres = batch.column("shingles"), batch.column("centre_shingles")
+                for i in linked.nonzero()[0]:
+                    linked[i] = confirmed(sets[i].as_py(), centres[i].as_py())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), batch.column("class"), batch.column("centre"), pa.array(linked)],
+                [key, "class", "centre", "linked"],
+            )
+
+    return compare
+
+
 def _sets(size: int) -> Callable:
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
@@ -263,34 +300,93 @@ class _Search:
 
     def clusters(self, posted: DataFrame) -> DataFrame:
         """(class, cluster) of the classes that candidate pairs connect with others."""
-        lists = posted.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        tiles = _tiles(posted.join(lists, "posting"), "posting", F.ceil(F.col("n") / LIST_CLASSES))
-        forest = (
-            tiles.join(self._classes.select("class", "signature"), "class")
-            .groupBy("posting", "low", "high")
-            .applyInArrow(_forest(self._coordinates, self._matches), "a long, b long")
-            .distinct()
+        lists = posted.groupBy("posting").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
+        rows = posted.join(lists, "posting").join(
+            self._classes.select("class", "signature"), "class"
         )
-        trees = connected_components(write_shared(forest, "candidates"))
+        tiles, pairs = self.tiles(rows.withColumn("weight", F.lit(1)), "posting", LIST_CLASSES)
+        forest = tiles.groupBy("posting", "low", "high").applyInArrow(
+            _forest(self._coordinates, self._matches), "a long, b long"
+        )
+        candidates = write_shared(forest.union(pairs).distinct(), "candidates")
+        trees = connected_components(candidates)
         return trees.select(F.col("node").alias("class"), F.col("component").alias("cluster"))
 
     def links(self, posted: DataFrame) -> DataFrame:
         """Confirmed links that join components, at most one per class and tile."""
         central = posted.groupBy("class").agg(F.max("central").alias("central"))
         clustered = write_shared(self.clusters(posted).join(central, "class"), "clusters")
-        sized = clustered.join(self._classes.select("class", "n_shingles", "signature"), "class")
-        volumes = sized.groupBy("cluster").agg(F.sum("n_shingles").alias("volume"))
+        sized = clustered.join(
+            self._classes.select("class", F.col("n_shingles").alias("weight"), "signature"), "class"
+        )
+        volumes = sized.groupBy("cluster").agg(F.sum("weight").alias("total"))
         members = sized.join(volumes, "cluster").join(
             self.sets(clustered).withColumnRenamed("node", "class"), "class"
         )
-        chunks = F.ceil(F.col("volume") / TILE_SHINGLES)
-        return (
-            _tiles(members, "cluster", chunks, "central", "signature", "shingles")
-            .groupBy("cluster", "low", "high")
-            .applyInArrow(
-                _joining(self._coordinates, self._matches, self._percent), "a long, b long"
-            )
+        tiles, links = self.tiles(members, "cluster", TILE_SHINGLES, self._percent, "shingles")
+        joined = tiles.groupBy("cluster", "low", "high").applyInArrow(
+            _joining(self._coordinates, self._matches, self._percent), "a long, b long"
+        )
+        return joined.union(links)
+
+    def tiles(
+        self, rows: DataFrame, key: str, unit: int, percent: int | None = None, *columns: str
+    ) -> tuple[DataFrame, DataFrame]:
+        """Tiles whose rows are to be compared, and the links (a, b) with centres of large groups.
+
+        ``rows`` have class, signature, central, ``weight`` and their group's ``total`` weight. A
+        group of up to ``unit`` is one tile. Of a larger one, the rows that are not linked to its
+        most central class are compared with each other and with all the rest.
+        """
+        kept = (key, "class", "central", "signature", *columns)
+        rows = write_shared(rows.select(*kept, "weight", "total"), "grouped")
+        large = rows.where(F.col("total") > unit)
+        first = F.max_by(
+            F.struct("class", "signature", *columns), F.struct("central", -F.col("class"))
+        )
+        chunks = F.ceil(F.col("total") / unit).cast("int")
+        centres = large.groupBy(key, chunks.alias("_chunks")).agg(first.alias("_centre"))
+        # The centre goes to every chunk of its group.
+        centres = centres.select(
+            F.col(key).alias("_key"),
+            F.col("_centre.class").alias("centre"),
+            *(F.col(f"_centre.{c}").alias(f"centre_{c}") for c in ("signature", *columns)),
+            F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_at"),
+        )
+        chunk = F.pmod(F.xxhash64("class"), chunks).cast("int")
+        met = large.withColumn("_chunk", chunk).join(
+            centres, (F.col(key) == F.col("_key")) & (F.col("_chunk") == F.col("_at"))
+        )
+        compare = _against_centre(key, self._coordinates, self._matches, percent)
+        sent = ("signature", "centre_signature", *(x for c in columns for x in (c, f"centre_{c}")))
+        judged = met.select(key, "class", "centre", *sent).mapInArrow(
+            compare, f"{key} long, class long, centre long, linked boolean"
+        )
+        judged = write_shared(judged, "judged")
+        links = judged.where("linked and class <> centre").select(
+            F.col("class").alias("a"), F.col("centre").alias("b")
+        )
+        weighed = large.join(judged.select(key, "class", "linked"), [key, "class"])
+        # A centre agrees with itself, so it is linked.
+        parts = weighed.groupBy(key).agg(
+            F.ceil(F.sum(F.when(~F.col("linked"), F.col("weight"))) / unit).alias("_open"),
+            F.ceil(F.sum(F.when(F.col("linked"), F.col("weight"))) / unit).alias("_settled"),
+        )
+        # Groups that their centre connects have no open rows, and no tiles.
+        parts = parts.where("_open > 0").select(
+            F.col(key).alias("_key"),
+            F.col("_open").cast("int").alias("_open"),
+            F.greatest("_settled", F.lit(1)).cast("int").alias("_settled"),
+        )
+        placed = weighed.join(parts, F.col(key) == F.col("_key"))
+        spread = _tiles(placed, kept)
+        one = rows.where(F.col("total") <= unit).select(
+            *kept,
+            F.lit(False).alias("settled"),
+            F.lit(0).alias("low"),
+            F.lit(0).alias("high"),
         )
+        return one.unionByName(spread), links
 
     def sets(self, clustered: DataFrame) -> DataFrame:
         """(node, shingles) of the clustered classes, from the texts of their first documents."""
@@ -308,21 +404,25 @@ class _Search:
         return connected_components(write_shared(self.links(posted), "links"))
 
 
-def _tiles(rows: DataFrame, key: str, chunks: Column, *columns: str) -> DataFrame:
-    """Each group's rows in chunks by hash, and the chunks in pairs: (low, high) names a tile.
+def _tiles(rows: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """The rows of groups in chunks by hash, and the chunks in pairs: (low, high) names a tile.
 
-    A row is in as many tiles as its group has chunks; a group of one chunk is one tile.
+    Chunks of open rows meet each other, and those of linked (settled) rows, which have the numbers
+    after them; chunks of settled rows do not meet.
     """
+    hashed = F.xxhash64("class")
+    own = F.when(
+        F.col("linked"), F.col("_open") + F.pmod(hashed, F.col("_settled")).cast("int")
+    ).otherwise(F.pmod(hashed, F.col("_open")).cast("int"))
+    others = F.when(F.col("linked"), F.col("_open")).otherwise(F.col("_open") + F.col("_settled"))
     return (
-        rows.withColumn("_chunks", F.greatest(chunks, F.lit(1)).cast("int"))
-        .withColumn("_chunk", F.pmod(F.xxhash64("class"), F.col("_chunks")).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+        rows.withColumn("_own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), others - 1)))
         .select(
-            key,
-            "class",
-            *columns,
-            F.least("_chunk", "_other").alias("low"),
-            F.greatest("_chunk", "_other").alias("high"),
+            *kept,
+            F.col("linked").alias("settled"),
+            F.least("_own", "_other").alias("low"),
+            F.greatest("_own", "_other").alias("high"),
         )
     )
 

@@ -98,6 +98,28 @@ def test_groups_with_chains_hot_passages_and_copies(spark, monkeypatch, tile):
     assert Counter(map(tuple, got.collect())) == brute(docs.collect())
 
 
+def test_rows_in_tiles_of_a_hot_group_grow_with_it(spark, monkeypatch):
+    """Near copies by the thousand: twice as many give at most about twice the rows."""
+    monkeypatch.setattr(near_dups, "LIST_CLASSES", 100)
+    monkeypatch.setattr(near_dups, "TILE_SHINGLES", 10_000)
+    rows, tiles = [], near_dups._Search.tiles
+
+    def counted(self, *args):
+        found, links = tiles(self, *args)
+        rows[-1] += found.count()
+        return found, links
+
+    monkeypatch.setattr(near_dups._Search, "tiles", counted)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(4000)}" for _ in range(80)]
+    for n in (600, 1200):
+        rows.append(0)
+        texts = [edited(rng, base, rng.randint(0, 3)) for _ in range(n)]
+        got = near_duplicates(documents(spark, texts), size=2).collect()
+        assert {r.component_id for r in got} == {0} and len(got) == n
+    assert rows[1] <= 2.3 * rows[0]
+
+
 def test_least_matches_miss_little():
     assert least_matches(0.8, 64) == 38
     assert least_matches(1.0, 64) == 64
