@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peergauge.llm.common import whole_text
+from peergauge.llm.common import let, whole_text
 from peergauge.session import write_shared
 
 SCOPE = 200
@@ -68,6 +68,18 @@ WEAK = {
 KINDS = {**STRONG, **WEAK}
 _RANK = {kind: rank for rank, kind in enumerate(KINDS)}
 _SPAN = "struct<start:int,rank:int,end:int,kind:string>"
+# Matches, or spans, that are worked off together: appending to an array copies it.
+BLOCK = 256
+# Spans that share a stretch of text: a place in a text is found by counting from its beginning.
+STRETCH = 4096
+
+
+def _blocks(array: Column, size: int = BLOCK) -> Column:
+    """An array in pieces of ``size``, in order; none of an empty one."""
+    last = F.floor((F.size(array) - 1) / size).cast("int")
+    numbers = F.when(F.size(array) > 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
+    numbers = F.coalesce(numbers, F.array().cast("array<int>"))
+    return F.transform(numbers, lambda b: F.slice(array, b * size + 1, F.lit(size)))
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -85,24 +97,50 @@ def _spans(text: Column, kind: str) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(part)).alias("part"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    sizes = F.transform(
+        found,
+        lambda x: F.struct(
+            F.length(x["gap"]).alias("gap"),
+            F.coalesce(F.length(x["match"]), F.lit(0)).alias("match"),
+            F.coalesce(F.length(x["part"]) >= least, F.lit(False)).alias("long"),
+        ),
+    )
+    none = F.array().cast(f"array<{_SPAN}>")
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(
+    def span(begin: Column, end: Column) -> Column:
+        return F.struct(
             begin.alias("start"),
             F.lit(_RANK[kind]).alias("rank"),
             end.alias("end"),
             F.lit(kind).alias("kind"),
         )
-        long = F.coalesce(F.length(x["part"]) >= least, F.lit(False))
-        spans = F.when(long, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
 
-    return F.when(
-        text.rlike(test or pattern), F.aggregate(found, start, step, lambda s: s["spans"])
-    ).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    def step(state: Column, x: Column) -> Column:
+        begin = state["at"] + x["gap"]
+        end = begin + x["match"]
+        spans = F.when(x["long"], F.concat(state["spans"], F.array(span(begin, end))))
+        return F.struct(end.alias("at"), F.coalesce(spans, state["spans"]).alias("spans"))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    # Spans of each block from its own beginning, and how much text it covers.
+    within = let(sizes, lambda x: F.transform(_blocks(x), lambda b: F.aggregate(b, start, step)))
+
+    def begins(blocks: Column) -> Column:
+        return F.aggregate(
+            blocks,
+            F.array(F.lit(0)),
+            lambda so_far, b: F.concat(so_far, F.array(F.element_at(so_far, -1) + b["at"])),
+        )
+
+    def placed(blocks: Column, begin: Column) -> Column:
+        def moved(block: Column, i: Column) -> Column:
+            at = F.get(begin, i)
+            return F.transform(block["spans"], lambda s: span(at + s["start"], at + s["end"]))
+
+        return F.flatten(F.transform(blocks, moved))
+
+    spans = let(within, lambda blocks: let(begins(blocks), lambda begin: placed(blocks, begin)))
+    return F.when(text.rlike(test or pattern), spans).otherwise(none)
 
 
 def _linked(located: DataFrame, scope: int) -> DataFrame:
@@ -152,7 +190,15 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     located = write_shared(
         docs.withColumns({**spans, "_row": F.monotonically_increasing_id()}), "secrets"
     )
-    weak = F.size("_weak") > 0
+    # Spans of one role have no complement; only rows with two roles are joined.
+    every = F.concat("_strong", "_weak")
+
+    def has(role: str) -> Column:
+        kinds = [kind for kind in KINDS if KINDS[kind][4] == role]
+        return F.exists(every, lambda s: s["kind"].isin(*kinds)).cast("int")
+
+    roles = sum((has(role) for role in ("identifier", "secret", "endpoint")), F.lit(0))
+    weak = (F.size("_weak") > 0) & (roles > 1)
     linked = _linked(located.where(weak).select("_row", "_strong", "_weak"), scope)
     none = F.array().cast(f"array<{_SPAN}>")
     own = located.where(weak).join(linked, "_row", "left")
@@ -173,23 +219,63 @@ def as_text(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mark: str = MARK) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by ``mark``."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span, or run of overlapping spans, replaced by ``mark``.
 
-    def step(so_far: Column, s: Column) -> Column:
-        inside = (s["start"] < so_far["at"]) & (so_far["at"] > 0)
-        gap = F.substring(text, so_far["at"] + 1, s["start"] - so_far["at"])
-        return F.struct(
-            F.greatest(so_far["at"], s["end"]).alias("at"),
-            F.when(inside, so_far["out"])
-            .otherwise(F.concat(so_far["out"], gap, F.lit(mark)))
-            .alias("out"),
+    ``spans`` are in order. They are worked off in blocks, each with the stretch of text it covers.
+    """
+
+    def reached(blocks: Column, base: Column) -> Column:
+        """How far the spans before each block, and before the end, reach."""
+        return F.aggregate(
+            F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"]))),
+            F.array(base),
+            lambda so_far, top: F.concat(
+                so_far, F.array(F.greatest(F.element_at(so_far, -1), top))
+            ),
         )
 
-    rest = F.aggregate(
-        spans,
-        state,
-        step,
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    def each(spans: Column, size: int, base: Column, parts) -> Column:
+        """The parts that ``parts(block, from, to)`` makes of all blocks."""
+
+        def joined(blocks: Column, reach: Column) -> Column:
+            return F.flatten(
+                F.transform(blocks, lambda b, i: parts(b, F.get(reach, i), F.get(reach, i + 1)))
+            )
+
+        return let(
+            _blocks(spans, size), lambda b: let(reached(b, base), lambda r: joined(b, r))
+        )
+
+    def cut(whole: Column, offset: Column, base: Column, top: Column) -> Column:
+        return F.substring(whole, base - offset + 1, top - base)
+
+    def of_block(block: Column, base: Column, own: Column) -> Column:
+        def step(so_far: Column, s: Column) -> Column:
+            inside = (s["start"] < so_far["at"]) & (so_far["at"] > 0)
+            gap = cut(own, base, so_far["at"], s["start"])
+            out = F.when(inside, so_far["out"]).otherwise(
+                F.concat(so_far["out"], F.array(gap, F.lit(mark)))
+            )
+            return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), out.alias("out"))
+
+        start = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(block, start, step, lambda so_far: so_far["out"])
+
+    def of_stretch(spans: Column, base: Column, top: Column) -> Column:
+        def blocks(own: Column) -> Column:
+            return each(
+                spans,
+                BLOCK,
+                base,
+                lambda b, begin, end: let(
+                    cut(own, base, begin, end), lambda piece: of_block(b, begin, piece)
+                ),
+            )
+
+        return let(cut(text, F.lit(0), base, top), blocks)
+
+    parts = each(spans, STRETCH, F.lit(0), of_stretch)
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    rest = F.substring(text, last + 1, F.length(text))
+    replaced = F.concat(F.array_join(parts, ""), rest)
+    return F.when(F.size(spans) > 0, replaced).otherwise(text)
