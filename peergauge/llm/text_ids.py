@@ -47,8 +47,8 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        # The strings of special tokens are ordinary text here.
-        self._tokenizer.encode_special_tokens = True
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._added = [token.content for token in added]
         self._tokens = self._tokenizer.model.tokenize
         self._pieces = regex.compile(public_tokenizers.PATTERN).findall
         self._letters = _byte_letters()
@@ -65,6 +65,9 @@ class TextEncoder:
     def _text(self, text: str) -> bytes:
         if not text:
             return b""
+        # The library itself cuts out the strings of added tokens.
+        if any(added in text for added in self._added):
+            return self._whole(text)
         if _unusual(text):
             first, *rest = _CUT.split(text)
             return self._split(first) + b"".join([self._split(" " + s) for s in rest])

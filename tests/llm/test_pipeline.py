@@ -108,7 +108,6 @@ def test_packing_holds_every_document(stages):
 
     given, pieces = stages[4]
     tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     check_packing(
         pieces.collect(),
         given.collect(),
@@ -125,6 +124,69 @@ def test_run_applies_all_stages(spark, stages):
     assert sorted(whole.select(*key).collect()) == sorted(last.select(*key).collect())
 
 
+CLASHING = (
+    *("n_words", "kept", "base_failed", "_row", "strong", "linked", "words", "_words", "_given"),
+    *("component_id", "n_shingles", "votes", "class", "a.b"),
+)
+
+
+def test_clashing_columns_keep_their_values(spark, stages):
+    """Each stage on its own input with columns named as the operators' own."""
+    from pyspark.sql import functions as F
+
+    for (name, step), (given, kept) in list(zip(corpus_pipeline.STAGES, stages, strict=True))[:4]:
+        few = given.where("doc_id % 3 = 0 or length(text) < 300")
+        clashing = few.withColumns({c: F.concat(F.lit(f"{c}-"), "doc_id") for c in CLASHING})
+        got = write_shared(step(spark, clashing, SF), name)
+        assert got.schema.simpleString() == clashing.schema.simpleString()
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHING)
+        plain = by_id(write_shared(step(spark, few, SF), name))
+        assert {r.doc_id: r.text for r in rows} == {i: r.text for i, r in plain.items()}
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat_or_lack(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
+    near, other = " ".join(long), " ".join(reversed(long))
+    rows = [
+        (7, near),
+        (7, near),
+        (7, other),
+        (3, near + " "),
+        (None, near),
+        (None, other + "\n"),
+        (None, "quite alone here " * 5),
+        (None, "quite alone here " * 5),
+        (9, None),
+        (9, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    expected = [(3, near + " "), (7, other), (9, None), (9, None), (None, "quite alone here " * 5)]
+    assert kept == expected
+
+
+def test_tables_of_a_stage_go_when_the_next_one_begins(spark):
+    from pathlib import Path
+
+    from peergauge.session import shared_dir
+
+    root = Path(shared_dir(spark).removeprefix("file:")) / "peergauge"
+    docs = sf_documents(spark).where("doc_id < 40")
+    corpus_pipeline._free(spark)
+    before = set(root.iterdir())
+    for name, step in corpus_pipeline.STAGES[:2]:
+        docs = write_shared(step(spark, docs, SF), name)
+    left = {p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - before}
+    assert "quality-features" not in left and "counted" in left
+    assert docs.count() > 0
+    # A result that is read lazily keeps what it is read from.
+    lazy = corpus_pipeline.STAGES[1][1](spark, docs, SF)
+    corpus_pipeline._free(spark, lazy)
+    assert lazy.count() == docs.count()
+
+
 def test_empty_documents_pass_through(spark, tmp_path):
     docs = sf_documents(spark).limit(0)
     for name, stage in corpus_pipeline.STAGES:
