@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peergauge.functions.dates import period_start, slice_start
+from peergauge.session import write_shared
 
 WEEK = 7
+DAY_SECONDS = 86_400
+SPLIT, WHOLE = "cannot be split", "ok"
 
 
 def date_range(rows: DataFrame, ts: str) -> DataFrame:
@@ -45,6 +50,72 @@ def rows_per_slice(rows: DataFrame, ts: str, days: int = WEEK) -> DataFrame:
     return _on_spine(window_slices(bounds, days), counts, "slice_from")
 
 
+def pull_plan(rows: DataFrame, ts: str, ceiling: int, days: int = WEEK) -> DataFrame:
+    """Slices of time, each with fewer rows than the source can return, that cover the data's days.
+
+    Slices of ``days`` that reach the ceiling are cut in two halves of time, again and again. Returns
+    slice_from and slice_to (both inclusive, to the second), ``n`` and ``status``: a single second
+    that reaches the ceiling cannot be split. Rows without a time are left out, and without any
+    there is no slice.
+
+    Rows are counted per second once; after that only the seconds of slices over the ceiling go on,
+    and their number of rounds is bounded by the length of a slice.
+    """
+    day = F.col(ts).cast("date")
+    second = _seconds(day) + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    moments = write_shared(_counts(rows, second.cast("bigint"), "t"), "moments")
+    epoch = F.lit("1970-01-01").cast("date")
+    days_seen = moments.select(F.date_add(epoch, F.floor(F.col("t") / DAY_SECONDS).cast("int")).alias("day"))
+    spine = write_shared(window_slices(date_range(days_seen, "day"), days), "slices").select(
+        _seconds(F.col("slice_from")).alias("low"),
+        (_seconds(F.col("slice_to")) + DAY_SECONDS - 1).alias("high"),
+    )
+    first_day = date_range(days_seen, "day").select(_seconds(F.col("date_from"))).scalar()
+    length = days * DAY_SECONDS
+    low = F.col("t") - F.pmod(F.col("t") - first_day, F.lit(length))
+    placed = moments.select("t", "n", F.coalesce(low, F.lit(0)).alias("low"))
+    found = []
+    while True:
+        totals = placed.groupBy("low").agg(F.sum("n").alias("n"))
+        counted = spine.join(totals, "low", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        counted = write_shared(counted, "pull-plan")
+        over = (F.col("n") >= ceiling) & (F.col("low") < F.col("high"))
+        found.append(counted.where(~over))
+        capped = counted.where(over).select(
+            "low", "high", F.floor((F.col("low") + F.col("high")) / 2).alias("middle")
+        )
+        if capped.isEmpty():
+            break
+        spine = capped.select(
+            F.inline(
+                F.array(
+                    F.struct("low", F.col("middle").alias("high")),
+                    F.struct((F.col("middle") + 1).alias("low"), "high"),
+                )
+            )
+        )
+        half = F.when(F.col("t") <= F.col("middle"), F.col("low")).otherwise(F.col("middle") + 1)
+        placed = placed.join(capped, "low").select("t", "n", half.alias("low"))
+        placed = write_shared(placed, "moments")
+    plan = reduce(DataFrame.unionByName, found)
+    return plan.select(
+        _moment(F.col("low")).alias("slice_from"),
+        _moment(F.col("high")).alias("slice_to"),
+        F.col("n").cast("bigint").alias("n"),
+        F.when(F.col("n") >= ceiling, SPLIT).otherwise(WHOLE).alias("status"),
+    )
+
+
+def _seconds(day: Column) -> Column:
+    return F.datediff(day, F.lit("1970-01-01").cast("date")).cast("bigint") * DAY_SECONDS
+
+
+def _moment(second: Column) -> Column:
+    """The zoneless time so many seconds after 1970 began."""
+    start = F.lit("1970-01-01").cast("timestamp_ntz")
+    return start + F.make_dt_interval(secs=second.cast("decimal(18,6)"))
+
+
 def rows_per_month(rows: DataFrame, ts: str) -> DataFrame:
     """Rows in every month of the data's range; empty months show 0."""
     monthly = _counts(rows, period_start(F.col(ts), "month").cast("date"), "month")

@@ -14,6 +14,7 @@ from peergauge.spec import CaseSpec
 # hold about 100 rows whatever the scale of the tables, hence the minimum.
 ORDER_CASES = CaseSpec(excluded_categories=("MEDIUM",), min_n=95, pooled_min_n=500)
 QUARTER_MIN_N = 4
+PULL_CEILING = 40
 
 ONE_CATEGORY = "PROMO"
 SUBJECT = "Supplier#000000007"

@@ -11,6 +11,7 @@ from peergauge.plans.bindings import (
     ORDER_CASES,
     OTHER_LABEL,
     PROMPT_DAYS,
+    PULL_CEILING,
     QUARTER_MIN_N,
     SUBJECT,
 )
@@ -38,6 +39,17 @@ cases AS (
 _CORE = f"""{_CASES},
 core AS (SELECT * FROM cases WHERE product <> '{ORDER_CASES.excluded_categories[0]}')"""
 
+_LANDED_CORE = f"""{_CASES},
+landed AS (
+  SELECT *, row_number() OVER (PARTITION BY complaint_id ORDER BY date_received, product,
+                               company, company_response, timely) AS place
+  FROM cases
+),
+core AS (
+  SELECT * FROM landed
+  WHERE place = 1 AND product <> '{ORDER_CASES.excluded_categories[0]}'
+)"""
+
 _RELIEF_SET = ", ".join(f"'{outcome}'" for outcome in RELIEF_OUTCOMES)
 _RELIEF = f"count(*) FILTER (WHERE company_response IN ({_RELIEF_SET}))"
 _TIMELY = "count(*) FILTER (WHERE timely = 'Yes')"
@@ -51,7 +63,11 @@ _BY_RATE = f"{_pct(_TIMELY)} AS pct_timely, {_pct(_RELIEF)} AS pct_relief"
 
 
 def _scorecard(
-    min_n: int = ORDER_CASES.min_n, period: str = "", rule: str = "quartile", where: str = ""
+    min_n: int = ORDER_CASES.min_n,
+    period: str = "",
+    rule: str = "quartile",
+    where: str = "",
+    core: str = _CORE,
 ) -> str:
     lead = f"{period}, " if period else ""
     truncated = f"date_trunc('{period}', date_received) AS {period}, " if period else ""
@@ -67,7 +83,7 @@ def _scorecard(
         )
         label = "FLAG - far below category median"
     return f"""
-WITH {_CORE},
+WITH {core},
 pairs AS (
   SELECT {truncated}product, company, count(*) AS n, {_BY_RATE}
   FROM core GROUP BY ALL HAVING count(*) >= {min_n}
@@ -213,6 +229,7 @@ _SHARES = ", ".join(
 ORACLE: dict[str, str] = {
     "kpi_within_category": _scorecard(),
     "kpi_within_category_quarter": _scorecard(QUARTER_MIN_N, "quarter"),
+    "kpi_quarter_maintained": _scorecard(QUARTER_MIN_N, "quarter", core=_LANDED_CORE),
     "kpi_stddev_rule": _scorecard(rule="stddev"),
     "kpi_pilot_category": _scorecard(where=f"WHERE product = '{ONE_CATEGORY}'"),
     "acceptance_checks": f"WITH card AS ({_scorecard()})\n"
@@ -276,6 +293,7 @@ SELECT complaint_id, product, state, date_received, has_narrative FROM cases
 WHERE date_received >= TIMESTAMP '1996-01-01' AND date_received < TIMESTAMP '1997-07-01'
   AND state = '{HOME_REGION}' AND product = '{ONE_CATEGORY}' AND has_narrative""",
     "snapshot_purge": "SELECT doc_id, lang, source FROM documents WHERE source = 'src7'",
+    "snapshot_purge_stored": "SELECT doc_id, lang, source FROM documents WHERE source = 'src7'",
     "dq_coverage": f"""
 WITH {_CASES}
 SELECT min(date_received) AS earliest, max(date_received) AS latest, count(*) AS total_rows,
@@ -387,6 +405,34 @@ FROM weekly""",
     "dq_capped_weeks": f"""
 WITH {_weeks("events", "ts")}
 SELECT slice_from, slice_to, n, n >= 2330 AS capped FROM weekly""",
+    "dq_pull_plan": f"""
+WITH RECURSIVE
+moments AS (
+  SELECT CAST(floor(epoch(ts)) AS BIGINT) AS t, count(*) AS n FROM events
+  WHERE ts IS NOT NULL GROUP BY 1
+),
+days AS (
+  SELECT min(t) // 86400 * 86400 AS first, max(t) // 86400 * 86400 + 86399 AS last FROM moments
+),
+weeks AS (
+  SELECT low, least(low + 7 * 86400 - 1, last) AS high
+  FROM days, generate_series(first, last, 7 * 86400) AS s(low)
+),
+halves AS (
+  SELECT low, high, CAST(coalesce(sum(n), 0) AS BIGINT) AS n
+  FROM weeks LEFT JOIN moments ON t BETWEEN low AND high GROUP BY low, high
+  UNION ALL
+  SELECT h.low, h.high, CAST(coalesce(sum(m.n), 0) AS BIGINT) AS n
+  FROM (
+    SELECT low, (low + high) // 2 AS high FROM halves WHERE n >= {PULL_CEILING} AND low < high
+    UNION ALL
+    SELECT (low + high) // 2 + 1, high FROM halves WHERE n >= {PULL_CEILING} AND low < high
+  ) h LEFT JOIN moments m ON t BETWEEN h.low AND h.high GROUP BY h.low, h.high
+)
+SELECT TIMESTAMP '1970-01-01' + to_seconds(low) AS slice_from,
+       TIMESTAMP '1970-01-01' + to_seconds(high) AS slice_to, n,
+       CASE WHEN n >= {PULL_CEILING} THEN 'cannot be split' ELSE 'ok' END AS status
+FROM halves WHERE n < {PULL_CEILING} OR low = high""",
     "dq_provisional": """
 SELECT date_trunc('day', ts) AS day,
        ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY AS provisional, count(*) AS n
@@ -426,6 +472,10 @@ UNION ALL SELECT 'row_count', CAST(count(*) AS VARCHAR) FROM orders""",
     "full_reload_by_month": f"""
 WITH {_CASES} SELECT complaint_id, company, date_received FROM cases
 WHERE date_received >= TIMESTAMP '1996-02-10' AND date_received < TIMESTAMP '1996-04-21'""",
+    "stream_landing_keyed": """
+SELECT event_id, ts, user_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events)
+WHERE place = 1""",
     "stream_landing": """
 SELECT event_id, ts, user_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events)

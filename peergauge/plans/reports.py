@@ -18,6 +18,7 @@ from peergauge.plans.bindings import (
     ONE_CATEGORY,
     ORDER_CASES,
     OTHER_LABEL,
+    PULL_CEILING,
     QUARTER_MIN_N,
     SUBJECT,
     documents,
@@ -29,6 +30,7 @@ from peergauge.plans.bindings import (
 from peergauge.plans.complaints import KPI_FIELDS
 from peergauge.plans.routes import pull_census
 from peergauge.session import new_shared_path, write_shared
+from peergauge.sources.counts import scorecard_from_counts, update_counts
 from peergauge.sources.csv_export import read_csv_export
 from peergauge.sources.results import export_extract, read_results_csv, write_results
 from peergauge.sources.runs import (
@@ -40,14 +42,16 @@ from peergauge.sources.runs import (
 )
 from peergauge.sources.schemas import CSV_COLUMNS, PAGE_FIELDS, SCORED
 from peergauge.sources.search_pages import read_search_pages, without_text
-from peergauge.sources.tables import insert_new, read_table, replace_cases
+from peergauge.sources.tables import insert_new, purge_cases, read_table, replace_cases
 from peergauge.spec import PRODUCT_LABELS, STDDEV
-from peergauge.streaming.landing import land_stream
+from peergauge.streaming.landing import land_keyed_stream, land_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 REPORTS: dict[str, Query] = {}
 
+DOC_EPOCH = "1995-01-01"
+
 
 def report(query: Query) -> Query:
     REPORTS[query.__name__] = query
@@ -82,6 +86,23 @@ def kpi_within_category_quarter(spark, sf):
     return scope.ordered(card, "quarter", "product", "pct_relief", "pct_timely", "company")
 
 
+@report
+def kpi_quarter_maintained(spark, sf):
+    """The quarterly scorecard from counts that three landings and a replay have kept up to date."""
+    spec = replace(ORDER_CASES, min_n=QUARTER_MIN_N)
+    columns = ("complaint_id", "date_received", *RATE_COLUMNS)
+    cases, path = _cases(spark, sf, *columns), new_shared_path(spark, "cases")
+    years = ("0001", "1997", "1999", "9999")
+    batches = [
+        scope.date_window(cases, spec, f"{first}-01-01", f"{int(last) - 1:04}-12-31")
+        for first, last in zip(years, years[1:], strict=False)
+    ]
+    for batch in (*batches, batches[1]):
+        insert_new(batch, path, "complaint_id", ("date_received",), "date_received")
+        update_counts(spark, path, spec)
+    return scorecard_from_counts(spark, path, spec)
+
+
 @report
 def kpi_stddev_rule(spark, sf):
     spec = replace(ORDER_CASES, flag_rule=STDDEV)
@@ -201,6 +222,18 @@ def snapshot_purge(spark, sf):
     return scope.keep_snapshot(rows, spec, "src7")
 
 
+@report
+def snapshot_purge_stored(spark, sf):
+    """A stored table after a purge that leaves one snapshot, and a second one that finds nothing."""
+    path = new_shared_path(spark, "cases")
+    day = F.date_add(F.lit(DOC_EPOCH).cast("date"), (F.col("doc_id") % 3650).cast("int"))
+    rows = documents(spark, sf).select("doc_id", "lang", "source", day.alias("received"))
+    replace_cases(rows, path, "received")
+    for _ in range(2):
+        purge_cases(spark, path, F.col("source") == "src7")
+    return spark.read.parquet(path).select("doc_id", "lang", "source")
+
+
 # --- quality checks --------------------------------------------------------
 
 
@@ -312,6 +345,12 @@ def dq_capped_weeks(spark, sf):
     return quality.capped_slices(table(spark, sf, "events"), "ts", ceiling=2330)
 
 
+@report
+def dq_pull_plan(spark, sf):
+    """Weeks of events cut until no slice reaches the ceiling."""
+    return slices.pull_plan(table(spark, sf, "events"), "ts", ceiling=PULL_CEILING)
+
+
 @report
 def dq_provisional(spark, sf):
     events = quality.mark_provisional(table(spark, sf, "events").select("ts"), "ts", days=7)
@@ -418,34 +457,39 @@ def full_reload_by_month(spark, sf):
     return window.select(*columns)
 
 
-@report
-def stream_landing(spark, sf):
-    """Every user's first event, landed by a stream that takes up one file at a time.
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of one file at a time.
 
     The files hold thirds of the time, so what lands first is first in time, and
     users come back in later batches.
     """
     events = table(spark, sf, "events")
-    path, source = new_shared_path(spark, "streamed"), new_shared_path(spark, "stream-source")
+    source = new_shared_path(spark, "stream-source")
     ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     cuts = [ends.low + (ends.high - ends.low) * third / 3 for third in (1, 2)] if ends.low else []
     bounds = [F.lit(str(cut)).cast("timestamp_ntz") for cut in cuts]
     third = sum(((F.col("ts") >= bound).cast("int") for bound in bounds), F.lit(0))
     for part in range(3):
         events.where(third == part).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = land_stream(
-        stream,
-        path,
-        new_shared_path(spark, "stream-state"),
-        "user_id",
-        ("ts", "event_id"),
-    )
-    query.awaitTermination()
-    return read_table(spark, path, events.schema)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
 
-DOC_EPOCH = "1995-01-01"
+@report
+def stream_landing(spark, sf):
+    """Every user's first event, landed by a stream that compares each batch with the table."""
+    stream, path = _event_stream(spark, sf), new_shared_path(spark, "streamed")
+    state = new_shared_path(spark, "stream-state")
+    land_stream(stream, path, state, "user_id", ("ts", "event_id")).awaitTermination()
+    return read_table(spark, path, stream.schema)
+
+
+@report
+def stream_landing_keyed(spark, sf):
+    """Every user's first event, landed by a stream that remembers the users it has seen."""
+    stream, path = _event_stream(spark, sf), new_shared_path(spark, "streamed")
+    state = new_shared_path(spark, "stream-state")
+    land_keyed_stream(stream, path, state, "user_id", ("ts", "event_id")).awaitTermination()
+    return read_table(spark, path, stream.schema)
 
 
 def _document_cases(spark: SparkSession, sf: str) -> DataFrame:
@@ -481,7 +525,7 @@ LANDED = (
 
 @report
 def csv_export_load(spark, sf):
-    """Write the documents as a bulk export of two layouts and load a range of days."""
+    """Write the documents as a bulk export of two layouts, one file each, and load a range of days."""
     rows = _document_cases(spark, sf).withColumnRenamed("complaint_what_happened", "narrative")
     exported = rows.select(*[F.col(name).alias(header) for header, name in CSV_COLUMNS.items()])
     even = F.col("Complaint ID").cast("long") % 2 == 0
@@ -489,7 +533,7 @@ def csv_export_load(spark, sf):
     layouts = []
     for part in (exported.where(even), turned.where(~even)):
         layouts.append(new_shared_path(spark, "export"))
-        part.write.csv(layouts[-1], header=True, escape='"')
+        part.coalesce(1).write.csv(layouts[-1], header=True, escape='"')
     return read_csv_export(spark, layouts, "1995-06-01", "2001-06-30").select(*LANDED)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from peergauge.operators.scope import source_filter
 from peergauge.plans.evaluation import census
+from peergauge.sources.counts import update_counts
 from peergauge.sources.csv_export import read_csv_export
 from peergauge.sources.results import write_results
 from peergauge.sources.runs import append_run_log, load_facts, put_run_meta
@@ -82,11 +83,17 @@ def land_search_pages(
     date_to: str,
     region: str | None = None,
     one_per_file: bool = True,
+    counted: CaseSpec | None = None,
 ) -> Landed:
-    """Insert the hits of all landed pages whose id is new. Safe to run again."""
+    """Insert the hits of all landed pages whose id is new. Safe to run again.
+
+    With ``counted`` the counts of that spec's quarterly scorecard are kept up to date.
+    """
     hits = read_search_pages(spark, pages, snapshot, one_per_file)
     batch = _asked_for(hits, date_from, date_to, region)
     landed = insert_new(batch, table, KEY, ARRIVAL, RECEIVED, STAMP)
+    if counted:
+        update_counts(spark, table, counted)
     append_run_log(spark, log, snapshot, date_from, date_to, landed, region)
     return landed
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,8 +74,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded_paths() -> Iterator[list[str]]:
+    """The list of the shared paths that are made inside the block, for a caller to remove later."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
 def new_shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/peergauge/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/peergauge/{label}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
+    return path
 
 
 def write_shared(df: DataFrame, label: str) -> DataFrame:
@@ -96,7 +115,30 @@ def move_path(spark: SparkSession, source: str, target: str) -> bool:
     """Rename a folder; false if there is none, or it cannot be renamed."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(path(source)) and files.rename(path(source), path(target))
+    if not files.exists(path(source)):
+        return False
+    files.mkdirs(path(target).getParent())
+    return files.rename(path(source), path(target))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsc.hadoopConfiguration()).exists(named)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as file names of that system begin."""
+    local = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return local.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(local).toString()
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly in ``path``; none if it is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return [s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory()]
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peergauge.functions.text import non_empty
+from peergauge.sources.csv_splits import read_records
 from peergauge.sources.schemas import CASES, CSV_COLUMNS
 
 
@@ -19,6 +20,7 @@ def read_csv_export(
     date_to: str | None = None,
     snapshot: str | None = None,
     keep_narrative: bool = False,
+    split_files: bool = True,
 ) -> DataFrame:
     """Cases of an inclusive range of received days, in the canonical schema.
 
@@ -26,12 +28,14 @@ def read_csv_export(
     matter; every field is text until cast. The files of one path must have one
     header, and a file with another fails the job: give each layout a path of its
     own. A malformed row, or a date that does not parse, fails the job; null dates
-    drop when a range is given. Narratives hold newlines, so a file is read by one
-    task: land the export as many files, or convert it to a case table once and
-    read that.
+    drop when a range is given. Large files are split over tasks although narratives
+    hold newlines (see ``csv_splits``), for which the files are read three times.
+    ``split_files=False`` reads each file once, in one task; it also takes quotes
+    inside fields that are not quoted as a whole.
     """
     layouts = [path] if isinstance(path, str) else path
-    named = reduce(DataFrame.unionByName, (_named(spark, layout) for layout in layouts))
+    read = _split if split_files else _named
+    named = reduce(DataFrame.unionByName, (read(spark, layout) for layout in layouts))
     received = F.col("date_received").cast("date")
     if date_from:
         named = named.where(received >= F.lit(date_from).cast("date"))
@@ -48,6 +52,19 @@ def read_csv_export(
     return named.select(*columns, *(["narrative"] if keep_narrative else []))
 
 
+def _split(spark: SparkSession, path: str) -> DataFrame:
+    """Files of one layout, each read by as many tasks as it has splits."""
+    records = read_records(spark, path)
+    fields = [f"_{i} string" for i in range(len(records.header))] or ["_0 string"]
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "FAILFAST"}
+    parsed = records.texts.select(F.from_csv("text", ", ".join(fields), options).alias("r"))
+    place = {name: f"r._{i}" for i, name in enumerate(records.header)}
+    missing = [header for header in CSV_COLUMNS if header not in place]
+    if missing:
+        raise ValueError(f"the CSV header at {path} lacks {missing}")
+    return parsed.select([F.col(place[h]).alias(name) for h, name in CSV_COLUMNS.items()])
+
+
 def _named(spark: SparkSession, path: str) -> DataFrame:
     """Files of one layout. Spark takes the header of one of them; the others are compared with it."""
     raw = spark.read.csv(
