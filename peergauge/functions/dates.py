@@ -29,3 +29,15 @@ def slice_start(ts: Column, first_day: Column, days: int) -> Column:
     """First day of the fixed-length slice ``ts`` falls in, counted from ``first_day``."""
     day = ts.cast("date")
     return F.date_sub(day, F.pmod(F.datediff(day, first_day), F.lit(days)))
+
+
+def epoch_second(ts: Column) -> Column:
+    """Whole seconds from the beginning of 1970 to a zoneless time or a day."""
+    days = F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def moment(second: Column) -> Column:
+    """The zoneless time so many seconds after the beginning of 1970."""
+    start = F.lit("1970-01-01").cast("timestamp_ntz")
+    return start + F.make_dt_interval(secs=second.cast("decimal(18,6)"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peergauge.functions.dates import period_start
+from peergauge.functions.dates import epoch_second, moment, period_start
 from peergauge.functions.rates import pct, rounded
 from peergauge.operators.rates import conditional_rate
 from peergauge.operators.scope import at_least, top_k
@@ -121,6 +121,50 @@ def burst_clusters(
     return top_k(at_least(groups, more_than + 1), show, "n", [*keys, ts])
 
 
+def sliding_bursts(
+    rows: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    seconds: int,
+    more_than: int = BURST_SIZE,
+    show: int = BURST_ROWS,
+    buckets: int = 8,
+) -> DataFrame:
+    """Windows of ``seconds`` in which rows alike in all keys are more than ``more_than``.
+
+    A window ends at each second that has a row. Returns the keys, window_from and window_to (both
+    inclusive), and ``n``; the ``show`` largest, ties by keys and time. Rows without a time are left out.
+
+    Rows are counted per second first. Time is cut into buckets of ``buckets`` windows, and the end of
+    each bucket is also given to the next one: so keys that hold most of the rows are many small
+    groups, none with more counts than a bucket and a window have seconds.
+    """
+    counts = (
+        rows.where(F.col(ts).isNotNull())
+        .groupBy(*keys, epoch_second(F.col(ts)).alias("_second"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+    width = buckets * seconds
+    own = F.floor(F.col("_second") / width)
+    reaches_on = F.pmod(F.col("_second"), F.lit(width)) > width - seconds
+    places = F.when(reaches_on, F.array(own, own + 1)).otherwise(F.array(own))
+    window = (
+        Window.partitionBy(*keys, "_bucket").orderBy("_second").rangeBetween(-(seconds - 1), 0)
+    )
+    counted = (
+        counts.withColumn("_bucket", F.explode(places))
+        .withColumn("n", F.sum("_rows").over(window))
+        .where(own == F.col("_bucket"))
+    )
+    found = at_least(counted, more_than + 1).select(
+        *keys,
+        moment(F.col("_second") - (seconds - 1)).alias("window_from"),
+        moment(F.col("_second")).alias("window_to"),
+        "n",
+    )
+    return top_k(found, show, "n", [*keys, "window_to"])
+
+
 def text_share(rows: DataFrame, spec: CaseSpec, keys: Sequence[str]) -> DataFrame:
     """Rows per group, rows with free text among them, and the percentage."""
     return conditional_rate(

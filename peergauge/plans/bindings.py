@@ -73,6 +73,8 @@ _COLUMNS: dict[str, tuple[Callable[[], Column], str | None]] = {
     "company_response": (_outcome, None),
     "timely": (_timely, "orders"),
     "has_narrative": (lambda: F.col("l_quantity") >= NARRATIVE_QUANTITY, None),
+    "part": (lambda: F.col("l_partkey"), None),
+    "amount": (lambda: F.col("l_extendedprice"), None),
     "consumer_disputed": (lambda: F.lit(None).cast("string"), None),
 }
 

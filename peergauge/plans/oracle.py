@@ -380,6 +380,93 @@ SELECT product, sub_product, first_seen, last_seen, n,
        CASE WHEN early AND has_full AND full_n < usual_n / 2 THEN 'tapers'
             WHEN early THEN 'cut off' END AS ending
 FROM edges""",
+    "dq_successors": """
+WITH rows AS (
+  SELECT CASE WHEN p_brand LIKE '%1' AND o_orderdate >= TIMESTAMP '1997-06-01'
+                OR p_brand LIKE '%2' AND o_orderdate >= TIMESTAMP '1998-01-01'
+              THEN p_brand || ' new' ELSE p_brand END AS c,
+         l_partkey AS f, o_orderdate AS t
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+),
+profile AS (SELECT c, f, count(*) AS n FROM rows GROUP BY 1, 2),
+seen AS (SELECT c, count(*) AS total, min(t) AS first, max(t) AS last FROM rows GROUP BY 1),
+edges AS (SELECT min(first) AS opens, max(last) AS closes FROM seen),
+ended AS (SELECT seen.* FROM seen, edges WHERE date_diff('day', last, closes) > 60),
+begun AS (SELECT seen.* FROM seen, edges WHERE date_diff('day', opens, first) > 60),
+alike AS (
+  SELECT e.c AS ended, e.last AS last_seen, b.c AS begun, b.first AS first_seen,
+         round(sum(least(x.n / e.total, y.n / b.total)), 6) AS overlap
+  FROM ended e JOIN begun b ON e.c <> b.c AND abs(date_diff('day', e.last, b.first)) <= 60
+  JOIN profile x ON x.c = e.c JOIN profile y ON y.c = b.c AND y.f = x.f
+  GROUP BY 1, 2, 3, 4
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY ended ORDER BY overlap DESC, begun) AS of_ended,
+         row_number() OVER (PARTITION BY begun ORDER BY overlap DESC, ended) AS of_begun
+  FROM alike WHERE overlap >= 0.3
+)
+SELECT ended, last_seen, begun, first_seen, overlap FROM ranked
+WHERE of_ended = 1 AND of_begun = 1""",
+    "dq_volume_segments": f"""
+WITH RECURSIVE {_CASES},
+counts AS (
+  SELECT product, date_trunc('month', date_received) AS m, count(*) AS n FROM cases
+  WHERE product IS NOT NULL AND date_received IS NOT NULL GROUP BY 1, 2
+),
+span AS (SELECT min(m) AS f, date_diff('month', min(m), max(m)) + 1 AS months FROM counts),
+grid AS (
+  SELECT c.product, g.i, coalesce(n, 0) AS n
+  FROM (SELECT DISTINCT product FROM counts) c, span, generate_series(0, months - 1) AS g(i)
+  LEFT JOIN counts ON counts.product = c.product AND m = f + to_months(CAST(g.i AS INT))
+),
+running AS (
+  SELECT product, i, CAST(sum(n) OVER w AS DOUBLE) AS p, CAST(sum(n * n) OVER w AS DOUBLE) AS q
+  FROM grid WINDOW w AS (PARTITION BY product ORDER BY i)
+),
+setup AS (
+  SELECT product, f, months, p, q,
+         3.0::DOUBLE * (p[months + 1] / months) * ln(CAST(months AS DOUBLE)) AS charge
+  FROM (SELECT product, [0.0::DOUBLE] || list(p ORDER BY i) AS p,
+               [0.0::DOUBLE] || list(q ORDER BY i) AS q FROM running GROUP BY 1), span
+),
+steps AS (
+  SELECT product, 0 AS t, [0.0::DOUBLE] AS best, CAST([] AS INT[]) AS cuts FROM setup
+  UNION ALL
+  SELECT product, t + 1, best || [list_min(costs)],
+         cuts || [CAST(list_position(costs, list_min(costs)) - 1 AS INT)]
+  FROM (
+    SELECT steps.product, t, best, cuts, list_transform(range(0, t + 1), lambda s:
+             best[s + 1] + ((q[t + 2] - q[s + 1])
+               - (p[t + 2] - p[s + 1]) * (p[t + 2] - p[s + 1]) / (t + 1 - s)) + charge) AS costs
+    FROM steps JOIN setup ON steps.product = setup.product WHERE t < months
+  )
+),
+back AS (
+  SELECT steps.product, CAST(months AS INT) AS ending, cuts FROM steps, span WHERE t = months
+  UNION ALL
+  SELECT product, cuts[ending], cuts FROM back WHERE ending > 0
+)
+SELECT back.product,
+       CAST(row_number() OVER (PARTITION BY back.product ORDER BY ending) AS INT) AS segment,
+       CAST(f + to_months(cuts[ending]) AS DATE) AS month_from,
+       CAST(f + to_months(ending - 1) AS DATE) AS month_to,
+       ending - cuts[ending] AS n_months,
+       round((p[ending + 1] - p[cuts[ending] + 1]) / (ending - cuts[ending]), 2) AS mean_n
+FROM back JOIN setup ON back.product = setup.product WHERE ending > 0""",
+    "dq_sliding_bursts": """
+WITH ends AS (SELECT DISTINCT event_type, date_trunc('second', ts) AS s FROM events)
+SELECT e.event_type, s - INTERVAL 3599 SECOND AS window_from, s AS window_to, count(*) AS n
+FROM ends e JOIN events v ON v.event_type = e.event_type
+  AND date_trunc('second', v.ts) BETWEEN s - INTERVAL 3599 SECOND AND s
+GROUP BY 1, 2, 3 HAVING count(*) > 5 ORDER BY n DESC, 1, s LIMIT 20""",
+    "amount_quantiles_by_category": """
+SELECT p_type AS product, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 2) AS p50,
+       round(quantile_cont(l_extendedprice, 0.9), 2) AS p90
+FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1""",
+    "classified_with_retries": """
+SELECT doc_id, CASE WHEN contains(text, 'the') THEN ' en' || chr(10)
+                    WHEN contains(text, 'ou') THEN 'FR' ELSE 'API_FAILURE' END AS answer
+FROM documents""",
     "dq_gaps": f"""
 WITH {_CASES},
 months AS (

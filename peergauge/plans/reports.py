@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peergauge.functions import non_empty, normalise_label, normalise_yes_no, period_start
+from peergauge.functions.rates import rounded
 from peergauge.operators import landing, peers, quality, rates, sampling, scope, scoring, slices
+from peergauge.operators.drift import category_successors, volume_segments
+from peergauge.operators.quantiles import exact_quantiles
 from peergauge.plans import evaluation
+from peergauge.plans.answers import answer_all
 from peergauge.plans.bindings import (
     HOME_LABEL,
     HOME_REGION,
@@ -199,6 +203,13 @@ def lead_time_by_category(spark, sf):
     return scope.ordered(times, F.desc("median_route_days"), "product")
 
 
+@report
+def amount_quantiles_by_category(spark, sf):
+    cases = _cases(spark, sf, "product", "amount")
+    found = exact_quantiles(cases, ["product"], "amount", (0.5, 0.9), held=256, cells=64)
+    return found.select("product", "n", *(rounded(F.col(p), 2).alias(p) for p in ("p50", "p90")))
+
+
 # --- scope -----------------------------------------------------------------
 
 
@@ -330,6 +341,33 @@ def dq_cutover(spark, sf):
     return quality.category_cutover(cases, ["product", "sub_product"], "date_received", 14)
 
 
+# Fixed for the query: brands by last digit, and the day from which they have another name.
+RENAMED = {"1": "1997-06-01", "2": "1998-01-01"}
+
+
+@report
+def dq_successors(spark, sf):
+    """Brands of which some go on under another name from a day, found by the parts they have."""
+    cases = _cases(spark, sf, "sub_product", "part", "date_received")
+    brand, named = F.col("sub_product"), F.col("sub_product")
+    for digit, day in RENAMED.items():
+        later = F.endswith(brand, F.lit(digit)) & (F.col("date_received") >= F.lit(day))
+        named = F.when(later, F.concat(brand, F.lit(" new"))).otherwise(named)
+    cases = cases.withColumn("sub_product", named)
+    return category_successors(cases, "sub_product", "part", "date_received", 60, 60, 0.3)
+
+
+@report
+def dq_volume_segments(spark, sf):
+    return volume_segments(_cases(spark, sf, "product", "date_received"), "product", "date_received")
+
+
+@report
+def dq_sliding_bursts(spark, sf):
+    events = table(spark, sf, "events")
+    return quality.sliding_bursts(events, ["event_type"], "ts", seconds=3600, more_than=5)
+
+
 @report
 def dq_gaps(spark, sf):
     return quality.volume_gaps(_cases(spark, sf, "date_received"), "date_received", low_ratio=0.8)
@@ -715,6 +753,15 @@ def apply_classifier(spark, sf):
     return answered.select("doc_id", label.alias("label"))
 
 
+@report
+def classified_with_retries(spark, sf):
+    """Answers of a keyword model from a ledger; texts without any after three attempts fail."""
+    rows = documents(spark, sf).select("doc_id", "text")
+    model = keyword_classifier({"ou": "FR", "the": " en\n"})
+    work = new_shared_path(spark, "answers")
+    return answer_all(rows, model, "doc_id", "text", work, files=2, max_chars=None)
+
+
 LANGUAGES = ("de", "en", "es", "fr")
 
 
