@@ -581,6 +581,23 @@ SELECT CAST(doc_id // 2 AS VARCHAR) AS complaint_id,
        CAST(NULL AS VARCHAR) AS issue, CAST(NULL AS VARCHAR) AS sub_product,
        {_strip("text")} AS narrative
 FROM firsts WHERE place = 1 AND length({_strip("text")}) >= 50""",
+    "dq_page_drift": """
+WITH hits AS (SELECT *, doc_id // 100 AS page FROM documents),
+fields AS (
+  SELECT page, unnest([
+    {'field': 'complaint_id', 'kind': 'text', 'there': TRUE},
+    {'field': 'product', 'kind': 'text', 'there': lang IS NOT NULL},
+    {'field': 'company', 'kind': 'text', 'there': source IS NOT NULL},
+    {'field': 'date_received', 'kind': 'text', 'there': TRUE},
+    {'field': 'date_sent_to_company', 'kind': 'text', 'there': TRUE},
+    {'field': 'complaint_what_happened', 'kind': 'text', 'there': text IS NOT NULL},
+    {'field': 'zip_code', 'kind': CASE WHEN page % 2 = 1 THEN 'number' ELSE 'text' END, 'there': TRUE},
+    {'field': 'reviewer', 'kind': 'object', 'there': page >= 2}
+  ]) AS f FROM hits
+)
+SELECT f.field AS field, f.kind AS kind, f.field <> 'reviewer' AS known, count(*) AS n_hits,
+       min(page) AS first_page, max(page) AS last_page
+FROM fields WHERE f.there GROUP BY f.field, f.kind""",
     "text_gate": f"WITH {_GATED} SELECT doc_id, lang, substring(text, 1, 6000) AS text FROM gated",
     "narrative_census": f"""
 WITH firsts AS (

@@ -44,6 +44,7 @@ from peergauge.sources.runs import (
     read_run_log,
     read_run_meta,
 )
+from peergauge.sources.page_fields import field_drift
 from peergauge.sources.schemas import CSV_COLUMNS, PAGE_FIELDS, SCORED
 from peergauge.sources.search_pages import read_search_pages, without_text
 from peergauge.sources.tables import insert_new, purge_cases, read_table, replace_cases
@@ -604,6 +605,24 @@ def census_route(spark, sf):
     return pull_census(spark, path, target, *window, category="en", one_per_file=False)
 
 
+@report
+def dq_page_drift(spark, sf):
+    """Fields of pages of up to a hundred hits: one is added from page 2 on, one retyped on odd pages."""
+    path = new_shared_path(spark, "pages")
+    no = F.col("complaint_id").cast("long")
+    page, zip_code = F.floor(no / 100), no % 90000
+    retyped = F.when(page % 2 == 1, zip_code.cast("variant")).otherwise(
+        zip_code.cast("string").cast("variant")
+    )
+    reviewer = F.when(page >= 2, F.struct(F.col("product").alias("team")))
+    source = [retyped.alias(f) if f == "zip_code" else F.col(f) for f in PAGE_FIELDS]
+    hit = F.struct(F.struct(*source, reviewer.alias("reviewer")).alias("_source"))
+    pages = _document_cases(spark, sf).groupBy(page.alias("page")).agg(F.collect_list(hit).alias("hits"))
+    pages.select("page", F.struct("hits").alias("hits")).write.json(path)
+    at = F.variant_get("page", "$.page", "long")
+    return field_drift(spark, path, one_per_file=False, at=at)
+
+
 # --- texts, samples, scores ------------------------------------------------
 
 

@@ -47,7 +47,7 @@ def hits_of(pages: DataFrame, snapshot: str | None) -> DataFrame:
     ).otherwise(F.col("hits.hits._source"))
     hits = pages.select(
         F.col("_metadata.file_modification_time").alias("_landed"),
-        _numbered(F.col("_metadata.file_name")).alias("_page"),
+        numbered(F.col("_metadata.file_name")).alias("_page"),
         F.col("_metadata.file_path").alias("_file"),
         F.posexplode(sound).alias("_position", "_hit"),
     ).select(*ARRIVAL, "_hit.*")
@@ -63,7 +63,7 @@ def hits_of(pages: DataFrame, snapshot: str | None) -> DataFrame:
     return hits.select(*columns, F.col("complaint_what_happened").alias("narrative"), *ARRIVAL)
 
 
-def _numbered(name: Column) -> Column:
+def numbered(name: Column) -> Column:
     """The name with its numbers filled up to twenty digits, so that page 10 follows page 2."""
     filled = F.regexp_replace(name, r"(\d+)", "0" * 20 + "$1")
     return F.regexp_replace(filled, r"0*(\d{20,})(?!\d)", "$1")
