@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peergauge.llm.common import whole_text
+from peergauge.session import write_shared
 
 # Identifier and the names that notices use for a licence.
 NAMES: dict[str, tuple[str, ...]] = {
@@ -330,7 +331,11 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
         # Rows without a unit must not meet in one task: their own number is no digest.
         F.coalesce(digest, F.col("_row").cast("string")).alias("digest"),
     )
-    first = known.groupBy("digest").agg(F.min("licence").alias("licence"))
+    # Written, so that the planner knows its size: it is broadcast while it is small, and a digest
+    # that a third of the documents carry is then no key of a shuffle.
+    first = write_shared(
+        known.groupBy("digest").agg(F.min("licence").alias("licence")), "known-licences"
+    )
     return (
         looked_up.join(first, "digest", "left")
         .groupBy("_row", "doc_id")
