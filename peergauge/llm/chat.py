@@ -19,6 +19,8 @@ from peergauge.session import write_shared
 
 # Turn numbers that one block spans.
 BLOCK_TURNS = 256
+# Turns that one part holds.
+PART_TURNS = 256
 _SUM = "decimal(38,0)"
 
 
@@ -108,22 +110,42 @@ def rendered(role: Column, text: Column) -> Column:
     )
 
 
+def numbered_turns(turns: DataFrame) -> DataFrame:
+    """The turns with ``part``, the place of their PART_TURNS in the conversation.
+
+    Turns are numbered inside their block and the blocks' sizes added up, so only turns of one block
+    are sorted together.
+    """
+    blocks = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("block")
+    offsets = blocks.select("conv_id", "block", (F.sum("n").over(before) - F.col("n")).alias("before"))
+    inside = Window.partitionBy("conv_id", "block").orderBy(
+        *(F.col(c).asc_nulls_first() for c in ("turn", "role", "text"))
+    )
+    row = F.col("before") + F.col("row") - 1
+    return (
+        turns.withColumn("row", F.row_number().over(inside))
+        .join(offsets, ["conv_id", "block"])
+        .withColumn("part", F.floor(row / PART_TURNS))
+    )
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, part, n_turns, n_copies and text of every maximal conversation.
 
-    Turns are rendered by number, then role and text. A part holds the turns of one block of
-    BLOCK_TURNS numbers, so an ordinary conversation is one row with part 0, and a very long one
-    gives several. Rows without conv_id belong to no conversation and are left out; a null turn
-    number comes first, in a part of its own; rows repeated exactly count once. An empty table gives
-    no rows, and other columns are not read.
+    Turns are rendered by number, then role and text. A part holds the next PART_TURNS turns,
+    whatever their numbers, so an ordinary conversation is one row with part 0, and a very long one
+    gives several. Rows without conv_id belong to no conversation and are left out; null turn
+    numbers come first; rows repeated exactly count once. An empty table gives no rows, and other
+    columns are not read.
     """
     turns = write_shared(distinct_turns(conversations), "turns")
     maximal = write_shared(maximal_conversations(turns), "maximal")
     rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     texts = F.transform(rows, lambda t: rendered(t["role"], t["text"]))
     return (
-        turns.join(maximal, "conv_id")
-        .groupBy("conv_id", F.col("block").alias("part"), "n_turns", "n_copies")
+        numbered_turns(turns.join(maximal, "conv_id"))
+        .groupBy("conv_id", "part", "n_turns", "n_copies")
         .agg(F.array_join(texts, "").alias("text"))
     )
 
@@ -142,9 +164,13 @@ WITH turns AS (
     SELECT 1 FROM whole AS b
     WHERE b.items[1] = a.items[1] AND b.n_turns > a.n_turns AND b.items[1:a.n_turns] = a.items)
   GROUP BY items, n_turns
+), numbered AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST,
+                                text NULLS FIRST) - 1) // {PART_TURNS} AS part
+  FROM turns JOIN kept USING (conv_id)
 )
-SELECT conv_id, coalesce(floor(turn / {BLOCK_TURNS}.0)::BIGINT, -{2**60}) AS part, n_turns, n_copies, string_agg(
+SELECT conv_id, part, n_turns, n_copies, string_agg(
   '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10),
   '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
-FROM turns JOIN kept USING (conv_id) GROUP BY 1, 2, 3, 4
+FROM numbered GROUP BY 1, 2, 3, 4
 """

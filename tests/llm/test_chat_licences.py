@@ -73,7 +73,8 @@ def test_ties_in_turn_are_ordered(spark):
 
 
 def test_long_conversations_span_blocks(spark, monkeypatch):
-    monkeypatch.setattr(chat, "BLOCK_TURNS", 4)
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 3)
+    monkeypatch.setattr(chat, "PART_TURNS", 4)
     texts = [f"t{i}" for i in range(19)]
     turns = talk(1, *texts) + talk(2, *texts[:13]) + talk(3, *texts[:12], "other") + talk(4, *texts)
     df = chat.format_conversations(spark.createDataFrame(turns, TURNS).repartition(5))
@@ -84,6 +85,18 @@ def test_long_conversations_span_blocks(spark, monkeypatch):
     assert whole.count("<|im_start|>") == 19 and whole.index("t4") < whole.index("t18")
 
 
+def test_parts_are_bounded_where_numbers_repeat(spark):
+    """600 rows of one turn number and 300 without any: parts of 256, in order."""
+    turns = [(1, 7, "user", f"t{i:04}") for i in range(600)]
+    turns += [(1, None, "user", f"n{i:04}") for i in range(300)] + talk(2, "a", "b", start=10**12)
+    df = spark.createDataFrame(turns, TURNS).repartition(4)
+    got = {(r.conv_id, r.part): r.text for r in chat.format_conversations(df).collect()}
+    parts = [got[1, p].count("<|im_start|>") for p in range(4)]
+    assert parts == [256, 256, 256, 900 - 768] and set(got) == {*((1, p) for p in range(4)), (2, 0)}
+    assert got[1, 1].index("n0299") < got[1, 1].index("t0000")
+    assert rows(chat.format_conversations(df)) == sql_rows(chat.ORACLE_SQL, conversations=df)
+
+
 def test_awkward_conversations_equal_their_sql(spark):
     turns = talk(1, "a", "b") + talk(2, "a", None) + talk(3, "", "b", start=-3) + talk(4, "a")
     turns += [(5, 10**6, "user", "far"), (6, 0, None, "x" * 50_000), (None, None, None, None)]
@@ -148,6 +161,8 @@ def test_awkward_documents_equal_their_sql(spark):
     assert rows(got) == sql_rows(licences.oracle_sql(), documents=docs)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+    # Known digests are few and their size is known: no document is shuffled to meet them.
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_no_documents(spark):
