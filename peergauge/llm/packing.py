@@ -187,15 +187,28 @@ def pack_documents(
         "task", "rest", (F.sum("n").over(by_rest) - F.col("n")).alias("rests_before")
     )
     # One row per task of the encoding job.
-    tasks = counts.groupBy("task").agg(F.sum("windows").alias("own"))
+    tasks = counts.groupBy("task").agg(F.sum("windows").cast("long").alias("own"))
     before_task = tasks.select(
         "task", (F.sum("own").over(Window.orderBy("task")) - F.col("own")).alias("windows_before")
     )
-    bases = write_shared(before_rest.join(before_task, "task"), "token-bases")
-    numbered = encoded.join(bases, ["task", "rest"]).select(
+    # One row per task, with at most ``capacity`` numbers by length.
+    by_task = before_rest.groupBy("task").agg(
+        F.sort_array(F.collect_list(F.struct("rest", "rests_before"))).alias("found")
+    )
+    bases = write_shared(
+        by_task.join(before_task, "task").select(
+            "task",
+            F.col("found.rest").alias("rests"),
+            F.col("found.rests_before").alias("rests_before"),
+            "windows_before",
+        ),
+        "token-bases",
+    )
+    own_base = F.element_at("rests_before", F.array_position("rests", F.col("rest")).cast("int"))
+    numbered = encoded.join(bases, "task").select(
         "doc_id",
         "ids",
-        (F.col("rest_no") + F.col("rests_before")).alias("rest_no"),
+        (F.col("rest_no") + own_base).alias("rest_no"),
         (F.col("whole_no") + F.col("windows_before")).alias("whole_no"),
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
