@@ -7,8 +7,10 @@ meets its copies of other blocks in one place, is encoded there once, and its id
 blocks that have it. The blocks themselves are not shuffled: they are written as a table bucketed by
 block, and the ids are joined to them.
 
-Words travel as compressed Arrow blocks, one per block and share of the hash space. A block holds
-bounded text and a word is at most once in a block, so frequent words weigh no more than others.
+Words travel packed, in one message per block and share of the hash space. A block holds bounded text
+and a word is at most once in a block, so frequent words weigh no more than others. A block sends
+messages only to shares it has words for, and a message of one word is a few bytes longer than the
+word: whatever the number of shares, messages weigh no more than the blocks' distinct words.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ from peergauge.session import new_shared_path
 
 # Texts of a block together, or one text.
 BLOCK_BYTES = 10 * 1024**2
+# Text on disk for which there is one share of the words, and one bucket of blocks. A task holds its
+# share's distinct words, and the blocks' messages with them.
+SHARE_BYTES = 128 * 1024**2
 # The planner's size of a table of unknown size is beyond any real one.
 _UNKNOWN_BYTES = 2**60
 # Spark's own limit.
@@ -61,32 +66,55 @@ def _token_bytes(ranks: str) -> list[bytes]:
     return tokens
 
 
-def _pack(array: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([array], ["x"])
-    with pa.ipc.new_stream(
-        sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")
-    ) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _pack(data: bytes) -> bytes:
+    """The size and the compressed data; size 0 and the data itself where they are few bytes."""
+    if len(data) < 64:
+        return bytes(4) + data
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes) -> pa.Array:
-    with pa.ipc.open_stream(data) as reader:
-        return reader.read_next_batch().column(0)
+def _unpack(packed: bytes) -> bytes:
+    size = int.from_bytes(packed[:4], "little")
+    if not size:
+        return packed[4:]
+    return pa.decompress(packed[4:], decompressed_size=size, codec="zstd", asbytes=True)
 
 
-def _pack_planes(numbers: np.ndarray) -> bytes:
+def _planes(numbers: np.ndarray) -> bytes:
     """First all numbers' lowest bytes, then the next ones: the higher planes are nearly constant."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return _pack(pa.array(np.ascontiguousarray(planes).ravel()))
+    return np.ascontiguousarray(planes).tobytes()
 
 
-def _unpack_planes(data: bytes) -> np.ndarray:
-    planes = _unpack(data).to_numpy().reshape(4, -1).T
+def _of_planes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1).T
     return np.ascontiguousarray(planes).view("<u4").ravel()
 
 
+def _pack_lists(sizes: np.ndarray, items: bytes) -> bytes:
+    """Lists as how many there are, their sizes, and their items one behind the other."""
+    return _pack(len(sizes).to_bytes(4, "little") + _planes(sizes) + items)
+
+
+def _unpack_lists(packed: bytes) -> tuple[np.ndarray, bytes]:
+    data = _unpack(packed)
+    end = 4 + 4 * int.from_bytes(data[:4], "little")
+    return _of_planes(data[4:end]), data[end:]
+
+
+def _pack_words(words: list[str]) -> bytes:
+    encoded = [word.encode() for word in words]
+    sizes = np.fromiter(map(len, encoded), np.uint32, len(encoded))
+    return _pack_lists(sizes, b"".join(encoded))
+
+
+def _unpack_words(packed: bytes) -> list[str]:
+    sizes, data = _unpack_lists(packed)
+    ends = np.cumsum([0, *sizes.tolist()], dtype=np.int32)
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.string(), len(sizes), buffers).to_pylist()
+
+
 def _blocks(pattern: str, shares: int) -> Callable:
     """Turns documents into blocks: one row of positions, and one row of words per share."""
 
@@ -110,7 +138,7 @@ def _blocks(pattern: str, shares: int) -> Callable:
             old = np.fromiter(ordered, np.int64, len(numbers))
             renumbered[old] = np.arange(len(numbers), dtype=np.uint32)
             positions = renumbered[np.concatenate([*codes, np.empty(0, np.uint32)])]
-            lists = [(s, _pack(pa.array(words, pa.string()))) for s, words in lists]
+            lists = [(s, _pack_words(words)) for s, words in lists]
             key, n = (task << 32) + made, len(lists)
             schema = pa.schema(
                 [
@@ -129,7 +157,7 @@ def _blocks(pattern: str, shares: int) -> Callable:
                     pa.array([w for _, w in lists] + [None], pa.binary()),
                     pa.array([None] * n + [ids], pa.list_(batch_kind)),
                     pa.array([None] * n + [counts], pa.list_(pa.int64())),
-                    pa.array([None] * n + [_pack_planes(positions)], pa.binary()),
+                    pa.array([None] * n + [_pack(_planes(positions))], pa.binary()),
                 ],
                 schema=schema,
             )
@@ -164,14 +192,14 @@ def _encode_share(ranks: str, pattern: str) -> Callable:
         encoder, known = _word_encoder(ranks, pattern), {}
         out = []
         for packed in rows.column("words").to_pylist():
-            words = _unpack(packed).to_pylist()
+            words = _unpack_words(packed)
             for w in words:
                 if w not in known:
                     known[w] = encoder(w)
             lists = [known[w] for w in words]
-            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            values = np.fromiter((i for ids in lists for i in ids), np.uint32, ends[-1])
-            out.append(_pack(pa.ListArray.from_arrays(pa.array(ends), pa.array(values))))
+            sizes = np.fromiter(map(len, lists), np.uint32, len(lists))
+            values = np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum()))
+            out.append(_pack_lists(sizes, _planes(values)))
         return pa.table(
             {
                 "block": rows.column("block"),
@@ -187,17 +215,15 @@ def _reassemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
     """One block's documents as packed ids, from its words' ids by position."""
     kind = blocks.schema.field("doc_ids").type.value_type
     words = words.sort_by("share")
-    lists = [_unpack(data) for data in words.column("encoded").to_pylist()]
-    values = np.concatenate([*(x.flatten().to_numpy() for x in lists), np.empty(0, np.uint32)])
-    sizes = np.concatenate(
-        [*(np.diff(x.offsets.to_numpy()) for x in lists), np.empty(0, np.int32)]
-    ).astype(np.int64)
+    lists = [_unpack_lists(data) for data in words.column("encoded").to_pylist()]
+    values = np.concatenate([*(_of_planes(v) for _, v in lists), np.empty(0, np.uint32)])
+    sizes = np.concatenate([*(n for n, _ in lists), np.empty(0, np.uint32)]).astype(np.int64)
     starts = np.cumsum(sizes) - sizes
     ids, out = [], []
     for doc_ids, counts, packed in zip(
         *(blocks.column(c).to_pylist() for c in ("doc_ids", "counts", "positions")), strict=True
     ):
-        positions = _unpack_planes(packed)
+        positions = _of_planes(_unpack(packed))
         ends = np.cumsum([0, *counts])
         for doc_id, a, b in zip(doc_ids, ends, ends[1:], strict=False):
             own = positions[a:b]
@@ -210,9 +236,9 @@ def _reassemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
 
 
 def _parts(texts: DataFrame) -> int:
-    """Shares of the hash space: one per block of text, as far as the planner knows the size."""
+    """Shares of the hash space by the size of the text, as far as the planner knows it."""
     size = input_bytes(texts)
-    return size // BLOCK_BYTES + 1 if size < _UNKNOWN_BYTES else 1
+    return size // SHARE_BYTES + 1 if size < _UNKNOWN_BYTES else 1
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

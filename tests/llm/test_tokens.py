@@ -8,7 +8,7 @@ import pytest
 from helpers_llm import SF, awkward, documents, sf_documents
 from pyspark.sql import functions as F
 
-from peergauge.llm import queries
+from peergauge.llm import bpe_words, queries
 from peergauge.llm.bpe_words import decode_documents, encode_documents, read_ranks
 from peergauge.llm.packing import closest_fill, pack_documents, plan_windows
 from peergauge.llm.token_files import read_token_files, with_ids_crc32, write_token_files
@@ -208,6 +208,35 @@ def test_word_wise_bpe_of_awkward_rows(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == tiktoken_rows(docs.collect())
 
 
+def test_words_travel_packed():
+    lists = [[], [""], ["a"], ["é\0", "", "你好" * 40], [f" w{i}" for i in range(5000)]]
+    for words in lists:
+        assert bpe_words._unpack_words(bpe_words._pack_words(words)) == words
+    assert len(bpe_words._pack_words([" word"])) <= 5 + 12
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_messages_weigh_no_more_than_distinct_words(spark, copies):
+    """However many shares there are, a block has no more messages than distinct words."""
+    docs = documents(spark, [f"same word {i % 7} and {i}" * 9 for i in range(200)] * copies)
+    rows = (
+        docs.select("doc_id", "text")
+        .repartition(8 * copies)
+        .mapInArrow(
+            bpe_words._blocks(P.PATTERN, 10**9),
+            "block long, share int, words binary, doc_ids array<long>, counts array<long>, "
+            "positions binary",
+        )
+        .collect()
+    )
+    sent = [r for r in rows if r.share is not None]
+    words = [bpe_words._unpack_words(bytes(r.words)) for r in sent]
+    assert len(rows) - len(sent) == 8 * copies
+    assert len({(r.block, w) for r, own in zip(sent, words) for w in own}) == sum(map(len, words))
+    assert len(sent) <= sum(map(len, words))
+    assert sum(len(r.words) for r in sent) <= sum(len(w) + 12 for own in words for w in own)
+
+
 def test_word_wise_bpe_of_no_rows(spark):
     encoded = encode_documents(documents(spark, []), RANKS, P.PATTERN)
     assert decode_documents(encoded, RANKS).collect() == []
