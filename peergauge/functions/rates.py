@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from peergauge.spec import CaseSpec
 
 
-def count_where(predicate: Column) -> Column:
-    """Rows for which the predicate is true; null counts as not true."""
-    return F.count_if(predicate)
+def case_count(weight: str | None = None) -> Column:
+    """Cases in a group: its rows, or the sum of what its rows stand for (null: none)."""
+    return F.coalesce(F.sum(weight), F.lit(0)) if weight else F.count(F.lit(1))
+
+
+def count_where(predicate: Column, weight: str | None = None) -> Column:
+    """Cases for which the predicate is true; null counts as not true."""
+    if not weight:
+        return F.count_if(predicate)
+    return F.coalesce(F.sum(F.when(predicate, F.col(weight))), F.lit(0))
 
 
 def rounded(value: Column, digits: int) -> Column:

@@ -168,7 +168,13 @@ def sliding_bursts(
 def text_share(rows: DataFrame, spec: CaseSpec, keys: Sequence[str]) -> DataFrame:
     """Rows per group, rows with free text among them, and the percentage."""
     return conditional_rate(
-        rows, keys, F.col(spec.has_text), "pct_with_narrative", "total", "with_narrative"
+        rows,
+        keys,
+        F.col(spec.has_text),
+        "pct_with_narrative",
+        "total",
+        "with_narrative",
+        spec.weight,
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from peergauge.functions.dates import day_gap
 from peergauge.functions.rates import (
+    case_count,
     count_where,
     is_favourable,
     is_timely,
@@ -27,11 +28,19 @@ from peergauge.spec import CaseSpec
 
 
 def rate_counts(
-    rows: DataFrame, keys: Sequence[str | Column], hits: Mapping[str, Column]
+    rows: DataFrame,
+    keys: Sequence[str | Column],
+    hits: Mapping[str, Column],
+    weight: str | None = None,
 ) -> DataFrame:
-    """Rows per group (``n``) and, per name in ``hits``, the rows the predicate holds for."""
+    """Cases per group (``n``) and, per name in ``hits``, the cases the predicate holds for.
+
+    With ``weight`` a row stands for as many cases as that column says, so rows counted
+    beforehand, say before a join, give what the raw rows would.
+    """
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[count_where(p).alias(name) for name, p in hits.items()]
+        case_count(weight).alias("n"),
+        *[count_where(p, weight).alias(name) for name, p in hits.items()],
     )
 
 
@@ -42,27 +51,31 @@ def conditional_rate(
     rate: str,
     count: str = "n",
     hits: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Group size and percentage of its rows for which the predicate holds.
 
     The denominator is the whole group: a null predicate counts as a miss.
     """
-    counts = rate_counts(rows, keys, {"_hits": predicate})
+    counts = rate_counts(rows, keys, {"_hits": predicate}, weight)
     rated = counts.withColumn(rate, pct(F.col("_hits"), F.col("n")))
     rated = rated.withColumnRenamed("_hits", hits) if hits else rated.drop("_hits")
     return rated.withColumnRenamed("n", count)
 
 
 def favourable_rate(rows: DataFrame, spec: CaseSpec, keys: Sequence[str]) -> DataFrame:
-    return conditional_rate(rows, keys, is_favourable(spec), "pct_relief")
+    return conditional_rate(rows, keys, is_favourable(spec), "pct_relief", weight=spec.weight)
 
 
 def timely_rate(rows: DataFrame, spec: CaseSpec, keys: Sequence[str]) -> DataFrame:
-    return conditional_rate(rows, keys, is_timely(spec), "pct_timely", count="total")
+    return conditional_rate(
+        rows, keys, is_timely(spec), "pct_timely", count="total", weight=spec.weight
+    )
 
 
 def two_rate_counts(rows: DataFrame, spec: CaseSpec, keys: Sequence[str | Column]) -> DataFrame:
-    return rate_counts(rows, keys, {"n_timely": is_timely(spec), "n_relief": is_favourable(spec)})
+    hits = {"n_timely": is_timely(spec), "n_relief": is_favourable(spec)}
+    return rate_counts(rows, keys, hits, spec.weight)
 
 
 def two_rates(counts: DataFrame) -> DataFrame:
@@ -124,9 +137,11 @@ def with_group_stats(groups: DataFrame, keys: Sequence[str], *stats: Column) ->
     return own.join(other, same, "left").select("own.*", *[F.col(f"stats.{c}") for c in added])
 
 
-def share_within(rows: DataFrame, within: str, keys: Sequence[str]) -> DataFrame:
-    """Rows per (``within``, keys) and their percentage of the ``within`` group."""
-    groups = rows.groupBy(within, *keys).agg(F.count(F.lit(1)).alias("n"))
+def share_within(
+    rows: DataFrame, within: str, keys: Sequence[str], weight: str | None = None
+) -> DataFrame:
+    """Cases per (``within``, keys) and their percentage of the ``within`` group."""
+    groups = rows.groupBy(within, *keys).agg(case_count(weight).alias("n"))
     shared = with_group_stats(groups, [within], F.sum("n").alias("_total"))
     return shared.withColumn("pct", pct(F.col("n"), F.col("_total"))).drop("_total")
 
@@ -137,9 +152,11 @@ def subject_against_rest(core: DataFrame, spec: CaseSpec, subject: str) -> DataF
     Confounded by the mix of categories: it shows what comparison not to make.
     """
     labelled = core.select(
-        subject_or_rest(spec.entity, subject).alias("grp"), F.col(spec.outcome)
+        subject_or_rest(spec.entity, subject).alias("grp"),
+        spec.outcome,
+        *([spec.weight] if spec.weight else []),
     )
-    return share_within(labelled, "grp", [spec.outcome])
+    return share_within(labelled, "grp", [spec.outcome], spec.weight)
 
 
 def lead_time(rows: DataFrame, spec: CaseSpec, keys: Sequence[str]) -> DataFrame:

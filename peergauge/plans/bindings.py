@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peergauge.functions import period_start
 from peergauge.operators.scoring import attach_predictions
+from peergauge.session import beyond_broadcast
 from peergauge.spec import CaseSpec
 
 # Order lines are cases, part types categories, suppliers entities. Groups
 # hold about 100 rows whatever the scale of the tables, hence the minimum.
 ORDER_CASES = CaseSpec(excluded_categories=("MEDIUM",), min_n=95, pooled_min_n=500)
+WEIGHT = "n_cases"
+ORDER_COUNTS = replace(ORDER_CASES, weight=WEIGHT)
 QUARTER_MIN_N = 4
 PULL_CEILING = 40
 
@@ -87,6 +92,10 @@ _JOINS = {
 }
 
 
+# Dimensions whose joins wait until the lines are counted by supplier.
+COUNTED_FIRST = ("supplier", "nation")
+
+
 def order_cases(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
     """The asked-for columns of the case table; joins only the tables they need.
 
@@ -94,14 +103,51 @@ def order_cases(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> Dat
     are asked for. How each join runs is left to the planner, since parts,
     suppliers and orders all grow with the data.
     """
+    rows = _join(spark, sf_dir, table(spark, sf_dir, "lineitem"), _needed(columns))
+    return rows.select(*[_COLUMNS[c][0]().alias(c) for c in columns])
+
+
+def order_case_counts(
+    spark: SparkSession, sf_dir: str, columns: Sequence[str], period: str | None = None
+) -> DataFrame:
+    """The asked-for columns of the case table and, as ``WEIGHT``, the cases a row stands for.
+
+    Where suppliers are too large to be broadcast, the lines are counted by supplier key and
+    the other columns before suppliers and nations are joined, so those joins shuffle counts.
+    Otherwise a row is a line: the broadcast join shuffles nothing, and counting first would
+    add a shuffle. With ``period`` the date of receipt is the start of its period, as dates by
+    the day would leave little to count.
+    """
+    needed = _needed(columns)
+    later = [name for name in COUNTED_FIRST if name in needed]
+    if not any(beyond_broadcast(table(spark, sf_dir, name)) for name in later):
+        later = []
+    exprs = {c: _COLUMNS[c][0]() for c in columns}
+    if period and "date_received" in exprs:
+        exprs["date_received"] = period_start(exprs["date_received"], period)
+    rows = _join(spark, sf_dir, table(spark, sf_dir, "lineitem"), needed - set(later))
+    if not later:
+        one = F.lit(1).cast("bigint").alias(WEIGHT)
+        return rows.select(*[exprs[c].alias(c) for c in columns], one)
+    first = [c for c in columns if _COLUMNS[c][1] not in later]
+    keys = [*(exprs[c].alias(c) for c in first), "l_suppkey"]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(WEIGHT))
+    return _join(spark, sf_dir, counts, later).select(
+        *[F.col(c) if c in first else exprs[c].alias(c) for c in columns], WEIGHT
+    )
+
+
+def _needed(columns: Sequence[str]) -> set[str]:
+    """The dimensions the columns come from."""
     needed = {_COLUMNS[c][1] for c in columns} - {None}
-    if "nation" in needed:
-        needed.add("supplier")
-    rows = table(spark, sf_dir, "lineitem")
+    return needed | {"supplier"} if "nation" in needed else needed
+
+
+def _join(spark: SparkSession, sf_dir: str, rows: DataFrame, names: Collection[str]) -> DataFrame:
     for name, (left, right) in _JOINS.items():
-        if name in needed:
+        if name in names:
             rows = rows.join(table(spark, sf_dir, name), F.col(left) == F.col(right), "left")
-    return rows.select(*[_COLUMNS[c][0]().alias(c) for c in columns])
+    return rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

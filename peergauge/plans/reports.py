@@ -21,11 +21,13 @@ from peergauge.plans.bindings import (
     HOME_REGION,
     ONE_CATEGORY,
     ORDER_CASES,
+    ORDER_COUNTS,
     OTHER_LABEL,
     PULL_CEILING,
     QUARTER_MIN_N,
     SUBJECT,
     documents,
+    order_case_counts,
     order_cases,
     probe_answers,
     scored_documents,
@@ -74,19 +76,26 @@ def _core(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return scope.core_scope(_cases(spark, sf, *columns), ORDER_CASES)
 
 
+def _core_counts(
+    spark: SparkSession, sf: str, *columns: str, period: str | None = None
+) -> DataFrame:
+    """As ``_core`` with weights, for reports that only count cases; see ``order_case_counts``."""
+    return scope.core_scope(order_case_counts(spark, sf, columns, period), ORDER_COUNTS)
+
+
 # --- the comparison with peers ---------------------------------------------
 
 
 @report
 def kpi_within_category(spark, sf):
-    card = peers.within_category_deviation(_core(spark, sf, *RATE_COLUMNS), ORDER_CASES)
+    card = peers.within_category_deviation(_core_counts(spark, sf, *RATE_COLUMNS), ORDER_COUNTS)
     return scope.ordered(card, "product", "pct_relief", "pct_timely", "company")
 
 
 @report
 def kpi_within_category_quarter(spark, sf):
-    spec = replace(ORDER_CASES, min_n=QUARTER_MIN_N)
-    core = _core(spark, sf, *RATE_COLUMNS, "date_received")
+    spec = replace(ORDER_COUNTS, min_n=QUARTER_MIN_N)
+    core = _core_counts(spark, sf, *RATE_COLUMNS, "date_received", period="quarter")
     card = peers.within_category_deviation(core, spec, period="quarter")
     return scope.ordered(card, "quarter", "product", "pct_relief", "pct_timely", "company")
 
@@ -110,35 +119,35 @@ def kpi_quarter_maintained(spark, sf):
 
 @report
 def kpi_stddev_rule(spark, sf):
-    spec = replace(ORDER_CASES, flag_rule=STDDEV)
-    card = peers.within_category_deviation(_core(spark, sf, *RATE_COLUMNS), spec)
+    spec = replace(ORDER_COUNTS, flag_rule=STDDEV)
+    card = peers.within_category_deviation(_core_counts(spark, sf, *RATE_COLUMNS), spec)
     return scope.ordered(card, "product", "pct_relief", "pct_timely", "company")
 
 
 @report
 def kpi_pilot_category(spark, sf):
     """The pilot's scope is cut after the peers are compared, so it changes no figure."""
-    card = peers.within_category_deviation(_core(spark, sf, *RATE_COLUMNS), ORDER_CASES)
+    card = peers.within_category_deviation(_core_counts(spark, sf, *RATE_COLUMNS), ORDER_COUNTS)
     pilot = card.where(F.col("product") == ONE_CATEGORY)
     return scope.ordered(pilot, "pct_relief", "pct_timely", "company")
 
 
 @report
 def acceptance_checks(spark, sf):
-    card = peers.within_category_deviation(_core(spark, sf, *RATE_COLUMNS), ORDER_CASES)
+    card = peers.within_category_deviation(_core_counts(spark, sf, *RATE_COLUMNS), ORDER_COUNTS)
     return peers.acceptance_checks(card, ORDER_CASES)
 
 
 @report
 def naive_next_to_stratified(spark, sf):
-    card = peers.stratified_next_to_naive(_core(spark, sf, *RATE_COLUMNS), ORDER_CASES)
+    card = peers.stratified_next_to_naive(_core_counts(spark, sf, *RATE_COLUMNS), ORDER_COUNTS)
     return scope.ordered(card, "product", "pct_relief", "pct_timely", "company")
 
 
 @report
 def naive_subject_vs_rest(spark, sf):
-    core = _core(spark, sf, "product", "company", "company_response")
-    shares = rates.subject_against_rest(core, ORDER_CASES, SUBJECT)
+    core = _core_counts(spark, sf, "product", "company", "company_response")
+    shares = rates.subject_against_rest(core, ORDER_COUNTS, SUBJECT)
     return scope.ordered(shares, "grp", F.desc("n"), "company_response")
 
 
@@ -170,9 +179,9 @@ def timely_rate_by_category(spark, sf):
 
 @report
 def timely_rate_by_entity(spark, sf):
-    core = _core(spark, sf, "product", "company", "timely")
+    core = _core_counts(spark, sf, "product", "company", "timely")
     return scope.ordered(
-        rates.timely_rate(core, ORDER_CASES, ["company"]), "pct_timely", "company"
+        rates.timely_rate(core, ORDER_COUNTS, ["company"]), "pct_timely", "company"
     )
 
 
@@ -185,15 +194,16 @@ def rate_spread(spark, sf):
 
 @report
 def category_scorecard(spark, sf):
-    card = rates.category_scorecard(_core(spark, sf, *RATE_COLUMNS), ORDER_CASES, ONE_CATEGORY)
+    core = _core_counts(spark, sf, *RATE_COLUMNS)
+    card = rates.category_scorecard(core, ORDER_COUNTS, ONE_CATEGORY)
     return scope.ordered(card, "pct_relief", "company")
 
 
 @report
 def pooled_entity_rate(spark, sf):
-    core = _core(spark, sf, "product", "company", "company_response")
+    core = _core_counts(spark, sf, "product", "company", "company_response")
     return scope.ordered(
-        rates.pooled_entity_rate(core, ORDER_CASES), "pct_any_relief", "company"
+        rates.pooled_entity_rate(core, ORDER_COUNTS), "pct_any_relief", "company"
     )
 
 
@@ -316,8 +326,9 @@ def dq_narrative_by_category(spark, sf):
 
 @report
 def dq_narrative_by_state(spark, sf):
-    cases = _cases(spark, sf, "state", "has_narrative").where(F.col("state").isNotNull())
-    shares = quality.text_share(cases, ORDER_CASES, ["state"]).drop("with_narrative")
+    counts = order_case_counts(spark, sf, ("state", "has_narrative"))
+    cases = counts.where(F.col("state").isNotNull())
+    shares = quality.text_share(cases, ORDER_COUNTS, ["state"]).drop("with_narrative")
     return scope.top_k(shares, 15, "total", ["state"])
 
 

@@ -111,6 +111,12 @@ def write_and_read(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def beyond_broadcast(df: DataFrame) -> bool:
+    """Whether the planner, by its own estimate of the size, would not broadcast these rows."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > limit
+
+
 def move_path(spark: SparkSession, source: str, target: str) -> bool:
     """Rename a folder; false if there is none, or it cannot be renamed."""
     path = spark._jvm.org.apache.hadoop.fs.Path

@@ -29,10 +29,15 @@ def _ledger(spec: CaseSpec, period: str) -> str:
     used = (
         *(spec.category, spec.entity, spec.received, spec.outcome, spec.timely),
         *(spec.timely_value, sorted(spec.favourable), sorted(spec.excluded_categories), period),
+        *_weight(spec),
     )
     return "_counts-" + hashlib.sha256(repr(used).encode()).hexdigest()[:16]
 
 
+def _weight(spec: CaseSpec) -> tuple[str, ...]:
+    return (spec.weight,) if spec.weight else ()
+
+
 def _schema(cases: DataFrame, spec: CaseSpec, period: str) -> T.StructType:
     return T.StructType(
         [
@@ -56,6 +61,7 @@ def update_counts(
     new = [name for place, name in files.items() if place not in done]
     if new:
         read = (spec.category, spec.entity, spec.received, spec.outcome, spec.timely)
+        read += _weight(spec)
         cases = spark.read.schema(spark.read.parquet(path).select(*read).schema).parquet(*new)
         start = period_start(F.col(spec.received), period).alias(period)
         place = file_place(spark, path).alias("file")

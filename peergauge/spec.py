@@ -51,6 +51,8 @@ class CaseSpec:
     timely_value: str = "Yes"
     has_text: str = "has_narrative"
     snapshot: str = "snapshot"
+    # Column of the number of cases a row stands for; None: every row is one case.
+    weight: str | None = None
 
     favourable: tuple[str, ...] = RELIEF_OUTCOMES
     excluded_categories: tuple[str, ...] = (DOMINANT_PRODUCT,)

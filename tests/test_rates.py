@@ -4,7 +4,7 @@ from helpers import cases, tuples
 from pyspark.sql import functions as F
 
 from peergauge.functions import pct, period_start, rounded
-from peergauge.operators import rates, scope
+from peergauge.operators import peers, rates, scope
 from peergauge.spec import CaseSpec
 
 SPEC = CaseSpec(min_n=2, pooled_min_n=2)
@@ -177,3 +177,50 @@ def test_dates_of_a_window_prune_month_folders(spark, tmp_path):
     text = plan(window)
     assert "PartitionFilters: [isnotnull(received_month" in text
     assert "GreaterThanOrEqual(date_received" in text
+
+
+def test_rows_counted_beforehand_give_the_same_rates(spark):
+    from dataclasses import replace
+
+    rows = cases(
+        spark,
+        [
+            {
+                "product": ("Mortgage", "Student loan", None)[i % 3],
+                "company": ("A", "B", None, "C")[i % 4],
+                "company_response": (SPEC.favourable[0], "Closed with explanation", None)[i % 7 % 3],
+                "timely": ("Yes", "No", None)[i % 5 % 3],
+            }
+            for i in range(120)
+        ],
+    )
+    spec = replace(SPEC, min_n=3, pooled_min_n=5)
+    weighted = replace(spec, weight="copies")
+    kept = ["product", "company", "company_response", "timely"]
+    counted = rows.groupBy(*kept).agg(F.count(F.lit(1)).alias("copies"))
+    assert counted.count() < 120
+    for report in (
+        lambda df, s: rates.favourable_rate(df, s, ["product"]),
+        lambda df, s: rates.timely_rate(df, s, ["company"]),
+        lambda df, s: rates.category_scorecard(df, s, "Mortgage"),
+        rates.pooled_entity_rate,
+        lambda df, s: rates.subject_against_rest(df, s, "B"),
+        lambda df, s: peers.within_category_deviation(df, s),
+        lambda df, s: peers.stratified_next_to_naive(df, s),
+    ):
+        plain, fast = report(rows, spec), report(counted, weighted)
+        assert fast.dtypes == plain.dtypes
+        assert tuples(fast) == tuples(plain) != []
+
+
+def test_weights_that_are_null_or_of_no_row_count_nothing(spark):
+    from dataclasses import replace
+
+    spec = replace(SPEC, weight="copies")
+    rows = spark.createDataFrame(
+        [("a", "Yes", 2), ("a", "No", None), ("b", "Yes", None), ("b", None, None)],
+        "product string, timely string, copies long",
+    )
+    rated = rates.timely_rate(rows, spec, ["product"])
+    assert tuples(rated) == [("a", 2, 100.0), ("b", 0, None)]
+    assert tuples(rates.timely_rate(rows.limit(0), spec, ["product"])) == []
