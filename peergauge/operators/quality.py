@@ -137,7 +137,9 @@ def sliding_bursts(
 
     Rows are counted per second first. Time is cut into buckets of ``buckets`` windows, and the end of
     each bucket is also given to the next one: so keys that hold most of the rows are many small
-    groups, none with more counts than a bucket and a window have seconds.
+    groups, none with more counts than a bucket and a window have seconds. What a window holds is
+    what there is up to its end, less what there is before its start: both are running totals, so
+    a group costs as much as it has counts, however many of them a window spans.
     """
     counts = (
         rows.where(F.col(ts).isNotNull())
@@ -148,12 +150,12 @@ def sliding_bursts(
     own = F.floor(F.col("_second") / width)
     reaches_on = F.pmod(F.col("_second"), F.lit(width)) > width - seconds
     places = F.when(reaches_on, F.array(own, own + 1)).otherwise(F.array(own))
-    window = (
-        Window.partitionBy(*keys, "_bucket").orderBy("_second").rangeBetween(-(seconds - 1), 0)
-    )
+    window = Window.partitionBy(*keys, "_bucket").orderBy("_second")
+    until = F.sum("_rows").over(window.rangeBetween(Window.unboundedPreceding, 0))
+    before = F.sum("_rows").over(window.rangeBetween(Window.unboundedPreceding, -seconds))
     counted = (
         counts.withColumn("_bucket", F.explode(places))
-        .withColumn("n", F.sum("_rows").over(window))
+        .withColumn("n", until - F.coalesce(before, F.lit(0)))
         .where(own == F.col("_bucket"))
     )
     found = at_least(counted, more_than + 1).select(

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -115,6 +116,17 @@ def test_a_hot_key_is_many_groups(spark):
     assert [r.n for r in found.collect()] == [60] * 5
 
 
+def test_windows_of_bursts_are_not_added_up_row_by_row(spark):
+    """A frame that slides is added up anew for every second; running totals are not."""
+    df = spark.range(20_000).selectExpr(
+        "'hot' AS c", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts"
+    )
+    found = sliding_bursts(df, ["c"], "ts", 3600, 3599, 5)
+    frames = re.findall(r"RangeFrame, ([^,]+),", plan(found))
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+    assert [r.n for r in found.collect()] == [3600] * 5
+
+
 def test_quantiles_equal_percentile(spark, monkeypatch):
     rng, rows = random.Random(4), []
     for i in range(1500):
