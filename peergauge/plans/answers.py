@@ -12,6 +12,10 @@ from peergauge.operators.scope import MAX_TEXT_CHARS
 from peergauge.operators.scoring import apply_classifier
 from peergauge.plans.evaluation import Classifier
 from peergauge.session import path_exists, remove_path
+from peergauge.sources.ledgers import data_files
+
+# Bytes of text in a file of work; a task writes or reads one.
+FILE_BYTES = 128 * 1024**2
 
 
 def _forgiving(classify: Classifier) -> Classifier:
@@ -39,10 +43,12 @@ def answer_all(
     """(id, answer) of every row; the mark of a failure where ``tries`` attempts gave no answer.
 
     ``work`` is a folder of this job. For each attempt the rows without an answer are written there
-    as ``files`` files. A stream takes them up one at a time and adds the answers of each to the
-    ledger, so a job that was stopped goes on with the next file when it is called again with the
-    same folder: what has been answered is not asked again. A batch of texts on which the classifier
-    fails counts as not answered. Ids must be unique and not null; a null text is not answered.
+    as ``files`` files, or as more where these would hold over ``FILE_BYTES`` of text. A stream takes
+    them up one at a time, or so many together that there are ``files`` batches at most, and adds
+    the answers of each batch to the ledger, so a job that was stopped goes on with the next batch
+    when it is called again with the same folder: what has been answered is not asked again. A batch
+    of texts on which the classifier fails counts as not answered. Ids must be unique and not null;
+    a null text is not answered.
     """
     spark, base = rows.sparkSession, work.rstrip("/")
     kind = rows.schema[id_column]
@@ -54,8 +60,12 @@ def answer_all(
         if not path_exists(spark, f"{pending}/_SUCCESS"):
             remove_path(spark, pending)
             left = wanted.join(_answers(spark, base, ledger), id_column, "left_anti")
-            left.where(F.col(text).isNotNull()).repartition(files, id_column).write.parquet(pending)
-        _work_off(spark, base, attempt, wanted.schema, classify, id_column, text, max_chars)
+            left = left.where(F.col(text).isNotNull())
+            size = left.agg(F.sum(F.octet_length(text))).first()[0] or 0
+            parts = max(files, -(-size // FILE_BYTES))
+            left.repartition(parts, id_column).write.parquet(pending)
+        at_once = max(1, -(-len(data_files(spark, pending)) // files))
+        _work_off(spark, base, attempt, at_once, wanted.schema, classify, id_column, text, max_chars)
     answered = _answers(spark, base, ledger)
     return wanted.select(id_column).join(answered, id_column, "left").select(
         id_column, F.coalesce("answer", F.lit(FAILURE)).alias("answer")
@@ -73,6 +83,7 @@ def _work_off(
     spark: SparkSession,
     base: str,
     attempt: int,
+    at_once: int,
     schema: T.StructType,
     classify: Classifier,
     id_column: str,
@@ -81,11 +92,11 @@ def _work_off(
 ) -> None:
     def ask(batch: DataFrame, number: int) -> None:
         answered = apply_classifier(batch, _forgiving(classify), text, "answer", max_chars)
-        # A file that is taken up again replaces what it had left.
+        # A batch of files that is taken up again replaces what it had left.
         path = f"{base}/ledger/attempt={attempt}/file={number}"
         answered.select(id_column, "answer").write.mode("overwrite").parquet(path)
 
-    pending = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    pending = spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once)
     query = (
         pending.parquet(f"{base}/pending-{attempt}")
         .writeStream.foreachBatch(ask)

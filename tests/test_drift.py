@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 import re
 
@@ -201,3 +202,25 @@ def test_answers_go_on_where_they_stopped(spark, tmp_path):
     (tmp_path / "calls-down").touch()
     down = answer_all(df, model, "id", "text", str(tmp_path / "other"), tries=1, files=2)
     assert {r.answer for r in down.collect()} == {"API_FAILURE"}
+
+
+def test_files_of_work_are_bounded(spark, tmp_path, monkeypatch):
+    """More files where they would be large, and still no more batches than asked for."""
+    from peergauge.plans import answers
+
+    monkeypatch.setattr(answers, "FILE_BYTES", 1000)
+    df = spark.range(400).selectExpr("id", "concat(repeat('t', 90), id % 3) AS text")
+
+    def model(texts):
+        return pd.Series([None if t.endswith("2") else t[-1] for t in texts], index=texts.index)
+
+    work = f"{tmp_path}/work"
+    got = dict(tuples(answer_all(df, model, "id", "text", work, tries=2, files=2)))
+    assert got == {i: "API_FAILURE" if i % 3 == 2 else str(i % 3) for i in range(400)}
+    for attempt, rows in enumerate((400, 133)):
+        pending = spark.read.parquet(f"{work}/pending-{attempt}")
+        sizes = pending.groupBy(F.input_file_name()).agg(F.sum(F.octet_length("text"))).collect()
+        assert pending.count() == rows and len(sizes) >= rows // 16
+        assert max(size for _, size in sizes) < 3000
+        batches = [b for b in os.listdir(f"{work}/ledger/attempt={attempt}") if b.startswith("file=")]
+        assert len(batches) == 2
