@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -13,6 +14,7 @@ from peergauge.functions.rates import count_where, pct
 from peergauge.functions.text import clip
 from peergauge.operators.rates import conditional_rate
 from peergauge.operators.scope import MAX_TEXT_CHARS
+from peergauge.session import bounded_batches, give_back
 
 # What two independent probes together say about a case.
 UNUSABLE = "unusable"
@@ -36,13 +38,20 @@ def apply_classifier(
     there is none. Only the text column travels to the Python workers, cut to
     what the classifier reads (``None`` sends whole texts). With ``tasks`` the
     rows are first spread by the hash of ``spread_by``, for a slow classifier on
-    few rows. Declared non-deterministic, so that no answer is asked for twice.
+    few rows. Declared non-deterministic, so that no answer is asked for twice. Batches
+    are bounded in bytes and what they took is given back, so that the memory of the workers
+    does not grow with the texts.
     """
+    bounded_batches(rows.sparkSession)
 
     @F.pandas_udf("string")
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield classify(batch)
+            # A series whose texts were searched (``.str``) refers to itself.
+            del batch
+            gc.collect()
+            give_back()
 
     if tasks:
         rows = rows.repartition(tasks, spread_by or text)

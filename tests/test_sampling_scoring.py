@@ -181,6 +181,23 @@ def test_classifier_reads_clipped_texts(spark):
     assert tuples(got, "id", "answer") == [(1, None), (2, "yes")]
 
 
+def test_a_worker_keeps_no_texts_it_has_classified(spark):
+    """What earlier batches took, with a classifier whose series refer to themselves."""
+
+    def alive(texts: pd.Series) -> pd.Series:
+        import gc
+
+        texts.str.contains("x", regex=False)
+        held = sum(isinstance(o, pd.Series) and o.dtype == object for o in gc.get_objects())
+        return pd.Series([f"{len(texts)} {held}"] * len(texts), index=texts.index)
+
+    rows = spark.range(0, 60_000, 1, 1).selectExpr("id", "concat(repeat('t', 1000), id) AS t")
+    found = scoring.apply_classifier(rows, alive, "t", "answer").select("answer").distinct()
+    seen = [tuple(map(int, r.answer.split())) for r in found.collect()]
+    # Batches of 8 MB, and no more series in the last one than in the first.
+    assert max(n for n, _ in seen) < 9000 and max(held for _, held in seen) <= 3
+
+
 @pytest.fixture(scope="module")
 def narratives(spark):
     rows = [
