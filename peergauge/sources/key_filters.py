@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from peergauge.session import bounded_batches, give_back
 from peergauge.sources.ledgers import add_entry, data_files, file_place, read_ledger
 
 LEDGER = "_key_filters"
 # Per key of a file; with as many probes a key that is not there passes about once in a million.
 BITS, PROBES = 32, 12
-# Keys of one filter, so that a task holds and a row has 4 MB at most.
-FILTER_KEYS = 2**20
+# Keys of one filter, so that a row has 1 MB and a task holds some 20 MB at most.
+FILTER_KEYS = 2**18
+# Hashes that are tried at once; a probe takes several times their size.
+TRIED_AT_ONCE = 2**17
 # Keys of a batch that are tried, 8 bytes each; a larger batch reads the whole table.
 MOST_TRIED = 4 * 2**20
 
@@ -57,11 +60,15 @@ def filter_of(hashes: np.ndarray) -> bytes:
 def any_in(bits: bytes, keys: int, hashes: np.ndarray) -> bool:
     """Whether one of the hashes may be in a filter of so many keys."""
     table = np.frombuffer(bits, np.uint8)
-    for probe in range(PROBES):
-        places = _places(hashes, probe, _size(keys))
-        found = table[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1
-        hashes = hashes[found == 1]
-    return len(hashes) > 0
+    for start in range(0, len(hashes), TRIED_AT_ONCE):
+        left = hashes[start : start + TRIED_AT_ONCE]
+        for probe in range(PROBES):
+            places = _places(left, probe, _size(keys))
+            found = table[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1
+            left = left[found == 1]
+        if len(left):
+            return True
+    return False
 
 
 def _hashes(column: pa.Array) -> np.ndarray:
@@ -97,6 +104,8 @@ def _build() -> Callable:
                 count += end - start
         if count:
             yield row()
+        held.clear()
+        give_back()
 
     return build
 
@@ -110,6 +119,7 @@ def _try(hashes: np.ndarray) -> Callable:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("file"), pa.array(found, pa.bool_())], ["file", "near"]
             )
+        give_back()
 
     return attempt
 
@@ -122,6 +132,7 @@ def near_files(spark: SparkSession, path: str, batch: DataFrame, key: str) -> li
     files = data_files(spark, path)
     if not files:
         return []
+    bounded_batches(spark)
     hashes = _hashes(batch.select(F.xxhash64(key).alias("h")).toArrow().column("h").combine_chunks())
     tried = read_ledger(spark, path, LEDGER, FILTERS).mapInArrow(
         _try(hashes), "file string, near boolean"
@@ -141,6 +152,7 @@ def add_filters(spark: SparkSession, path: str, key: T.StructField) -> int:
     have = {row.file for row in rows}
     new = [name for place, name in files.items() if place not in have]
     if new:
+        bounded_batches(spark)
         keys = spark.read.schema(schema).parquet(*new).select(
             file_place(spark, path).alias("file"), F.xxhash64(key.name).alias("hash")
         )

@@ -2,16 +2,19 @@
 
 import datetime as dt
 import random
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from helpers import cases, tuples
+from helpers import cases, plan, tuples
 from pyspark.sql import functions as F
 
 from peergauge.operators.peers import within_category_deviation
 from peergauge.operators.scope import core_scope
 from peergauge.operators.slices import pull_plan
+from peergauge.plans import reports
 from peergauge.session import list_folders
 from peergauge.sources import key_filters, tables
 from peergauge.sources.counts import read_counts, scorecard_from_counts, update_counts
@@ -40,6 +43,28 @@ def test_filters_miss_no_key_and_pass_few_others():
         assert sum(any_in(bits, n, others[i : i + 1]) for i in range(2000)) <= 1
 
 
+def test_filters_are_built_and_tried_in_little_memory():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 2**63, 2**20).astype(np.int64)
+    files = pa.array(["f"] * 2**14)
+    batches = [
+        pa.RecordBatch.from_arrays([files, pa.array(part)], ["file", "hash"])
+        for part in np.split(hashes, 64)
+    ]
+    bits = filter_of(hashes[:1000].view(np.uint64))
+    tracemalloc.start()
+    try:
+        counts = [b.column("keys")[0].as_py() for b in key_filters._build()(iter(batches))]
+        built = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        assert any_in(bits, 1000, hashes[::-1].view(np.uint64))
+        tried = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(counts) == len(hashes)
+    assert built < 32 * 2**20 and tried < 12 * 2**20
+
+
 def test_a_batch_of_random_ids_reads_the_files_of_its_repeats_only(spark, tmp_path):
     rng, path = random.Random(5), str(tmp_path / "t")
     table = id_table(spark, random_ids(rng, 6000))
@@ -250,3 +275,31 @@ def test_pull_plans_cover_the_time_below_the_ceiling(spark):
 
 def test_pull_plan_without_rows(spark):
     assert pull_plan(events(spark, [None]), "ts", ceiling=5).collect() == []
+
+
+def test_the_maintained_scorecard_joins_its_cases_once(spark, tmp_path, monkeypatch):
+    """Four landings take their days from rows that were joined and written before."""
+    lines = spark.range(400).selectExpr(
+        "id AS l_orderkey", "id % 5 AS l_partkey", "id % 3 AS l_suppkey", "1 AS l_linenumber",
+        "1D AS l_quantity", "1D AS l_extendedprice", "'N' AS l_returnflag", "'F' AS l_linestatus",
+        "timestamp_ntz'1998-06-01' AS l_shipdate",
+    )
+    orders = spark.range(400).selectExpr(
+        "id AS o_orderkey", "CAST(date_add(date'1996-01-01', CAST(id * 4 AS INT)) AS timestamp_ntz) AS o_orderdate"
+    )
+    parts = spark.range(5).selectExpr("id AS p_partkey", "'b' AS p_brand", "concat('T', id % 2) AS p_type")
+    suppliers = spark.range(3).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name", "1 AS s_nationkey")
+    tables_of = {"lineitem": lines, "orders": orders, "part": parts, "supplier": suppliers}
+    for name, rows in tables_of.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    plans, insert = [], reports.insert_new
+
+    def landed(batch, *args):
+        plans.append(plan(batch))
+        result.append(insert(batch, *args))
+
+    result = []
+    monkeypatch.setattr(reports, "insert_new", landed)
+    reports.kpi_quarter_maintained(spark, str(tmp_path)).collect()
+    assert len(plans) == 4 and not any("Join" in text for text in plans)
+    assert sum(r.inserted for r in result) == 400 and result[3].inserted == 0
