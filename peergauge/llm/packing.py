@@ -19,11 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peergauge.llm.common import bounded_batches, slices, whole_text
+from peergauge.llm.common import BATCH_BYTES, bounded_batches, slices, whole_text
 from peergauge.llm.text_ids import ID_BYTES, encoder
 from peergauge.session import write_shared
 
@@ -125,11 +126,11 @@ def encode_and_count(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, texts = TaskContext.get().partitionId(), encoder(vocabulary)
         rests, windows = [0] * capacity, 0
-        for batch in slices(batches, "text"):
-            packed = [p + end for p in texts.encode(batch.column("text").to_pylist())]
+        for batch in slices(batches, "text", BATCH_BYTES):
+            packed = texts.encode_array(batch.column("text"), end)
             numbers = []
-            for p in packed:
-                whole, rest = divmod(len(p) // ID_BYTES, capacity)
+            for size in pc.binary_length(packed).to_pylist():
+                whole, rest = divmod(size // ID_BYTES, capacity)
                 numbers.append((rest, rests[rest], windows))
                 rests[rest] += 1
                 windows += whole
@@ -137,7 +138,7 @@ def encode_and_count(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(packed, pa.binary()),
+                    packed,
                     pa.array([task] * len(packed), pa.int32()),
                     pa.array(rest, pa.int32()),
                     pa.array(rest_no, pa.int64()),

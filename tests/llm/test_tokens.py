@@ -258,3 +258,31 @@ def test_strings_of_added_tokens_are_as_in_the_plain_call():
     for text in texts:
         ids = plain.encode(text, add_special_tokens=False).ids
         assert encoder.encode([text])[0] == packed(ids)
+
+
+def test_a_batch_of_usual_and_odd_texts_keeps_its_order():
+    import pyarrow as pa
+
+    plain = tokenizers.Tokenizer.from_file(JSON)
+    texts = ["a word.\nand, it's <b>é</b> 12.", None, "", " lead", "x\n\ny", "a <|endoftext|> b", "ª.º ×÷ a×."]
+    texts += ["слово, слово. ж.", "'s 's. it'd, .a. a.b", "no end here", "\x00 a\x00.", "end "] * 3
+    want = [packed(plain.encode(t or "", add_special_tokens=False).ids + [1]) for t in texts]
+    encoder = TextEncoder(JSON)
+    for rows in (texts, texts[:1], texts[3:4], []):
+        got = encoder.encode_array(pa.array(["cut off", *rows], pa.string())[1:], packed([1]))
+        assert got.type == pa.binary()
+        assert got.to_pylist() == want[texts.index(rows[0]) :][: len(rows)] if rows else not len(got)
+
+
+def test_encoding_makes_no_object_for_every_word():
+    """Words that repeat in a batch are looked up once; their ids are laid out by Arrow."""
+    import tracemalloc
+
+    encoder, text = TextEncoder(JSON), "some words, that come again and again.\n" * 50_000 + "end"
+    encoder.encode([text[:100]])
+    tracemalloc.start()
+    (ids,) = encoder.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(text)
+    assert ids[: 4 * 10 * 50_000] == ids[: 4 * 10] * 50_000
