@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peergauge.llm.common import bounded_batches, packed_lists, slices, whole_text
+from peergauge.llm.common import BATCH_BYTES, bounded_batches, packed_lists, slices, whole_text
 from peergauge.llm.text_ids import encoder
 from peergauge.session import write_shared
 
@@ -61,16 +61,13 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         texts, start = encoder(vocabulary), 0
-        for batch in slices(batches, "text"):
-            packed = [ids + end for ids in texts.encode(batch.column("text").to_pylist())]
-            counts = [len(p) // 4 for p in packed]
-            starts = []
-            for n in counts:
-                starts.append(start)
-                start += n
+        for batch in slices(batches, "text", BATCH_BYTES):
+            ids = packed_lists(texts.encode_array(batch.column("text"), end))
+            ends = ids.offsets.to_numpy().astype("int64")
             columns = [batch.column(c) for c in ("doc_id", *metadata)]
-            columns += [pa.array([task] * len(counts), pa.int32()), pa.array(starts, pa.int64())]
-            columns += [pa.array(counts, pa.int32()), packed_lists(packed)]
+            columns += [pa.array([task] * len(ids), pa.int32()), pa.array(start + ends[:-1])]
+            columns += [ids.value_lengths(), ids]
+            start += int(ends[-1])
             names = ["doc_id", *metadata, "shard", "start_in_shard", "n_tokens", "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
