@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,9 @@ MISS = 1e-4
 # Classes of a list, and shingles of a cluster, that make a chunk; a tile holds two chunks.
 LIST_CLASSES = 500
 TILE_SHINGLES = 250_000
+# Shingles hashed together under one key; three arrays of so many stay in a core's cache.
+HASHED_SHINGLES = 32_768
 _SEED = 20240229
-_WORD_MEMO = 150_000
 
 
 def least_matches(similarity: float, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -59,7 +61,7 @@ def least_matches(similarity: float, coordinates: int = COORDINATES, miss: float
 
 
 class Shingler:
-    """64-bit hashes of a text's distinct shingles of ``size`` words.
+    """64-bit hashes of the distinct shingles of ``size`` words of each text.
 
     A-Z count as a-z; words are separated by ASCII white space. A text of fewer words, but at least
     one, has its whole sequence as its one shingle.
@@ -69,24 +71,43 @@ class Shingler:
         import xxhash
 
         release_encoders()
-        self._size, self._hash, self._memo = size, xxhash.xxh3_64_intdigest, {}
-
-    def shingles(self, text: str) -> np.ndarray:
-        """Sorted and distinct."""
-        memo = self._memo
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        for word in set(words).difference(memo):
-            memo[word] = self._hash(word)
-        hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        if len(memo) > _WORD_MEMO:
-            memo.clear()
-        width = min(self._size, len(words))
-        mixed = np.full(len(words) - width + 1, width, np.uint64)
-        for i in range(width):
-            mixed = _mix(mixed ^ hashes[i : len(hashes) - width + 1 + i])
-        return np.unique(mixed)
+        self._size, self._hash = size, xxhash.xxh3_64_intdigest
+
+    def shingles(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' sets one after another, each sorted and distinct, and their sizes."""
+        hashes, counts = self._words(texts)
+        widths = np.minimum(counts, self._size)
+        places = np.where(counts > 0, counts - widths + 1, 0)
+        ends = np.cumsum(places)
+        starts = ends - places
+        at = np.arange(places.sum()) + np.repeat(np.cumsum(counts) - counts - starts, places)
+        width = np.repeat(widths, places)
+        mixed = width.astype(np.uint64)
+        for i in range(self._size):
+            wide = width > i
+            if wide.all():
+                mixed = _mix(mixed ^ hashes[at + i])
+            else:
+                mixed[wide] = _mix(mixed[wide] ^ hashes[at[wide] + i])
+        for start, end in zip(starts.tolist(), ends.tolist()):
+            mixed[start:end].sort()
+        new = np.ones(len(mixed), bool)
+        new[1:] = mixed[1:] != mixed[:-1]
+        new[starts[places > 0]] = True
+        before = np.concatenate([[0], np.cumsum(new)])
+        return mixed[new], before[ends] - before[starts]
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the texts' words, and how many each text has; a distinct word is hashed once."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        bounds, words = words.offsets.to_numpy(), words.flatten()
+        # White space at the ends leaves empty words.
+        real = pc.greater(pc.binary_length(words), 0)
+        before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+        numbered = words.filter(real).dictionary_encode()
+        distinct = numbered.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.fromiter(map(self._hash, distinct), np.uint64, len(distinct))
+        return hashes[numbered.indices.to_numpy()], np.diff(before[bounds])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,18 +121,26 @@ def _keys(coordinates: int) -> np.ndarray:
     return np.random.default_rng(_SEED).integers(1, 2**63, coordinates, dtype=np.uint64)
 
 
-def _signature(shingles: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Upper 32 bits of the least hash under each key."""
-    least = np.full(len(keys), np.iinfo(np.uint64).max, np.uint64)
+def _signatures(shingles: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Upper 32 bits of the least hash under each key, one row per set that is not empty."""
+    counts = counts[counts > 0]
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    least = np.full((len(keys), len(counts)), np.iinfo(np.uint64).max, np.uint64)
     odd = keys | np.uint64(1)
-    for start in range(0, len(shingles), 4096):
-        part = shingles[start : start + 4096]
-        for i, key in enumerate(odd):
-            hashed = part * key
-            hashed ^= hashed >> np.uint64(32)
-            hashed *= np.uint64(0x9E3779B97F4A7C15)
-            least[i] = min(least[i], hashed.min())
-    return (least >> np.uint64(32)).astype("<u4")
+    for low in range(0, len(shingles), HASHED_SHINGLES):
+        part = shingles[low : low + HASHED_SHINGLES]
+        # A set may begin before this part and end after it.
+        held = slice(np.searchsorted(ends, low, "right"), np.searchsorted(starts, low + len(part)))
+        cuts = np.maximum(starts[held] - low, 0)
+        hashed, upper = np.empty_like(part), np.empty_like(part)
+        for row, key in zip(least, odd):
+            np.multiply(part, key, out=hashed)
+            np.right_shift(hashed, np.uint64(32), out=upper)
+            np.bitwise_xor(hashed, upper, out=hashed)
+            np.multiply(hashed, np.uint64(0x9E3779B97F4A7C15), out=hashed)
+            np.minimum(row[held], np.minimum.reduceat(hashed, cuts), out=row[held])
+    return (least >> np.uint64(32)).astype("<u4").T.copy()
 
 
 def _sketch(size: int, coordinates: int) -> Callable:
@@ -120,12 +149,10 @@ def _sketch(size: int, coordinates: int) -> Callable:
 
         shingler, keys = Shingler(size), _keys(coordinates)
         for batch in slices(batches, "text"):
-            counts, digests, signatures = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingler.shingles(text)
-                counts.append(len(found))
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                signatures.append(_signature(found, keys).tobytes() if len(found) else None)
+            found, counts = shingler.shingles(batch.column("text"))
+            rows = iter(_signatures(found, counts, keys))
+            digests = [hashlib.blake2b(x, digest_size=16).digest() for x in _each(found, counts)]
+            signatures = [next(rows).tobytes() if n else None for n in counts.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -139,6 +166,10 @@ def _sketch(size: int, coordinates: int) -> Callable:
     return sketch
 
 
+def _each(shingles: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    return np.split(shingles, np.cumsum(counts)[:-1])
+
+
 def _postings(coordinates: int) -> Callable:
     """Every (coordinate, value) of a class as one number."""
 
@@ -257,7 +288,7 @@ def _sets(size: int) -> Callable:
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in slices(batches, "text"):
-            found = [shingler.shingles(t).tobytes() for t in batch.column("text").to_pylist()]
+            found = [x.tobytes() for x in _each(*shingler.shingles(batch.column("text")))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"]
             )
@@ -298,10 +329,24 @@ class _Search:
         )
         return rarest.select("class", F.col("p.posting").alias("posting"), "central")
 
+    def lists(self, posted: DataFrame) -> DataFrame:
+        """(posting, total) of the lists to search: of those that hold the same classes only one.
+
+        Near copies meet in most of their postings, and equal lists give equal forests. A class is in
+        a list once, so the exclusive or of its classes' hashes, 128 bits, tells lists apart.
+        """
+        held = posted.groupBy("posting").agg(
+            F.count(F.lit(1)).alias("total"),
+            F.min("class").alias("least"),
+            F.bit_xor(F.xxhash64("class")).alias("digest"),
+            F.bit_xor(F.xxhash64("class", F.lit(1))).alias("digest2"),
+        )
+        alike = held.where("total > 1").groupBy("total", "least", "digest", "digest2")
+        return alike.agg(F.min("posting").alias("posting")).select("posting", "total")
+
     def clusters(self, posted: DataFrame) -> DataFrame:
         """(class, cluster) of the classes that candidate pairs connect with others."""
-        lists = posted.groupBy("posting").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
-        rows = posted.join(lists, "posting").join(
+        rows = posted.join(self.lists(posted), "posting").join(
             self._classes.select("class", "signature"), "class"
         )
         tiles, pairs = self.tiles(rows.withColumn("weight", F.lit(1)), "posting", LIST_CLASSES)

@@ -4,8 +4,10 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from helpers_llm import SF, awkward, documents, sf_documents
+from helpers_llm import AWKWARD, SF, awkward, documents, sf_documents
 
 from peergauge.llm import near_dups, queries
 from peergauge.llm.components import connected_components
@@ -120,6 +122,48 @@ def test_rows_in_tiles_of_a_hot_group_grow_with_it(spark, monkeypatch):
     assert rows[1] <= 2.3 * rows[0]
 
 
+def test_lists_of_the_same_classes_are_searched_once(spark, monkeypatch):
+    """Near copies share most of their postings: a group of two costs two rows, not two per posting."""
+    rows, tiles = [], near_dups._Search.tiles
+
+    def counted(self, *args):
+        if args[1] == "posting":
+            rows.append(args[0].count())
+        return tiles(self, *args)
+
+    monkeypatch.setattr(near_dups._Search, "tiles", counted)
+    rng = random.Random(5)
+    texts = []
+    for i in range(30):
+        base = [f"w{i}x{j}" for j in range(100)]
+        texts += [" ".join(base), edited(rng, base, 2)]
+    got = near_duplicates(documents(spark, texts), size=2).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i - i % 2) for i in range(60)}
+    assert rows == [60]
+
+
+@pytest.mark.parametrize("hashed", [5, 32_768])
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_sets_and_signatures_of_many_texts_are_those_of_each(monkeypatch, size, hashed):
+    """Texts are handled together; sets that begin or end inside a part are whole."""
+    monkeypatch.setattr(near_dups, "HASHED_SHINGLES", hashed)
+    texts, keys = AWKWARD + ["A a b " * 9, "", "B a"], near_dups._keys(3)
+    found, counts = near_dups.Shingler(size).shingles(pa.array([None, *texts]).slice(1))
+    assert counts.tolist() == [len(shingles(t, size)) for t in texts]
+    sets = [x.tolist() for x in np.split(found, np.cumsum(counts)[:-1])]
+    assert all(x == sorted(set(x)) for x in sets)
+    alone = [near_dups.Shingler(size).shingles(pa.array([t]))[0].tolist() for t in texts]
+    assert sets == alone
+
+    def least(values, key):
+        low = (1 << 64) - 1
+        hashed = [(v * (key | 1)) & low for v in values]
+        return min(((h ^ h >> 32) * 0x9E3779B97F4A7C15) & low for h in hashed) >> 32
+
+    expected = [[least(x, k) for k in keys.tolist()] for x in sets if x]
+    assert near_dups._signatures(found, counts, keys).tolist() == expected
+
+
 def test_least_matches_miss_little():
     assert least_matches(0.8, 64) == 38
     assert least_matches(1.0, 64) == 64
